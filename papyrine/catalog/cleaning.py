@@ -1,0 +1,381 @@
+"""Cleaning functions and row predicates over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from papyrine.catalog.registry import Corpus, check, query
+from papyrine.functions import clean, rules, similarity, text
+from papyrine.functions.markdown import front_matter
+from papyrine.functions.pagetext import page_paragraphs, with_abstract
+from papyrine.operators import maintenance
+
+NAMES_SQL = (
+    "list_filter(list_transform(list_filter(list_transform(string_split(authors, ';'), lambda a: trim(a)), lambda a: a <> ''),"
+    " lambda a: lower(trim(case when contains(a, ',') then split_part(a, ',', 1)"
+    r" else regexp_extract(a, '(\S+)$', 1) end))), lambda n: n <> '')"
+)
+PHRASES = " or ".join(f"contains(low, '{p}')" for p in rules.NON_ARTICLE_PHRASES)
+PATTERNS = " or ".join(f"regexp_matches(low, '{p}')" for p in rules.NON_ARTICLE_PATTERNS)
+
+# Titles with typical non-article forms mixed in, for every document.
+NOISY_TITLES = """
+select concat('10.5555/d', cast(doc_id as string)) as doi,
+       case doc_id % 9 when 0 then concat('Cover of ', lang, ' ', source) when 1 then 'Editorial'
+            when 2 then concat('Volume ', cast(doc_id as string), ' ', lang) when 3 then concat('Volume effects in ', source)
+            when 4 then concat('Announcements and ', lang) else regexp_extract(text, '^[^.\n]*', 0) end as title,
+       case when doc_id % 7 = 0 then 'book' when doc_id % 2 = 0 then 'journal-article' else 'proceedings-article' end as kind,
+       cast(2004 + doc_id % 22 as int) as year, source as journal_name
+from {documents}"""
+
+
+def noisy_titles(c: Corpus):
+    return c.spark.sql(NOISY_TITLES, documents=c.documents)
+
+
+NOISY_SQL = "with noisy as (" + NOISY_TITLES.format(documents="documents") + ")"
+
+
+@query(
+    "clean_title",
+    r"""
+with raw as (select page_id, concat('<i>', regexp_extract(html, '<h1>([^<]*)</h1>', 1), '</i>  &amp;amp; &lt;p&gt; <!-- x --><b>',
+                    page_id, '</b> p < 0.05') as raw from pages),
+bare as (select page_id, regexp_replace(raw, '<!--.*?-->|</?[A-Za-z][^>]*>', '', 'g') as t from raw)
+select page_id, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp;', '&'),
+       '\s+', ' ', 'g')) as title from bare""",
+)
+def clean_title(c: Corpus):
+    """Headings of all pages, with tags and twice-encoded characters around them, as clean titles."""
+    head = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    raw = F.concat(
+        F.lit("<i>"), head, F.lit("</i>  &amp;amp; &lt;p&gt; <!-- x --><b>"), F.col("page_id").cast("string"), F.lit("</b> p < 0.05")
+    )
+    return c.pages.select("page_id", clean.clean_title(raw).alias("title"))
+
+
+@query(
+    "format_authors",
+    check(
+        "articles",
+        """
+select doi, case when publisher = 'es' then 'Unknown' else array_to_string(list_filter(list_transform(string_split(authors, '; '),
+       lambda a: case when split_part(a, ' ', 2) = '' then null when split_part(a, ' ', 1) = '' then split_part(a, ' ', 2)
+                 else split_part(a, ' ', 1) || ' ' || split_part(a, ' ', 2) end), lambda n: n is not null), '; ') end as formatted
+from articles""",
+    ),
+)
+def format_authors(c: Corpus):
+    """Author structs of every article as one string; one language has no author list."""
+    structs = F.transform(
+        F.split("authors", "; "),
+        lambda a: F.struct(
+            F.split_part(a, F.lit(" "), F.lit(1)).alias("given"), F.split_part(a, F.lit(" "), F.lit(2)).alias("family")
+        ),
+    )
+    listed = F.when(F.col("publisher") != "es", structs)
+    return c.articles.select("doi", clean.format_authors(listed).alias("formatted"))
+
+
+@query(
+    "normalize_doi",
+    """
+with raw as (select event_id, case event_id % 5 when 0 then concat('https://doi.org/10.1/E', event_id) when 1 then concat(' DOI:10.1/e', event_id)
+             when 2 then concat('doi:https://doi.org/10.1/x', event_id) when 3 then '  ' else concat('http://doi.org/doi:10.1/Y', event_id) end as d from events)
+select event_id, case event_id % 5 when 0 then '10.1/e' || event_id when 1 then '10.1/e' || event_id when 2 then 'https://doi.org/10.1/x' || event_id
+       when 3 then null else '10.1/y' || event_id end as doi from raw""",
+)
+def normalize_doi(c: Corpus):
+    """Identifiers written in five ways, normalised."""
+    n = F.col("event_id").cast("string")
+    kind = F.col("event_id") % 5
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("https://doi.org/10.1/E"), n))
+        .when(kind == 1, F.concat(F.lit(" DOI:10.1/e"), n))
+        .when(kind == 2, F.concat(F.lit("doi:https://doi.org/10.1/x"), n))
+        .when(kind == 3, F.lit("  "))
+        .otherwise(F.concat(F.lit("http://doi.org/doi:10.1/Y"), n))
+    )
+    return c.events.select("event_id", clean.normalize_doi(raw).alias("doi"))
+
+
+def inverted_texts(c: Corpus):
+    """(doc_id, abstract_inverted_index): every document as word -> positions."""
+    word = c.documents.select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "word"))
+    places = word.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return places.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("abstract_inverted_index")
+    )
+
+
+@query(
+    "reconstruct_abstract",
+    r"""select doc_id, abstract from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as abstract from documents)
+where length(abstract) >= 40""",
+)
+def reconstruct_abstract(c: Corpus):
+    """Texts rebuilt from inverted indexes, short ones rejected."""
+    rebuilt = clean.accepted_abstract(clean.reconstruct_abstract(F.col("abstract_inverted_index")))
+    return inverted_texts(c).select("doc_id", rebuilt.alias("abstract")).filter("abstract is not null")
+
+
+@query("author_last_names", check("articles", f"select doi, array_to_string({NAMES_SQL}, '|') as last_names from articles"))
+def author_last_names(c: Corpus):
+    return c.articles.select("doi", F.array_join(clean.author_last_names(F.col("authors")), "|").alias("last_names"))
+
+
+def title_pairs(c: Corpus):
+    """Each saved page's title next to the title of its article."""
+    return c.page_titles.select("doi", "pos", F.col("title").alias("candidate_title")).join(
+        c.articles.select("doi", "title"), "doi"
+    )
+
+
+@query("partial_ratio")
+def partial_ratio(c: Corpus):
+    score = similarity.partial_ratio(F.col("title"), F.col("candidate_title"))
+    return title_pairs(c).select("doi", "pos", F.round(score, 6).alias("score"))
+
+
+@query(
+    "length_score",
+    check(
+        "articles page_titles",
+        r"""
+, n as (select doi, pos, len(regexp_extract_all(a.title, '\S+')) as x, len(regexp_extract_all(p.title, '\S+')) as y
+        from page_titles p join articles a using (doi))
+select doi, pos, case when x = 0 or y = 0 then 0 else round(least(x, y)::double / greatest(x, y) * 100, 6) end as score from n""",
+    ),
+)
+def length_score(c: Corpus):
+    score = similarity.length_score(F.col("title"), F.col("candidate_title"))
+    return title_pairs(c).select("doi", "pos", F.round(score, 6).alias("score"))
+
+
+@query("combined_similarity")
+def combined_similarity(c: Corpus):
+    score = similarity.combined_similarity(F.col("title"), F.col("candidate_title"))
+    return title_pairs(c).select("doi", "pos", F.round(score, 6).alias("score"))
+
+
+@query("ascii_slug", check("texts", "select doi, regexp_replace(lower(strip_accents(text)), '[^a-z]', '', 'g') as slug from texts"))
+def ascii_slug(c: Corpus):
+    return c.texts.select("doi", text.ascii_slug(F.col("text")).alias("slug"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in clean.KEY_STOP_WORDS)
+SLUG_SQL = "regexp_replace(lower(strip_accents({0})), '[^a-z]', '', 'g')"
+BASE_SQL = f"""
+, parts as (select *, trim(split_part(authors, ';', 1)) as first_author,
+                   list_filter(regexp_extract_all(title, '[A-Za-z]+'), lambda w: length(w) > 2 and lower(w) not in ({_STOP})) as telling from articles)
+, based as (select *, concat(coalesce(nullif({SLUG_SQL.format("case when contains(first_author, ',') then split_part(first_author, ',', 1) else regexp_extract(first_author, '(" + chr(92) + "S+)$', 1) end")}, ''), 'unknown'),
+                   year, lower(coalesce(telling[1], 'paper'))) as base from parts)"""
+
+
+@query("bib_key_base", check("articles", BASE_SQL + " select doi, base from based"))
+def bib_key_base(c: Corpus):
+    return c.articles.select(
+        "doi", clean.bib_key_base(F.col("authors"), F.col("year"), F.col("title")).alias("base")
+    )
+
+
+PAPER_URL = (
+    "case page_id % 5 when 0 then concat(url, '&abstract_id=', cast(page_id as string)) when 1 then concat(url, '&abstract=', cast(page_id as string)) "
+    "when 2 then concat('http://x.org/abstract/', cast(page_id as string)) when 3 then concat('http://x.org/p?abstractid=', cast(page_id as string), '&mirid=1') else url end"
+)
+
+
+@query(
+    "url_paper_id",
+    f"with u as (select page_id, {PAPER_URL} as u from pages) select page_id, coalesce("
+    + ", ".join(f"nullif(regexp_extract(u, '{p}', 1), '')" for p in clean.PAPER_ID_PATTERNS)
+    + ") as paper_id from u",
+)
+def url_paper_id(c: Corpus):
+    return c.pages.select("page_id", clean.url_paper_id(F.expr(PAPER_URL)).alias("paper_id"))
+
+
+@query("doi_slug", check("articles", "select doi, replace(replace(doi || '\\x', '/', '_'), '\\', '_') || '.pdf' as slug from articles"))
+def doi_slug(c: Corpus):
+    return c.articles.select("doi", clean.doi_slug(F.concat("doi", F.lit("\\x"))).alias("slug"))
+
+
+@query(
+    "frontmatter",
+    check(
+        "articles",
+        """
+select doi, trim(title) as title, publisher as lang, null::varchar as missing, 'a: b' as note from articles""",
+    ),
+)
+def frontmatter(c: Corpus):
+    """Front matter of a Markdown page made from each article: quotes, a colon in a value, a repeated key."""
+    page = F.concat(
+        F.lit('---\ntitle: "'), F.replace("title", F.lit('"'), F.lit("")), F.lit('"\nlang: zz\nno colon here\nnote: a: b\nlang: '), F.col("publisher"),
+        F.lit("\n---\nmissing: body\n"),
+    )
+    fields = front_matter(page)
+    return c.articles.select(
+        "doi", *[fields.getItem(k).alias(k) for k in ("title", "lang", "missing", "note")]
+    )
+
+
+@query(
+    "oa_location",
+    """
+with l as (select page_id, case when page_id % 3 = 0 then null else {'pdf_url': case when page_id % 4 = 0 then concat('http://ssrn.com/', page_id, '.pdf')
+                  when page_id % 4 = 1 then '' else concat(url, '.pdf') end, 'landing_page_url': url} end as best,
+           [{'pdf_url': null::varchar, 'landing_page_url': 'http://none'},
+            {'pdf_url': case when page_id % 5 = 0 then concat('http://papers.ssrn.com/', page_id) else concat('http://oa.org/', page_id, '.pdf') end,
+             'landing_page_url': 'http://oa.org'}] as others from pages)
+, pick as (select page_id, list_filter(list_concat([best], others), lambda x: coalesce(x.pdf_url, '') <> '' and not contains(x.pdf_url, 'ssrn.com'))[1] as loc from l)
+select page_id, loc.pdf_url as pdf_url, loc.landing_page_url as landing_page_url from pick where loc is not null""",
+)
+def oa_location(c: Corpus):
+    """The usable open-access location of every page's work."""
+    n = F.col("page_id").cast("string")
+
+    def place(pdf, landing):
+        return F.struct(pdf.cast("string").alias("pdf_url"), landing.alias("landing_page_url"))
+
+    four, five = F.col("page_id") % 4, F.col("page_id") % 5
+    best_pdf = (
+        F.when(four == 0, F.concat(F.lit("http://ssrn.com/"), n, F.lit(".pdf"))).when(four == 1, "").otherwise(
+            F.concat("url", F.lit(".pdf"))
+        )
+    )
+    other_pdf = F.when(five == 0, F.concat(F.lit("http://papers.ssrn.com/"), n)).otherwise(
+        F.concat(F.lit("http://oa.org/"), n, F.lit(".pdf"))
+    )
+    best = F.when(F.col("page_id") % 3 != 0, place(best_pdf, F.col("url")))
+    others = F.array(place(F.lit(None), F.lit("http://none")), place(other_pdf, F.lit("http://oa.org")))
+    chosen = c.pages.select("page_id", clean.oa_location(best, others).alias("loc")).filter("loc is not null")
+    return chosen.select("page_id", "loc.pdf_url", "loc.landing_page_url")
+
+
+@query(
+    "listing_urls",
+    r"""
+with item as (select page_id, '  <b>' || regexp_extract(html, '<title>([^<]*)</title>', 1) || '</b> ' as t,
+              case when page_id % 3 = 0 then '/books/b' || page_id else '/papers/w' || page_id || '?x=1' end as u from pages)
+select page_id, trim(regexp_replace(t, '<[^>]+>', '', 'g')) as title, 'w' || page_id as paper_id, 'https://www.nber.org' || u as candidate_url,
+       'https://www.nber.org/system/files/working_papers/w' || page_id || '/w' || page_id || '.pdf' as pdf_url
+from item where regexp_matches(u, '/papers/w\d+')""",
+)
+def listing_urls(c: Corpus):
+    """Title, number and addresses of every listing item that is a working paper."""
+    n = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/books/b"), n)).otherwise(
+        F.concat(F.lit("/papers/w"), n, F.lit("?x=1"))
+    )
+    title = F.concat(F.lit("  <b>"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("</b> "))
+    item = c.pages.select("page_id", clean.strip_tags(title).alias("title"), url.alias("u"))
+    return item.filter(clean.listing_paper_id(F.col("u")).isNotNull()).select(
+        "page_id",
+        "title",
+        clean.listing_paper_id(F.col("u")).alias("paper_id"),
+        clean.listing_landing_url(F.col("u")).alias("candidate_url"),
+        clean.listing_pdf_url(F.col("u")).alias("pdf_url"),
+    )
+
+
+@query(
+    "page_paragraphs",
+    r"""
+select page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1),
+       lambda b: trim(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda t: t <> ''), ' ') as body
+from pages""",
+)
+def paragraphs(c: Corpus):
+    return c.pages.select("page_id", page_paragraphs(F.col("html")).alias("body"))
+
+
+# Every page's first plain paragraph, wrapped in one of the four layouts an abstract is found in, or left as it was.
+ABSTRACT_PAGES = """
+select page_id, lead, case page_id % 5
+    when 0 then concat('<html><body><p>menu</p><div class="box abstract-text"><h3>Abstract</h3><p> ', lead, '</p><p></p><p>end<br>note</p></div><p>after</p></body></html>')
+    when 1 then concat('<html><body><section><h3>The <i>ABSTRACT</i></h3><p>', lead, '</p></section><p>after</p></body></html>')
+    when 2 then concat('<html><body><div id="a" class="paper-Abstract">Abstract <b> ', lead, ' </b><script>x</script></div></body></html>')
+    when 3 then concat('<html><body><div><b>Abstract</b> text <p>', lead, '</p><ul></ul><p>more</p><h4>Keys</h4><p>no</p></div></body></html>')
+    else html end as html
+from (select page_id, html, regexp_extract(html, '<p>([^<]*)</p>', 1) as lead from {pages})"""
+
+
+@query(
+    "extract_abstract",
+    "with p as ("
+    + ABSTRACT_PAGES.format(pages="pages")
+    + r""")
+, q as (select *, trim(replace(replace(replace(replace(lead, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) as lead_text from p)
+, t as (select page_id, case page_id % 5 when 0 then lead_text || ' endnote' when 1 then lead_text
+              when 2 then lead_text
+              when 3 then lead_text || ' more' end as abstract from q)
+select page_id, case when length(abstract) > 50 then abstract end as abstract from t""",
+)
+def extract_abstract(c: Corpus):
+    """Abstracts of all pages, in each of the layouts."""
+    pages = c.spark.sql(ABSTRACT_PAGES, pages=c.pages)
+    return with_abstract(pages).select("page_id", "abstract")
+
+
+@query(
+    "head_text",
+    r"""select doc_id, case when length(t) >= 100 then t end as head from
+(select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents)""",
+)
+def head_text(c: Corpus):
+    return c.documents.select("doc_id", clean.head_text(F.col("text")).alias("head"))
+
+
+FRACTION_SQL = f"""
+, named as (select a.doi, {NAMES_SQL} as names, lower(t.text) as low from articles a join texts t using (doi))
+, fractions as (select doi, case when len(names) = 0 then 0.0::double
+    else len(list_filter(names, lambda n: contains(low, n)))::double / len(names) end as fraction from named)"""
+
+
+@query("author_fraction", check("articles texts", FRACTION_SQL + " select doi, round(fraction, 6) as fraction from fractions"))
+def author_fraction(c: Corpus):
+    joined = c.articles.select("doi", "authors").join(c.texts, "doi")
+    fraction = clean.author_fraction(F.col("authors"), F.col("text"))
+    return joined.select("doi", F.round(fraction, 6).alias("fraction"))
+
+
+@query(
+    "page_class",
+    """
+with p as (select page_id, concat(html, case page_id % 6 when 1 then '<script data-cfasync="false">' when 2 then 'Challenge by CloudFlare' when 3 then 'Access Denied'
+           when 4 then 'access denied' when 5 then '429 Too Many Requests' else '' end) as h from pages)
+select page_id, case when contains(lower(h), 'data-cfasync') or contains(lower(h), 'cf_clearance') or contains(lower(h), '__cf_bm')
+    or (contains(lower(h), 'challenge') and contains(lower(h), 'cloudflare')) then 'cloudflare_challenge'
+    when contains(h, '403 Forbidden') or contains(h, '429 Too Many Requests') or contains(h, 'Access Denied') or contains(h, 'Too Many Requests')
+    then 'ip_blocked' else 'ok' end as class from p""",
+)
+def page_class(c: Corpus):
+    """Quality label of all pages; marks of challenges and blocks are mixed in."""
+    mark = F.element_at(
+        F.array(*[F.lit(m) for m in ("", '<script data-cfasync="false">', "Challenge by CloudFlare", "Access Denied", "access denied", "429 Too Many Requests")]),
+        (F.col("page_id") % 6 + 1).cast("int"),
+    )
+    return c.pages.select("page_id", rules.page_class(F.concat("html", mark)).alias("class"))
+
+
+@query("size_band", "select page_id, octet_length(encode(html)) as bytes from pages where octet_length(encode(html)) between 2500 and 3500")
+def size_band(c: Corpus):
+    return c.pages.filter(rules.in_size_band(F.col("html"), 3000, 500)).select("page_id", F.octet_length("html").cast("long").alias("bytes"))
+
+
+@query("valid_article", NOISY_SQL + f"""
+, l as (select *, lower(title) as low from noisy)
+select doi, kind in ('journal-article', 'proceedings-article') and not ({PHRASES}) and not ({PATTERNS}) as valid from l""")
+def valid_article(c: Corpus):
+    return noisy_titles(c).select(
+        "doi", rules.is_valid_article(F.col("kind"), F.col("title"), F.col("doi")).alias("valid")
+    )
+
+
+@query("non_articles", NOISY_SQL + f"""
+, l as (select *, lower(title) as low from noisy)
+select doi, title, year, journal_name from l where {PHRASES} or low in ('announcements', 'editorial')
+   or low like 'announcements and%' or low like 'volume %' or low like 'issue %' or low like 'contents%'""")
+def non_articles(c: Corpus):
+    return maintenance.non_articles(noisy_titles(c))

@@ -83,11 +83,16 @@ select concat('10.5555/d', cast(doc_id as string)) as doi,
        case doc_id % 3 when 0 then 'ingested' when 1 then 'flagged' else 'failed' end as status
 from {labels} where quality = 1""",
     "runs": """
-select concat('run', cast(user_id as string)) as run_id,
+select min(event_id) as id,
+       concat('run', cast(user_id as string)) as run_id,
        event_type as stage,
        case when sum(value) > 300 then 'success' else 'failed' end as status,
        min(ts) as started_at, max(ts) as finished_at
-from {events} group by 1, 2""",
+from {events} group by 2, 3""",
+    "changes": """
+select concat('10.5555/', case when user_id % 5 = 0 then 'n' else 'd' end, cast(user_id * 3 as string)) as doi,
+       event_id as ord, concat('note ', props) as note, value as score, event_type as kind
+from {events}""",
     "journals": """
 select distinct source as issn, concat('Journal ', source) as name,
        case when length(source) = 4 then 'finance' else 'economics' end as field

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from papyrine.functions.text import ascii_slug, fold, squeeze, strip
+from papyrine.functions.text import ascii_slug, fold, let, squeeze, strip
 
 # Words never used as the title word of a citation key.
 KEY_STOP_WORDS = (
@@ -89,8 +89,10 @@ def reconstruct_abstract(index: Column) -> Column:
             ),
         )
     )
-    ordered = F.array_sort(placed)
-    kept = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["pos"] != x["pos"]))
+    kept = let(
+        F.array_sort(placed),
+        lambda ordered: F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["pos"] != x["pos"])),
+    )
     return F.nullif(F.array_join(F.transform(kept, lambda x: x["word"]), " "), F.lit(""))
 
 
@@ -155,11 +157,10 @@ def author_fraction(authors: Column, text: Column, whole_words: bool = False) ->
     names = author_last_names(authors)
     low = F.lower(text)
     if whole_words:
+        names = F.transform(names, lambda n: F.concat(F.lit(" "), fold(n), F.lit(" ")))
         low = F.concat(F.lit(" "), F.regexp_replace(fold(low), "[^a-z]+", " "), F.lit(" "))
-        found = F.filter(names, lambda n: F.contains(low, F.concat(F.lit(" "), fold(n), F.lit(" "))))
-    else:
-        found = F.filter(names, lambda n: F.contains(low, n))
-    return F.when(F.size(names) == 0, F.lit(0.0)).otherwise(F.size(found) / F.greatest(F.size(names), F.lit(1)))
+    found = let(low, lambda t: F.size(F.filter(names, lambda n: F.contains(t, n))))
+    return F.when(F.size(names) == 0, F.lit(0.0)).otherwise(found / F.greatest(F.size(names), F.lit(1)))
 
 
 def strip_tags(col: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyrine.functions.text import strip
+from papyrine.functions.text import let, strip
 
 
 def front_matter(content: Column) -> Column:
@@ -18,11 +18,14 @@ def front_matter(content: Column) -> Column:
             F.regexp_replace(strip(F.regexp_replace(line, r"^[^:]*:", "")), '^"+|"+$', "").alias("value"),
         ),
     )
-    last = F.filter(
-        entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])
+    last = let(
+        entries,
+        lambda all_: F.filter(
+            all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"])
+        ),
     )
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return F.when(content.startswith("---") & (F.size(entries) > 0), F.map_from_entries(last)).otherwise(empty)
+    return F.when(content.startswith("---"), F.coalesce(F.map_from_entries(last), empty)).otherwise(empty)
 
 
 def heading(content: Column) -> Column:

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for use inside lambdas over arrays."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Drop leading and trailing white space of any kind (Spark's trim drops blanks only)."""
     return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")

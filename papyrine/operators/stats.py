@@ -161,13 +161,13 @@ def best_candidate(candidates: DataFrame, key: str, score: Column, position: Col
     return candidates.groupBy(key).agg(F.max_by(F.struct(*rest), rank).alias("_row")).select(key, "_row.*")
 
 
-def first_source(attempts: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Per record the first successful source in the given order."""
+def first_source(attempts: DataFrame, order: Sequence[str], tie: str = "pos") -> DataFrame:
+    """Per record the first successful source in the given order, and of that source the earliest attempt."""
     place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("source"))
     rest = [c for c in attempts.columns if c != "doi"]
     return (
         attempts.filter(place > 0)
         .groupBy("doi")
-        .agg(F.min_by(F.struct(*rest), place).alias("_row"))
+        .agg(F.min_by(F.struct(*rest), F.struct(place.alias("p"), F.col(tie).alias("t"))).alias("_row"))
         .select("doi", "_row.*")
     )

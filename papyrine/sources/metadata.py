@@ -19,8 +19,9 @@ ENRICHED = (
 )
 LISTING = "results array<struct<title:string,url:string>>"
 
-# Dump files are named after the journal and the year they hold.
-DUMP_NAME = r"cache_([^/_]+)_(\d{4})\.json$"
+# Dump files are named after the journal and the year they hold. A dump may also be a folder of
+# that name with parts in it.
+DUMP_NAME = r"cache_([^/_]+)_(\d{4})\.json(?:/|$)"
 
 
 def read_dumps(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
