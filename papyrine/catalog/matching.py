@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from papyrine.catalog.cleaning import FRACTION_SQL
+from papyrine.catalog.cleaning import FRACTION_SQL, NAMES_SQL
 from papyrine.catalog.registry import Corpus, at, check, query
 from papyrine.functions.clean import atom_pdf_url, author_fraction, author_last_names
 from papyrine.functions.pagetext import page_paragraphs
@@ -134,14 +134,14 @@ def atom_entries(c: Corpus):
     "resolve_atom",
     check(
         "articles page_titles",
-        """
+        f"""
 select doi, 'arxiv' as source, 'http://arxiv.org/abs/2' || pos as candidate_url,
        case when pos % 2 = 0 then 'http://a/2.pdf' else 'http://arxiv.org/pdf/2' || pos end as pdf_url, 100.0::double as match_score
-from page_titles p join articles a using (doi) where a.title <> ''""",
+from page_titles p join articles a using (doi) where a.title <> '' and not regexp_matches({NAMES_SQL}[-1], '\\s')""",
     ),
 )
 def resolve_atom(c: Corpus):
-    """Best feed entry per article that shares an author."""
+    """Best feed entry per article that shares an author (names in two words before a comma never match)."""
     return matching.resolve_atom(_feeds(c).filter("title <> ''"))
 
 
