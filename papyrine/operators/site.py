@@ -31,27 +31,30 @@ def entry_line(flagged: Column) -> Column:
     )
 
 
-_FLAGGED = F.col("status") == "flagged"
+def _flagged() -> Column:
+    return F.col("status") == "flagged"
 
 
 def index_by_journal(pages: DataFrame) -> DataFrame:
     """Lines by journal, newest year, title. Records without a journal do not appear."""
+    sections, within = journal_order()
     return (
         pages.filter(F.col("journal_name").isNotNull())
-        .select(F.col("journal_name").alias("section"), "year", "title", "bib_key", entry_line(_FLAGGED).alias("line"))
-        .orderBy("section", F.desc("year"), "title", "bib_key")
+        .select(F.col("journal_name").alias("section"), "year", "title", "bib_key", entry_line(_flagged()).alias("line"))
+        .orderBy(*sections, *within)
     )
 
 
 def index_by_year(pages: DataFrame) -> DataFrame:
     """Lines by year, newest first, then journal and title."""
+    sections, within = year_order()
     return pages.select(
         F.col("year").cast("string").alias("section"),
         "journal_name",
         "title",
         "bib_key",
-        entry_line(_FLAGGED).alias("line"),
-    ).orderBy(F.desc("section"), F.asc_nulls_last("journal_name"), "title", "bib_key")
+        entry_line(_flagged()).alias("line"),
+    ).orderBy(*sections, *within)
 
 
 def topic_links(concepts: DataFrame) -> DataFrame:
@@ -88,29 +91,27 @@ def index_by_topic(pages: DataFrame, concepts: DataFrame) -> DataFrame:
         "year",
         "title",
         "bib_key",
-        entry_line(_FLAGGED).alias("line"),
-    )
-    # Linked records go by key; the unlinked ones by newest year and title.
-    return (
-        linked.unionByName(empty)
-        .unionByName(rest)
-        .orderBy(
-            "part",
-            "path",
-            F.when(F.col("part") == 0, F.col("bib_key")),
-            F.desc_nulls_last("year"),
-            "title",
-            "bib_key",
-        )
+        entry_line(_flagged()).alias("line"),
     )
+    sections, within = topic_order()
+    return linked.unionByName(empty).unionByName(rest).orderBy(*sections, *within)
+
 
+def journal_order() -> tuple[list[Column], list[Column]]:
+    return [F.col("section")], [F.desc("year"), F.col("title"), F.col("bib_key")]
 
-JOURNAL_ORDER = ([F.col("section")], [F.desc("year"), F.col("title"), F.col("bib_key")])
-YEAR_ORDER = ([F.desc("section")], [F.asc_nulls_last("journal_name"), F.col("title"), F.col("bib_key")])
-TOPIC_ORDER = (
-    [F.col("part"), F.col("path"), F.col("section")],
-    [F.when(F.col("part") == 0, F.col("bib_key")), F.desc_nulls_last("year"), F.col("title"), F.col("bib_key")],
-)
+
+def year_order() -> tuple[list[Column], list[Column]]:
+    return [F.desc("section")], [F.asc_nulls_last("journal_name"), F.col("title"), F.col("bib_key")]
+
+
+def topic_order() -> tuple[list[Column], list[Column]]:
+    """Linked records go by key; the unlinked ones by newest year and title."""
+    linked = F.when(F.col("part") == 0, F.col("bib_key"))
+    return (
+        [F.col("part"), F.col("path"), F.col("section")],
+        [linked, F.desc_nulls_last("year"), F.col("title"), F.col("bib_key")],
+    )
 
 
 def write_lines(lines: DataFrame, path: str, order: tuple[list[Column], list[Column]]) -> None:
