@@ -101,7 +101,8 @@ def normalize_doi(c: Corpus):
 
 def inverted_texts(c: Corpus):
     """(doc_id, abstract_inverted_index): every document as word -> positions."""
-    word = c.documents.select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "word"))
+    # Spread by document once; both groupings below then stay inside their tasks.
+    word = c.documents.repartition("doc_id").select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "word"))
     places = word.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return places.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("abstract_inverted_index")

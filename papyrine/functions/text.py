@@ -56,8 +56,9 @@ _MARKS = "".join(chr(p) for p in range(0x300, 0x370))
 
 
 def fold(col: Column) -> Column:
-    """Replace accented letters by their base letter and drop combining marks."""
-    return F.translate(col, "".join(_SINGLE) + _MARKS, "".join(_SINGLE.values()))
+    """Replace accented letters by their base letter and drop combining marks. ASCII text is passed through."""
+    folded = F.translate(col, "".join(_SINGLE) + _MARKS, "".join(_SINGLE.values()))
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(folded)
 
 
 def ascii_slug(col: Column) -> Column:
@@ -79,10 +80,36 @@ def spaced(col: Column) -> Column:
 
 def tokens(col: Column, stop_words: list[str] | None = None) -> Column:
     """Analysed tokens: lower case, accents stripped, split at everything that is not a-z."""
-    parts = F.filter(F.split(F.regexp_replace(F.lower(fold(col)), "[^a-z]+", " "), " "), lambda t: t != "")
+    flat = F.trim(F.regexp_replace(F.lower(fold(col)), "[^a-z]+", " "))
+    parts = F.array_remove(F.split(flat, " "), "")
     return F.filter(parts, lambda t: ~t.isin(stop_words)) if stop_words else parts
 
 
+def term_counts(found: Column) -> Column:
+    """Array of (term, tf) for an array of tokens: run lengths of the sorted tokens, within the row.
+
+    No token leaves its document, so counting needs no shuffle.
+    """
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+        return let(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda i, n: F.struct(
+                    F.get(ordered, i).alias("term"),
+                    (F.coalesce(F.get(at, n + 1), F.size(ordered)) - i).alias("tf"),
+                ),
+            ),
+        )
+
+    return let(F.sort_array(F.when(F.size(found) > 0, found)), runs)
+
+
 def query_terms(text: str, stop_words: list[str] | None = None) -> list[str]:
     """The distinct tokens of a query string, by the same rules as :func:`tokens`."""
     plain = "".join("" if c in _MARKS else _SINGLE.get(c, c) for c in text).lower()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.clean import author_fraction
 from papyrine.functions.similarity import partial_ratio
+from papyrine.operators.common import spread
 from papyrine.operators.upsert import (
     append_with_ids,
     delete_keys,
@@ -19,8 +20,11 @@ VERDICT = "match boolean, confidence double, reason string"
 
 
 def check_text(rows: DataFrame) -> DataFrame:
-    """Add title_score and author_frac to rows (title, authors, text)."""
-    return rows.withColumn("title_score", partial_ratio(F.col("title"), F.col("text"))).withColumn(
+    """Add title_score and author_frac to rows (doi, title, authors, text).
+
+    Scoring costs far more than moving a row, so a small input is spread over all cores first.
+    """
+    return spread(rows, "doi").withColumn("title_score", partial_ratio(F.col("title"), F.col("text"))).withColumn(
         "author_frac", author_fraction(F.col("authors"), F.col("text"))
     )
 
