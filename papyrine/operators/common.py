@@ -30,6 +30,11 @@ def spread(df: DataFrame, *keys: str, per_core: int = 128 << 20) -> DataFrame:
     return df.repartition(*keys) if estimated_bytes(df) < cores * per_core else df
 
 
+def attach(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Put the columns of an ungrouped aggregate (exactly one row) next to every row."""
+    return df.join(F.broadcast(totals))
+
+
 def key_set(df: DataFrame, *keys: str) -> DataFrame:
     """Distinct keys, for the right side of semi and anti joins.
 

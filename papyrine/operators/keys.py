@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.clean import author_list, bib_key_base
 from papyrine.operators.common import spread_rank
+from papyrine.session import materialise
 
 LETTERS = "bcdefghijklmnopqrstuvwxyz"
 SLOTS = len(LETTERS) + 1  # the bare base, then one letter
@@ -35,8 +36,12 @@ def assign_bib_keys(queue: DataFrame, published: DataFrame, written: DataFrame)
     keeps its bare key, so two bases never meet. After z the keys go on with numbers.
     """
     known = queue.select("doi").join(published.select("doi", "bib_key"), "doi")
-    new = queue.join(published.select("doi"), "doi", "left_anti").select(
-        "doi", bib_key_base(F.col("authors"), F.col("year"), F.col("title")).alias("base")
+    # The bases are read five times below: store them once, two short columns.
+    new = materialise(
+        queue.join(published.select("doi"), "doi", "left_anti").select(
+            "doi", bib_key_base(F.col("authors"), F.col("year"), F.col("title")).alias("base")
+        ),
+        "key-bases",
     )
     ranked = spread_rank(new, ["base"], F.md5("doi"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.clean import doi_slug
 from papyrine.functions.rules import in_size_band, is_cleanup_title
+from papyrine.operators.common import attach
 from papyrine.operators.stats import failed_to_reset
 from papyrine.operators.upsert import delete_keys
 
@@ -85,8 +86,8 @@ def run_attention(log: DataFrame, runs: DataFrame, run_id: str) -> DataFrame:
         (F.col("stage") == "wiki_ingest") & F.col("status").isin("flagged", "failed")
     )
     return (
-        log.filter(issue)
-        .join(F.broadcast(began), F.col("processed_at") >= F.col("_began"))
+        attach(log.filter(issue), began)
+        .filter(F.col("processed_at") >= F.col("_began"))
         .select("id", "doi", "stage", "status", "error_message", "processed_at")
         .orderBy("processed_at", "id")
     )

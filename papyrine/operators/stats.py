@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.rules import is_missing, matches_any
@@ -19,7 +19,7 @@ def journal_or_unknown() -> Column:
 def corpus_stats(
     articles: DataFrame, pages: DataFrame, files: DataFrame, log: DataFrame, published: DataFrame
 ) -> DataFrame:
-    """One row of totals: one aggregate per table, put side by side.
+    """One row of totals: one aggregate per table, brought together.
 
     ``pages_with_abstract`` counts '' as present; ``missing_abstracts`` counts '' as missing.
     """
@@ -40,7 +40,10 @@ def corpus_stats(
         distinct_with_outcome(log, "enrich_openalex", "success", "enriched"),
         distinct_with_outcome(log, "verify_pdf", "mismatch", "quarantined"),
     ]
-    one_row = reduce(lambda a, b: a.crossJoin(b), parts)
+    # Every part is a single row: as (metric, n) lines they add up to one more single row.
+    lines = reduce(DataFrame.unionByName, [part.unpivot([], part.columns, "metric", "n") for part in parts])
+    names = [name for part in parts for name in part.columns]
+    one_row = lines.agg(*[F.max(F.when(F.col("metric") == name, F.col("n"))).alias(name) for name in names])
     return one_row.withColumn("pending_pages", F.col("articles") - F.col("pages"))
 
 
@@ -80,10 +83,10 @@ def missing_by_journal(articles: DataFrame, pages: DataFrame, limit: int | None
 
 
 def missing_bars(missing: DataFrame, width: int = 30) -> DataFrame:
-    """A text bar per journal, scaled to the largest count of the given report."""
-    top = missing.agg(F.max("missing_count").alias("_top"))
-    length = F.floor(F.col("missing_count") / F.col("_top") * width).cast("int")
-    return missing.crossJoin(F.broadcast(top)).withColumn("bar", F.repeat(F.lit("█"), length)).drop("_top")
+    """A text bar per journal, scaled to the largest count of the given short report (see ``missing_by_journal``)."""
+    top = F.max("missing_count").over(Window.partitionBy())
+    length = F.floor(F.col("missing_count") / top * width).cast("int")
+    return missing.withColumn("bar", F.repeat(F.lit("█"), length))
 
 
 def outcome_counts(outcomes: DataFrame, column: str, named: Sequence[str], rest: str = "failed") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.functions.rules import is_missing
-from papyrine.operators.common import key_set, latest_per_key, spread_rank
+from papyrine.operators.common import attach, key_set, latest_per_key, spread_rank
 from papyrine.operators.queues import PUBLISHED
 
 
@@ -163,10 +163,8 @@ def upsert_published(current: DataFrame, changes: DataFrame, now: Column) -> Dat
 def append_with_ids(current: DataFrame, rows: DataFrame, digest: Column, id_column: str = "id") -> DataFrame:
     """Append rows with the next free ids, in the order of a unique digest, numbered without a single task."""
     top = current.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
-    numbered = (
-        spread_rank(rows, [], digest, "_rank")
-        .crossJoin(F.broadcast(top))
-        .withColumn(id_column, (F.col("_top") + F.col("_rank")).cast(current.schema[id_column].dataType))
+    numbered = attach(spread_rank(rows, [], digest, "_rank"), top).withColumn(
+        id_column, (F.col("_top") + F.col("_rank")).cast(current.schema[id_column].dataType)
     )
     return current.unionByName(numbered.select(*[c for c in current.columns if c in numbered.columns]), True)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.clean import clean_title, format_authors, issued_year, joined_title
 from papyrine.functions.rules import is_valid_article
+from papyrine.operators.common import latest_per_key
 
 WORK = (
     "type string, DOI string, publisher string, title array<string>, "
@@ -63,7 +64,8 @@ def read_listings(df: DataFrame, column: str) -> DataFrame:
 def transform_works(works: DataFrame, journals: DataFrame, mode: str = "substring") -> DataFrame:
     """Article rows from works (with their ``issn``): valid articles that have a year, constants from the journal.
 
-    The validity rule sees the raw title, the row gets the cleaned one. A work listed twice keeps one row.
+    The validity rule sees the raw title, the row gets the cleaned one. Of a work listed twice the
+    newest row stays.
     """
     raw = F.array_join(F.coalesce("title", F.array(F.lit(""))), " ")
     valid = works.filter(is_valid_article(F.col("type"), raw, F.col("DOI"), mode))
@@ -77,7 +79,8 @@ def transform_works(works: DataFrame, journals: DataFrame, mode: str = "substrin
     ).filter("year is not null")
     named = rows.join(journals.select(F.col("issn").alias("journal_issn"), F.col("name").alias("journal_name")), "journal_issn")
     columns = ["doi", "title", "authors", "year", "journal_issn", "journal_name", "publisher"]
-    return named.select(*columns).dropDuplicates(["doi"])
+    newest = F.struct("year", "title", "authors")
+    return latest_per_key(named.select(*columns), ["doi"], newest)
 
 
 def not_collected(pairs: DataFrame, articles: DataFrame) -> DataFrame:
