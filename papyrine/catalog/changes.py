@@ -11,7 +11,7 @@ from papyrine.catalog.cleaning import NOISY_TITLES, PATTERNS, PHRASES, noisy_tit
 from papyrine.catalog.registry import Corpus, at, check, query
 from papyrine.operators import upsert
 from papyrine.operators.stats import failed_to_reset
-from papyrine.sources.metadata import read_dumps, transform_works
+from papyrine.sources.metadata import read_dumps, readable, transform_works
 from papyrine.session import scratch_path
 
 OLD, NOW = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
@@ -367,5 +367,5 @@ def write_dumps(c: Corpus, name: str) -> str:
 @query("scan_metadata", WORKS_SQL + f" select {ARTICLE_ROW} from works")
 def scan_metadata(c: Corpus):
     """The same rows from JSON dumps on disk; journal and year come from the dump's name."""
-    dumps = read_dumps(c.spark, write_dumps(c, "dumps"), multi_line=False).filter("_corrupt_record is null")
-    return transform_works(dumps, c.journals)
+    dumps = read_dumps(c.spark, write_dumps(c, "dumps"), multi_line=False)
+    return transform_works(readable(dumps), c.journals)

@@ -42,6 +42,16 @@ def read_dumps(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     return with_dump_name(works)
 
 
+def readable(works: DataFrame) -> DataFrame:
+    """Works that could be parsed."""
+    return works.filter("_corrupt_record is null").drop("_corrupt_record")
+
+
+def broken_dumps(works: DataFrame) -> DataFrame:
+    """(issn, dump_year) of dumps with unreadable records, to be fetched again."""
+    return works.filter("_corrupt_record is not null and DOI is null").select("issn", "dump_year").distinct()
+
+
 def with_dump_name(works: DataFrame) -> DataFrame:
     name = F.col("_metadata.file_path")
     return works.select(

@@ -17,10 +17,8 @@ PDF_SIGNATURE = b"%PDF-"
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
     """(path, content) of whole text files."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.option("recursiveFileLookup", True)
+        .text(path, wholetext=True, pathGlobFilter=pattern)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
