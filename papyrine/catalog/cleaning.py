@@ -9,6 +9,7 @@ from papyrine.functions import clean, rules, similarity, text
 from papyrine.functions.markdown import front_matter
 from papyrine.functions.pagetext import page_paragraphs, with_abstract
 from papyrine.operators import maintenance
+from papyrine.operators.common import spread
 
 NAMES_SQL = (
     "list_filter(list_transform(list_filter(list_transform(string_split(authors, ';'), lambda a: trim(a)), lambda a: a <> ''),"
@@ -101,23 +102,18 @@ def normalize_doi(c: Corpus):
 
 def inverted_texts(c: Corpus):
     """(doc_id, abstract_inverted_index): every document as word -> positions."""
-    # Spread by document once; both groupings below then stay inside their tasks.
-    word = c.documents.repartition("doc_id").select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "word"))
-    places = word.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return places.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("abstract_inverted_index")
-    )
+    docs = spread(c.documents.select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", text.inverted_index(text.words(F.col("text"))).alias("abstract_inverted_index"))
 
 
 @query(
     "reconstruct_abstract",
-    r"""select doc_id, abstract from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as abstract from documents)
-where length(abstract) >= 40""",
+    r"""select doc_id, case when length(t) >= 40 then t end as abstract from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents)""",
 )
 def reconstruct_abstract(c: Corpus):
     """Texts rebuilt from inverted indexes, short ones rejected."""
     rebuilt = clean.accepted_abstract(clean.reconstruct_abstract(F.col("abstract_inverted_index")))
-    return inverted_texts(c).select("doc_id", rebuilt.alias("abstract")).filter("abstract is not null")
+    return inverted_texts(c).select("doc_id", rebuilt.alias("abstract"))
 
 
 @query("author_last_names", check("articles", f"select doi, array_to_string({NAMES_SQL}, '|') as last_names from articles"))
@@ -189,7 +185,7 @@ PAPER_URL = (
 @query(
     "url_paper_id",
     f"with u as (select page_id, {PAPER_URL} as u from pages) select page_id, coalesce("
-    + ", ".join(f"nullif(regexp_extract(u, '{p}', 1), '')" for p in clean.PAPER_ID_PATTERNS)
+    + ", ".join(f"nullif(regexp_extract(u, '{mark}([0-9]+)', 1), '')" for mark in clean.PAPER_ID_MARKS)
     + ") as paper_id from u",
 )
 def url_paper_id(c: Corpus):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from papyrine.catalog.cleaning import FRACTION_SQL, NAMES_SQL
 from papyrine.catalog.registry import Corpus, at, check, query
-from papyrine.functions.clean import atom_pdf_url, author_fraction, author_last_names
+from papyrine.functions.clean import atom_pdf_url, author_fraction, author_last_names, head_text
 from papyrine.functions.pagetext import page_paragraphs
 from papyrine.functions.text import squeeze
 from papyrine.operators import matching, stats, verify
@@ -215,8 +215,7 @@ def verify_status(c: Corpus):
 @query("verify_pages")
 def verify_pages(c: Corpus):
     """Title and authors of every article with a page, checked against the page's whole text."""
-    body = page_paragraphs(F.col("html"))
-    rows = c.work_pages.select("doi", F.when(F.length(body) >= 100, body).alias("text")).join(
+    rows = c.work_pages.select("doi", head_text(page_paragraphs(F.col("html"))).alias("text")).join(
         c.articles.select("doi", "title", "authors"), "doi"
     )
     return verify.verify(verify.check_text(rows)).withColumn("verify_score", F.round("verify_score", 6))

@@ -16,9 +16,9 @@ VIEWS = {
 select concat('10.5555/d', cast(doc_id as string)) as doi,
        trim(regexp_extract(text, '^[^.\n]*', 0)) as title,
        case when doc_id % 5 = 0 then 'Unknown'
-            when doc_id % 5 < 3 then concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3), '; ',
-                                            split_part(text, ' ', 4), ' ', split_part(text, ' ', 5))
-            else concat(split_part(text, ' ', 2), ', ', split_part(text, ' ', 3)) end as authors,
+            when doc_id % 5 < 3 then concat(regexp_extract(text, '^[^ ]* ([^ ]*)', 1), ' ', regexp_extract(text, '^[^ ]* [^ ]* ([^ ]*)', 1), '; ',
+                 regexp_extract(text, '^[^ ]* [^ ]* [^ ]* ([^ ]*)', 1), ' ', regexp_extract(text, '^[^ ]* [^ ]* [^ ]* [^ ]* ([^ ]*)', 1))
+            else concat(regexp_extract(text, '^[^ ]* ([^ ]*)', 1), ', ', regexp_extract(text, '^[^ ]* [^ ]* ([^ ]*)', 1)) end as authors,
        cast(2004 + doc_id % 22 as int) as year,
        source as journal_issn,
        case when doc_id % 17 = 0 then null else concat('Journal ', source) end as journal_name,

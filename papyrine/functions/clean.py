@@ -17,8 +17,8 @@ KEY_STOP_WORDS = (
     "under what when which who why with"
 ).split()
 
-# Where a paper number stands in an address, in order of preference.
-PAPER_ID_PATTERNS = [r"abstract_id=(\d+)", r"abstract=(\d+)", r"/abstract/(\d+)", r"abstractid=(\d+)"]
+# What stands before a paper number in an address, in order of preference.
+PAPER_ID_MARKS = ["abstract_id=", "abstract=", "/abstract/", "abstractid="]
 
 # DOI prefixes removed, in order, once each.
 DOI_PREFIXES = ["https://doi.org/", "http://doi.org/", "doi:"]
@@ -33,20 +33,19 @@ def _unescape_twice(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(html.unescape(t)), na_action="ignore")
 
 
-def unescape_twice(col: Column) -> Column:
-    """Decode character references twice; rows without an ampersand never reach Python."""
-    marked = F.when(F.contains(col, F.lit("&")), col)
-    return F.coalesce(_unescape_twice(marked), col)
-
-
 def drop_markup(col: Column) -> Column:
     """Remove comments, declarations and tags. A '<' that starts no tag stays, as in 'p < 0.05'."""
     return F.regexp_replace(col, r"(?s)<!--.*?-->|<[/]?[A-Za-z][^>]*>|<[!?][^>]*>", "")
 
 
 def clean_title(col: Column) -> Column:
-    """Title without tags and character references, white space collapsed; NULL and '' stay as they are."""
-    return F.when(col == "", col).otherwise(squeeze(unescape_twice(drop_markup(col))))
+    """Title without tags and character references, white space collapsed; NULL and '' stay as they are.
+
+    References are decoded twice. Titles without an ampersand never reach Python.
+    """
+    bare = drop_markup(col)
+    decoded = _unescape_twice(F.when(F.contains(col, F.lit("&")), bare))
+    return squeeze(F.coalesce(decoded, bare))
 
 
 def joined_title(parts: Column) -> Column:
@@ -75,8 +74,8 @@ def normalize_doi(col: Column) -> Column:
     """Trimmed lower-case DOI without resolver prefixes; blank becomes NULL."""
     doi = F.lower(strip(col))
     for prefix in DOI_PREFIXES:
-        doi = F.when(doi.startswith(prefix), F.substring(doi, len(prefix) + 1, 2**31 - 1)).otherwise(doi)
-    return F.nullif(doi, F.lit(""))
+        doi = F.regexp_replace(doi, "^" + prefix.replace(".", r"\."), "")
+    return let(doi, lambda d: F.nullif(d, F.lit("")))
 
 
 def reconstruct_abstract(index: Column) -> Column:
@@ -93,13 +92,12 @@ def reconstruct_abstract(index: Column) -> Column:
         F.array_sort(placed),
         lambda ordered: F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["pos"] != x["pos"])),
     )
-    return F.nullif(F.array_join(F.transform(kept, lambda x: x["word"]), " "), F.lit(""))
+    return let(kept, lambda k: F.when(F.size(k) > 0, F.array_join(F.transform(k, lambda x: x["word"]), " ")))
 
 
 def accepted_abstract(text: Column, min_length: int = MIN_ABSTRACT) -> Column:
     """The trimmed abstract when it is long enough, otherwise NULL."""
-    trimmed = strip(text)
-    return F.when(F.length(trimmed) >= min_length, trimmed)
+    return let(strip(text), lambda t: F.when(F.length(t) >= min_length, t))
 
 
 def author_list(authors: Column) -> Column:
@@ -135,7 +133,7 @@ def bib_key_base(authors: Column, year: Column, title: Column) -> Column:
 
 def url_paper_id(url: Column) -> Column:
     """The paper number in an address: first pattern that hits, else NULL."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in PAPER_ID_PATTERNS])
+    return F.coalesce(*[F.regexp_substr(url, F.lit(rf"(?<={mark})\d+")) for mark in PAPER_ID_MARKS])
 
 
 def doi_slug(doi: Column) -> Column:
@@ -145,8 +143,7 @@ def doi_slug(doi: Column) -> Column:
 
 def head_text(text: Column, min_length: int = 100) -> Column:
     """Squeezed text, NULL when it is too short to judge."""
-    flat = squeeze(text)
-    return F.when(F.length(flat) >= min_length, flat)
+    return let(squeeze(text), lambda t: F.when(F.length(t) >= min_length, t))
 
 
 def author_fraction(authors: Column, text: Column, whole_words: bool = False) -> Column:
@@ -154,13 +151,16 @@ def author_fraction(authors: Column, text: Column, whole_words: bool = False) ->
 
     Names match as substrings ('li' is found in 'reliable'); ``whole_words`` asks for a word of its own.
     """
-    names = author_last_names(authors)
     low = F.lower(text)
     if whole_words:
-        names = F.transform(names, lambda n: F.concat(F.lit(" "), fold(n), F.lit(" ")))
         low = F.concat(F.lit(" "), F.regexp_replace(fold(low), "[^a-z]+", " "), F.lit(" "))
-    found = let(low, lambda t: F.size(F.filter(names, lambda n: F.contains(t, n))))
-    return F.when(F.size(names) == 0, F.lit(0.0)).otherwise(found / F.greatest(F.size(names), F.lit(1)))
+
+    def share(names: Column) -> Column:
+        asked = F.transform(names, lambda n: F.concat(F.lit(" "), fold(n), F.lit(" "))) if whole_words else names
+        found = let(low, lambda t: F.size(F.filter(asked, lambda n: F.contains(t, n))))
+        return F.when(F.size(names) == 0, F.lit(0.0)).otherwise(found / F.greatest(F.size(names), F.lit(1)))
+
+    return let(author_last_names(authors), share)
 
 
 def strip_tags(col: Column) -> Column:
@@ -173,7 +173,7 @@ LISTING_FILES = "https://www.nber.org/system/files/working_papers/"
 
 
 def listing_paper_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, r"/papers/(w\d+)", 1), F.lit(""))
+    return F.regexp_substr(url, F.lit(r"(?<=/papers/)w\d+"))
 
 
 def listing_landing_url(url: Column) -> Column:

@@ -13,7 +13,11 @@ SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, for use inside lambdas over arrays."""
+    """``body(value)`` with the value computed once.
+
+    A column expression that appears twice, as in ``when(length(x) > 9, x)``, is worked out twice unless the
+    optimizer can prove both uses unconditional; inside lambdas it is worked out per element.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -29,12 +33,11 @@ def squeeze(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    return F.filter(F.split(squeeze(col), " "), lambda w: w != "")
+    return F.array_remove(F.split(squeeze(col), " "), "")
 
 
 def word_count(col: Column) -> Column:
-    flat = squeeze(col)
-    return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " ")))
+    return F.size(words(col))
 
 
 def _compatibility_letters() -> tuple[dict[str, str], dict[str, str]]:
@@ -85,6 +88,14 @@ def tokens(col: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(parts, lambda t: ~t.isin(stop_words)) if stop_words else parts
 
 
+def _run_starts(ordered: Column, value) -> Column:
+    """Positions at which ``value(element)`` of a sorted array changes."""
+    return F.filter(
+        F.sequence(F.lit(0), F.size(ordered) - 1),
+        lambda i: (i == 0) | (value(F.get(ordered, i)) != value(F.get(ordered, i - 1))),
+    )
+
+
 def term_counts(found: Column) -> Column:
     """Array of (term, tf) for an array of tokens: run lengths of the sorted tokens, within the row.
 
@@ -92,12 +103,8 @@ def term_counts(found: Column) -> Column:
     """
 
     def runs(ordered: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(ordered) - 1),
-            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-        )
         return let(
-            starts,
+            _run_starts(ordered, lambda x: x),
             lambda at: F.transform(
                 at,
                 lambda i, n: F.struct(
@@ -110,6 +117,29 @@ def term_counts(found: Column) -> Column:
     return let(F.sort_array(F.when(F.size(found) > 0, found)), runs)
 
 
+def inverted_index(found: Column) -> Column:
+    """Map word -> positions of an array of words, within the row; NULL for an empty array."""
+    placed = F.transform(F.when(F.size(found) > 0, found), lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
+
+    def runs(ordered: Column) -> Column:
+        return let(
+            _run_starts(ordered, lambda x: x["word"]),
+            lambda at: F.map_from_entries(
+                F.transform(
+                    at,
+                    lambda i, n: F.struct(
+                        F.get(ordered, i)["word"].alias("key"),
+                        F.transform(
+                            F.slice(ordered, i + 1, F.coalesce(F.get(at, n + 1), F.size(ordered)) - i), lambda x: x["pos"]
+                        ).alias("value"),
+                    ),
+                )
+            ),
+        )
+
+    return let(F.sort_array(placed), runs)
+
+
 def query_terms(text: str, stop_words: list[str] | None = None) -> list[str]:
     """The distinct tokens of a query string, by the same rules as :func:`tokens`."""
     plain = "".join("" if c in _MARKS else _SINGLE.get(c, c) for c in text).lower()

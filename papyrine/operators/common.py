@@ -15,19 +15,21 @@ def maybe_limit(df: DataFrame, limit: int | None) -> DataFrame:
     return df.limit(limit) if limit else df
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame; nothing is run for it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Size of all files and local rows the frame reads, as the optimizer knows it; nothing is run for it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 128 << 20) -> DataFrame:
     """Spread a small input over all cores before costly work per row.
 
     Input of at least one full split per core is left where it is: at that size the scan itself has enough tasks,
-    and a shuffle of the texts would be waste. ``keys`` should be unique, so that no partition grows hot.
+    and a shuffle of the texts would be waste. ``keys`` should be unique, so that no partition grows hot. The number
+    of partitions is given, because adaptive execution would merge small ones again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(*keys) if estimated_bytes(df) < cores * per_core else df
+    return df.repartition(cores, *keys) if input_bytes(df) < cores * per_core else df
 
 
 def attach(df: DataFrame, totals: DataFrame) -> DataFrame:
