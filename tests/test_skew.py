@@ -55,14 +55,9 @@ def test_copies_of_one_title(spark):
         assert found.count() == 900
 
 
-def test_no_products_and_no_window_over_everything(spark):
-    """Registered queries have no cartesian product; a single-partition window sees a short list at most."""
-    short = {"missing_bar"}  # over the ten rows of its report
-    bucketed = {"append_runs", "quarantine"}  # over at most 4,096 bucket counts
+def test_no_products(spark):
+    """No registered query has a cartesian product."""
     for name, query in driver.queries().items():
-        if name.endswith("stream") or name.startswith("stream") or name == "scan_metadata":
+        if "stream" in name or name == "scan_metadata":
             continue
-        p = plan(query(spark, FOLDER))
-        assert "CartesianProduct" not in p, name
-        if "No Partition Defined" in p:
-            assert name in short | bucketed
+        assert "CartesianProduct" not in plan(query(spark, FOLDER)), name
