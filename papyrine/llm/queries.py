@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.llm import quality
+from papyrine.llm import ngram_join, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality by a byte-level convolutional network."""

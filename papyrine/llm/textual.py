@@ -64,8 +64,8 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one shingle."""
-    words, offsets = word_hashes(texts)
+    """Sorted distinct shingle hashes of each text with A-Z lower-cased; fewer words than ``size`` make one shingle."""
+    words, offsets = word_hashes([t.lower() for t in texts])
     grams = gram_hashes(words, size)
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
