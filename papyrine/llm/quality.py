@@ -153,10 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes:
         .groupBy("doc_id")
         .agg(F.min("_label").alias("_label"))
     )
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     short = docs.where("text is not null").where(F.octet_length("text") <= sample_bytes).select("doc_id", "text")
-    chosen = short.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-    rows = chosen.select("text", "_label").collect()  # bounded by sample * sample_bytes
-    return fit(encoded(r[0] for r in rows), np.array([r[1] for r in rows], np.float32))
+    # At most ``sample`` ids are sent to the tasks, and their texts come back: no text is shuffled.
+    texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_label").alias("_label"))
+    rows = sorted(texts.collect())  # bounded by sample * sample_bytes
+    return fit(encoded(r[1] for r in rows), np.array([r[2] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, net: ConvNet, folds: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
