@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.llm import ngram_join, quality, suffix_dedup
+from papyrine.llm import decontaminate, ngram_join, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,12 @@ def op4_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+@query
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of documents that lie within the edit budget of a benchmark item."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality by a byte-level convolutional network."""
