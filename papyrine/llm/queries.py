@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.llm import decontaminate, ngram_join, quality, suffix_dedup
+from papyrine.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,12 @@ def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op3_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, filled with lexical neighbours."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query
 def op4_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     """Removal of every string of 200 bytes that occurs elsewhere, by induced suffix arrays."""
