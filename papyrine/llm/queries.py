@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
+from papyrine.llm import decontaminate, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,12 +39,24 @@ def op4_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+@query
+def op6_window_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    """Removal of every run of 35 words that occurs elsewhere, level by level."""
+    return substring_dedup.remove_windows(table(spark, folder, "documents"))
+
+
 @query
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Parts of documents that lie within the edit budget of a benchmark item."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op8_text_density(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page by composite text density."""
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 @query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality by a byte-level convolutional network."""
