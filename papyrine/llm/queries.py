@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.llm import decontaminate, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup
+from papyrine.llm import decontaminate, gru_lm, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_gru_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document by a recurrent language model, beside a unigram base."""
+    return gru_lm.score(table(spark, folder, "documents"))
+
+
 @query
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
