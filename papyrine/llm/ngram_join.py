@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from papyrine.llm.exchange import frequencies
 from papyrine.llm.graph import EDGE, components
-from papyrine.llm.textual import by_partition, joined, mix, partitions, shingle_sets, text_batches
+from papyrine.llm.textual import BLOCK, by_partition, joined, mix, partitions, shingle_sets, text_batches
 from papyrine.session import materialise
 
 SLICE = 0.3  # part of the hash space that step 2 looks at
@@ -112,10 +112,19 @@ def lonely_shingles(docs: DataFrame, size: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         low, high = np.minimum.reduceat(k, begin), np.maximum.reduceat(k, begin)
         keys, lone = np.unique(low[(low == high) & (low != 0)], return_counts=True)
+        rows = list(by_partition((keys.view(np.uint64) % np.uint64(parts)).astype(np.int64), parts, keys, lone.astype(np.int64)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["p", "t", "k"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(1).to_pylist(), b.column(2).to_pylist()) for b in batches]
+        keys, code = np.unique(joined((x for a, _ in got for x in a), np.int64), return_inverse=True)
+        lone = np.bincount(code, joined((x for _, a in got for x in a), np.int64), len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lone)], ["k1", "lone"])
 
-    sent = docs.select("text").mapInArrow(send, "p int, t binary, k binary").repartition(parts, "p")
-    return sent.mapInArrow(count, "k1 long, lone long").groupBy("k1").agg(F.sum("lone").alias("lone"))
+    packed = "p int, t binary, k binary"
+    sent = docs.select("text").mapInArrow(send, packed).repartition(parts, "p")
+    return sent.mapInArrow(count, packed).repartition(parts, "p").mapInArrow(add, "k1 long, lone long")
 
 
 def shingle_table(docs: DataFrame, alive: DataFrame, size: int) -> DataFrame:
@@ -130,7 +139,7 @@ def shingle_table(docs: DataFrame, alive: DataFrame, size: int) -> DataFrame:
             same = (k1 == batch.column(2).to_numpy()) & (k2 == batch.column(3).to_numpy())
             rows = np.flatnonzero(same)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), place + at)), batch.column(0).take(pa.array(rows)), pa.array([len(sets[i]) for i in rows], pa.int64()), pa.array([sets[i].tobytes() for i in rows], pa.binary())],
+                [pa.array(np.full(len(rows), place + at // BLOCK)), batch.column(0).take(pa.array(rows)), pa.array([len(sets[i]) for i in rows], pa.int64()), pa.array([sets[i].tobytes() for i in rows], pa.binary())],
                 ["b", "cid", "n", "s"],
             )
 

@@ -7,7 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # text handled by numpy at a time
+CHUNK_BYTES = 1 << 20  # text handled by numpy at a time; its arrays take some 60 times as much
+BLOCK = 4  # such chunks make a block of rows, for the exchanges of packed arrays
 
 _rng = np.random.default_rng(20240917)
 # One random number per (byte, place in the word modulo 64): a word's hash is the sum over its bytes.
