@@ -13,7 +13,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one (S type); the sentinel in the last row is S."""
     n, k = text.shape
     sign = np.ones((n, k), np.int8)
-    sign[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
+    sign[:-1] = np.sign(text[1:] - text[:-1])
     at = np.where(sign != 0, np.arange(n, dtype=np.int32)[:, None], n)
     at = np.minimum.accumulate(at[::-1], axis=0)[::-1]  # next row where the symbol changes
     return np.take_along_axis(sign, at, 0) > 0
@@ -36,7 +36,7 @@ def _induce(coded: np.ndarray, sa: np.ndarray, heads: np.ndarray, ends: np.ndarr
     flat, slots = coded.ravel(), sa.ravel()
     head = heads.ravel().copy()
     for t in range(n):
-        j = sa[t] - 1
+        j = sa[t].astype(np.int64) - 1
         on = np.flatnonzero(j >= 0)
         j = j[on]
         code = flat[j * k + on]
@@ -47,7 +47,7 @@ def _induce(coded: np.ndarray, sa: np.ndarray, heads: np.ndarray, ends: np.ndarr
         head[bucket] = slot + 1
     tail = ends.ravel().copy()
     for t in range(n - 1, -1, -1):
-        j = sa[t] - 1
+        j = sa[t].astype(np.int64) - 1
         on = np.flatnonzero(j >= 0)
         j = j[on]
         code = flat[j * k + on]
@@ -61,7 +61,7 @@ def _induce(coded: np.ndarray, sa: np.ndarray, heads: np.ndarray, ends: np.ndarr
 def _placed(order: np.ndarray, lanes: np.ndarray, coded: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A fresh array with the given suffixes, in the given order within each bucket, at their buckets' ends."""
     n, k = coded.shape
-    sa = np.full((n, k), -1, np.int64)
+    sa = np.full((n, k), -1, np.int32)
     bucket = (coded[order, lanes] >> 1).astype(np.int64) * k + lanes
     by = np.argsort(bucket, kind="stable")
     b = bucket[by]
@@ -78,12 +78,12 @@ def suffix_arrays(text: np.ndarray, sigma: int) -> np.ndarray:
     """
     n, k = text.shape
     if n == 1:
-        return np.zeros((1, k), np.int64)
+        return np.zeros((1, k), np.int32)
     small = _types(text)
     leftmost = small.copy()
     leftmost[0] = False
     leftmost[1:] &= ~small[:-1]
-    coded = text.astype(np.int64) * 2 + small
+    coded = text.astype(np.int32) * 2 + small
     heads, ends = _bounds(text, sigma)
     lanes, rows = np.nonzero(leftmost.T)  # lane by lane, in text order
     sa = _placed(rows, lanes, coded, ends)
@@ -113,13 +113,13 @@ def suffix_arrays(text: np.ndarray, sigma: int) -> np.ndarray:
     else:
         most = int(count.max())
         top = int(rank.max()) + 1
-        name = np.zeros((n, k), np.int64)
+        name = np.zeros((n, k), np.int32)
         name[at, lane_of] = rank
-        short = np.full((most, k), top, np.int64)  # shorter lanes are padded in front with the largest symbol
+        short = np.full((most, k), top, np.int32)  # shorter lanes are padded in front with the largest symbol
         place = most - count[lanes] + (np.arange(len(lanes)) - begin[lanes])
         short[place, lanes] = name[rows, lanes]
         inner = suffix_arrays(short, top + 1)
-        where = np.zeros((most, k), np.int64)
+        where = np.zeros((most, k), np.int32)
         where[place, lanes] = rows
         order_lane, slot = np.nonzero((inner >= (most - count)).T)
         order = where[inner[slot, order_lane], order_lane]
@@ -133,7 +133,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     in the suffix array, up to ``most``. Each lane extends or advances at every step, at most about 2n steps."""
     n, k = text.shape
     lane = np.arange(k)
-    before = np.full((n, k), -1, np.int64)
+    before = np.full((n, k), -1, np.int32)
     before[sa[1:], lane] = sa[:-1]
     out = np.zeros((n, k), np.int32)
     at, length = np.zeros(k, np.int64), np.zeros(k, np.int64)
@@ -141,7 +141,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     live = lane.copy()
     while len(live):
         i, h = at[live], length[live]
-        other = prev[i * k + live]
+        other = prev[i * k + live].astype(np.int64)
         x, y = i + h, other + h
         more = (other >= 0) & (h < most) & (x < n) & (y < n)
         grows = np.zeros(len(live), bool)

@@ -3,9 +3,9 @@
 Every byte covered by a string of ``length`` bytes (200) that also starts anywhere else in the table is removed.
 A suffix array of all texts does not fit anywhere, so the suffixes are cut into shards by content:
 
-1. A window is a string of ``length`` bytes at any position. Its owner is the 32-byte gram in it with the smallest
+1. A window is a string of ``length`` bytes at any position. Its owner is the 64-byte gram in it with the smallest
    hash. Equal windows have equal owners at equal distances, so only windows whose owner grams are equal can be
-   equal. About 1.2 % of all positions are owners; each owns a run of windows, and the bytes under that run are its
+   equal. About 1.5 % of all positions are owners; each owns a run of windows, and the bytes under that run are its
    context.
 2. Owners are counted by gram and context digest over all texts. Counting is packed per block of text, so a passage
    that a third of all rows share costs one entry per block. Equal contexts are repeated throughout. Contexts of
@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from papyrine.llm.exchange import frequencies
 from papyrine.llm.induced_sort import common_prefixes, suffix_arrays
-from papyrine.llm.textual import by_partition, encoded, joined, mix, partitions, text_batches
+from papyrine.llm.textual import BLOCK, by_partition, encoded, joined, mix, partitions, text_batches
 from papyrine.session import materialise
 
-GRAM = 32
+GRAM = 64
 BOUND = 16  # different contexts of a gram that may share a shard
 PIECE = 2 << 20  # bytes whose grams are hashed at a time
 OWNER = np.dtype([("gram", "<u8"), ("context", "<u8"), ("start", "<u4"), ("offset", "<u2"), ("windows", "<u2")])
@@ -105,7 +105,7 @@ def owner_table(rows: DataFrame, length: int) -> DataFrame:
             some = [i for i, t in enumerate(texts) if len(t) >= length]
             pick = pa.array(some, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([place + at] * len(some), pa.int64()), batch.column(0).take(pick), batch.column(1).take(pick), pa.array([owner_rows(texts[i], length).tobytes() for i in some], pa.binary())],
+                [pa.array([place + at // BLOCK] * len(some), pa.int64()), batch.column(0).take(pick), batch.column(1).take(pick), pa.array([owner_rows(texts[i], length).tobytes() for i in some], pa.binary())],
                 ["b", "k1", "k2", "owners"],
             )
 
@@ -220,7 +220,7 @@ def contexts(rows: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 on = np.frombuffer(hot[i], bool)
                 for r, h in zip(np.frombuffer(ship[i], OWNER), on, strict=True):
                     a = int(r["start"])
-                    out.append((int(r["gram"]) - (1 << 63), bool(h), k1[i], k2[i], a, int(r["windows"]), t[a : a + int(r["windows"]) + length - 1], place + at))
+                    out.append((int(r["gram"]) - (1 << 63), bool(h), k1[i], k2[i], a, int(r["windows"]), t[a : a + int(r["windows"]) + length - 1], place + at // BLOCK))
             columns = zip(*out, strict=True) if out else [()] * 8
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "hot", "k1", "k2", "start", "windows", "context", "b"])
@@ -249,7 +249,7 @@ def repeated_windows(groups: list[list[bytes]], length: int) -> list[list[np.nda
         chunk_end = done
         for g in order[done:top]:
             if heights[g] > room:
-                if size + height > 3 << 20 and lanes:
+                if size + height > 1 << 20 and lanes:
                     break
                 lanes.append([])
                 room = height
@@ -258,14 +258,14 @@ def repeated_windows(groups: list[list[bytes]], length: int) -> list[list[np.nda
             room -= heights[g]
             chunk_end += 1
         done = chunk_end
-        text = np.full((height + 1, len(lanes)), 258, np.int64)  # padding in front is larger than any byte
+        text = np.full((height + 1, len(lanes)), 258, np.int32)  # padding in front is larger than any byte
         text[-1] = 0
         places: list[tuple[int, int, int, int]] = []
         for lane, members in enumerate(lanes):
             at = height - sum(heights[g] for g in members)
             for g in members:
                 for c in groups[g]:
-                    text[at : at + len(c), lane] = np.frombuffer(c, np.uint8).astype(np.int64) + 2
+                    text[at : at + len(c), lane] = np.frombuffer(c, np.uint8).astype(np.int32) + 2
                     text[at + len(c), lane] = 1
                     places.append((g, lane, at, len(c) - length + 1))
                     at += len(c) + 1
