@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.llm import decontaminate, gru_lm, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup
+from papyrine.llm import decontaminate, gru_lm, html_text, ngram_join, packing, quality, rp_forest, substring_dedup, suffix_dedup, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op4_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+@query
+def op5_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of vectors with a cosine of 0.95 or more, by random-projection trees."""
+    return rp_forest.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query
 def op6_window_doubling(spark: SparkSession, folder: str) -> DataFrame:
     """Removal of every run of 35 words that occurs elsewhere, level by level."""
@@ -63,6 +69,12 @@ def op8_text_density(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+@query
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy word pieces of every document, counted by a linear longest-match automaton."""
+    return wordpiece.token_counts(table(spark, folder, "documents"))
+
+
 @query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality by a byte-level convolutional network."""
