@@ -34,6 +34,7 @@ from papyrine.session import materialise
 
 FREQUENT = 1 << 17
 HIDDEN, CLASSES, WINDOW = 24, 32, 24
+STREAM = 20 * WINDOW  # tokens that a training stream has at most
 END = np.uint64(0x1F3D5B79A8C6E402)  # stands for the end token among word hashes
 GATHER = 16 << 20
 
@@ -280,21 +281,30 @@ class Network:
         return grads, float(-found.sum()), len(found), h, ids
 
     def learn(self, docs: list[np.ndarray], end: int, rate: float, memory: dict, width: int = 128) -> int:
-        """One pass of truncated backpropagation over the documents, with Adagrad steps; returns the tokens seen."""
+        """One pass of truncated backpropagation over the documents, with Adagrad steps; returns the tokens seen.
+
+        Long documents are read as several streams of STREAM tokens, so that all of a batch keep in step.
+        """
+        streams = []
+        for x in docs:
+            x = np.append(x, end)
+            streams += [(x[a : a + STREAM], len(self.cls) if a == 0 else int(x[a - 1])) for a in range(0, len(x), STREAM)]
+        streams.sort(key=lambda s: len(s[0]))
+        batches = [streams[a : a + width][::-1] for a in range(0, len(streams), width)]
         seen = 0
-        for begin in range(0, len(docs), width):
-            group = sorted(docs[begin : begin + width], key=lambda x: -len(x))
-            size = np.array([len(x) + 1 for x in group])
-            flat = np.concatenate([np.append(x, end) for x in group]).astype(np.int64)
+        for k in np.random.default_rng(len(streams)).permutation(len(batches)):
+            group = batches[k]
+            size = np.array([len(x) for x, _ in group])
+            flat = np.concatenate([x for x, _ in group]).astype(np.int64)
             base = np.cumsum(size) - size
-            h, ids = np.zeros((len(group), HIDDEN), np.float32), np.full(len(group), len(self.cls), np.int64)
+            h, ids = np.zeros((len(group), HIDDEN), np.float32), np.array([before for _, before in group])
             for t0 in range(0, int(size[0]), WINDOW):
                 grads, _, tokens, h, ids = self.window(h, ids, flat, base, size, t0)
                 scale = np.float32(1 / max(tokens, 64))
-                for k, v in self.p.items():
-                    at, g = grads[k] if k == "x" else (slice(None), grads[k])
+                for name, v in self.p.items():
+                    at, g = grads[name] if name == "x" else (slice(None), grads[name])
                     g = np.clip(g * scale, -0.05, 0.05)
-                    m = memory.setdefault(k, np.full_like(v, 1e-6))
+                    m = memory.setdefault(name, np.full_like(v, 1e-6))
                     m[at] += g * g
                     v[at] -= rate * g / np.sqrt(m[at])
                 seen += tokens
@@ -317,7 +327,7 @@ def symbols(table: WordTable, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return words, at, np.where(at >= 0, table.id[at], table.words), cut
 
 
-def train(docs: DataFrame, table: WordTable, rounds: int = 2, slices: int = 8, rate: float = 0.08) -> Network:
+def train(docs: DataFrame, table: WordTable, rounds: int = 2, slices: int = 4, rate: float = 0.08) -> Network:
     """Rounds of training on every partition's documents, averaged after each."""
     spark = docs.sparkSession
     net = Network(table)
@@ -326,14 +336,20 @@ def train(docs: DataFrame, table: WordTable, rounds: int = 2, slices: int = 8, r
         start = spark.sparkContext.broadcast(net.packed())
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            mine, own, memory, tokens = None, None, {}, 0
+            mine, own, memory, tokens, docs, size = None, None, {}, 0, [], 0
             for _, texts in text_batches(batches):
                 if mine is None:
                     own = WordTable(*sent.value)
                     mine = Network(own)
                     mine.unpack(start.value)
                 _, _, ids, cut = symbols(own, texts)
-                tokens += mine.learn([ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], own.end, rate, memory)
+                docs += [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                size += sum(map(len, texts))
+                if size > GATHER // 4:
+                    tokens += mine.learn(docs, own.end, rate, memory)
+                    docs, size = [], 0
+            if docs:
+                tokens += mine.learn(docs, own.end, rate, memory)
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(mine.packed().astype(np.float64) * tokens).tobytes()], pa.binary())], ["n", "w"])
 
@@ -447,7 +463,7 @@ def needed_counts(rows: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
     return requests.unionByName(owned).repartition(parts, "p").mapInArrow(answer, "b long, h binary, c binary")
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int = 1024, rounds: int = 2, slices: int = 8) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int = 1024, rounds: int = 2, slices: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, and one end token closes each document; a null text
