@@ -18,7 +18,7 @@ def frequencies(table: DataFrame) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(b: int, sets: list[bytes]) -> pa.RecordBatch:
             t, f = np.unique(joined(sets, np.uint64), return_counts=True)
-            rows = list(by_partition((mix(t) % np.uint64(parts)).astype(np.int64), parts, t, f.astype(np.int64)))
+            rows = list(by_partition((mix(t) % np.uint64(parts)).astype(np.int64), parts, t, f.astype(np.uint32)))
             p, tb, fb = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([b] * len(p), pa.int64()), pa.array(tb, pa.binary()), pa.array(fb, pa.binary())], ["p", "b", "t", "f"])
 
@@ -39,7 +39,7 @@ def frequencies(table: DataFrame) -> DataFrame:
             return
         ts = [np.frombuffer(r[1], np.uint64) for r in rows]
         names, code = np.unique(np.concatenate(ts), return_inverse=True)
-        total = np.bincount(code, joined((r[2] for r in rows), np.int64), len(names)).astype(np.int64)
+        total = np.bincount(code, joined((r[2] for r in rows), np.uint32), len(names)).astype(np.int64)
         out, at = [], 0
         for (b, _, _), t in zip(rows, ts, strict=True):
             f = total[code[at : at + len(t)]]
