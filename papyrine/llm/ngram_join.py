@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without those whose component has a smaller doc_id.
 
-    Rows that repeat a doc_id stay together; rows with a null doc_id stay.
+    Rows that share a doc_id stay or go together; rows with a null doc_id stay.
     """
     gone = near_duplicates(docs, **options).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -386,7 +386,8 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     A character of which only some bytes are removed goes entirely. A null text stays null.
     """
-    rows = keyed(docs)
+    # The row travels as one column, so that no name of the input can clash.
+    rows = keyed(docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text")))
 
     def run(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, found in texts:
@@ -398,7 +399,7 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     whole = rows.join(spans_of(rows.select("doc_id", "text", "k1", "k2"), length), ["k1", "k2"], "left")
     left = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.pandas_udf(run, "string")("text", "found"))
-    done = whole.withColumn("text", left)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    done = whole.select("row", left.alias("left"))
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    changed = {"text": F.col("left"), "n_chars": F.length("left").cast(kinds.get("n_chars", "long"))}
+    return done.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
