@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.llm import decontaminate, gru_lm, html_text, ngram_join, packing, quality, rp_forest, substring_dedup, suffix_dedup, wordpiece
+from papyrine.llm import decontaminate, gru_lm, html_text, ngram_join, oracles, packing, quality, rp_forest, substring_dedup, suffix_dedup, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+# The scores of trained models, packing, alignment, extraction and token counts are beyond SQL; tests check them.
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op4_suffix_array": oracles.REPEATED_BYTES,
+    "op5_projection_forest": oracles.NEAR_VECTORS,
+    "op6_window_doubling": oracles.REPEATED_WINDOWS,
+}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
