@@ -12,6 +12,7 @@ remainder being the next seed. So every sequence of a shard is full, but the las
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,70 +22,147 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.textual import mix, text_batches
+from papyrine.llm.textual import mix, text_batches, word_places
 from papyrine.session import materialise
 
 WINDOW = 4096
 END = 2  # the id that closes each document
 SHARD_TOKENS = 4 << 20
 TERMS = 12  # tokens of a seed that make its query, the weightiest ones
+RANKED = 64  # best neighbours that compete for one window; shard order fills what they leave
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+# The printable bytes that byte-level vocabularies write as themselves (the others follow from 256 on),
+# and how the tokenizer cuts lower-case words into pieces.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
+
 class WordTokenizer:
     """Token ids of whole texts, made word by word.
 
     The tokenizer's pieces never cross white space, so each distinct word between the six ASCII separators is
-    encoded once per task; tests compare the ids with those of whole texts.
+    encoded once per task. Words of ASCII and Latin-1 letters, which no normalisation but lower case touches, are cut
+    into pieces here and go through the tokenizer's model in long runs: every piece ends in a token that ends a word,
+    which tells them apart. All other words take the whole tokenizer. Tests compare the ids with those of whole texts.
     """
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint16)
-        self.begin = np.zeros(1, np.int64)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        assert max(vocabulary.values()) < 1 << 16, "token ids must fit 16 bits"
+        self.closes = np.zeros(1 << 16, bool)
+        for token, i in vocabulary.items():
+            self.closes[i] = token.endswith("</w>")
+        other = iter(range(256, 512))
+        letter = {b: chr(b) if b in PRINTABLE else chr(next(other)) for b in range(256)}
+        self.written = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}  # words by hash
+        self.flat, self.begin = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.pieces: dict[str, int] = {}
+        self.piece_ids, self.piece_begin = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def encode_pieces(self, new: list[str]) -> None:
+        """Encode pieces that are new, all at once."""
+        runs = [" ".join(p if p.isascii() else p.translate(self.written) for p in new[i : i + 512]) for i in range(0, len(new), 512)]
+        ids = np.array([i for e in self.model.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], np.uint16)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        assert len(ends) == len(new), "a piece must end in one closing token"
+        self.piece_begin = np.concatenate([self.piece_begin, self.piece_begin[-1] + ends])
+        self.piece_ids = np.concatenate([self.piece_ids, ids])
+
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of words that are new to this task."""
+        pieces, fresh, used, counts, odd = self.pieces, [], [], [], []
+        for k, w in enumerate(new):
+            if not PLAIN.fullmatch(w) or "<|" in w:
+                odd.append(k)
+                counts.append(0)
+                continue
+            w = w.lower()
+            if w.isalpha():
+                cut = (w,)
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                cut = (w[:-1], w[-1])
+            else:
+                cut = PIECES.findall(w)
+            for p in cut:
+                i = pieces.get(p)
+                if i is None:
+                    i = pieces[p] = len(pieces)
+                    fresh.append(p)
+                used.append(i)
+            counts.append(len(cut))
+        if fresh:
+            self.encode_pieces(fresh)
+        at = np.array(used, np.int64)
+        size = self.piece_begin[at + 1] - self.piece_begin[at]
+        flat = gathered(self.piece_ids, self.piece_begin[at], size)
+        ends = np.append(0, np.cumsum(size))[np.cumsum(counts)]
+        if odd:
+            slow = [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch([new[k] for k in odd], add_special_tokens=False)]
+            flat = np.insert(flat, np.repeat(ends[odd], [len(x) for x in slow]), np.concatenate(slow))
+            more = np.zeros(len(new), np.int64)
+            more[odd] = [len(x) for x in slow]
+            ends = ends + np.cumsum(more)
+        return flat, ends
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Token ids of every text, without the closing id."""
-        words = [t.split() for t in texts]
+        words, cut, starts, stops = word_places(texts)
+        names, first, code = np.unique(words, return_index=True, return_inverse=True)
         known = self.known
-        new = list({w for ws in words for w in ws} - known.keys())
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            more = np.array([i for ids in found for i in ids], np.uint32)
-            self.flat = np.concatenate([self.flat, more.astype(np.uint16)])
-            assert not len(more) or more.max() < 1 << 16, "token ids must fit 16 bits"
-            base = len(known)
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(ids) for ids in found])])
-            known.update((w, base + i) for i, w in enumerate(new))
-        out = []
-        for ws in words:
-            at = np.array([known[w] for w in ws], np.int64)
-            n = self.begin[at + 1] - self.begin[at] if len(at) else at
-            place = np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(at) else at
-            out.append(self.flat[place])
+        at = [known.get(h, -1) for h in names.tolist()]
+        missing = [k for k, i in enumerate(at) if i < 0]
+        if missing:
+            data = b"\n".join(texts)
+            new = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[missing]].tolist(), stops[first[missing]].tolist(), strict=True)]
+            flat, ends = self.learn(new)
+            self.begin = np.concatenate([self.begin, self.begin[-1] + ends])
+            self.flat = np.concatenate([self.flat, flat])
+            for k in missing:
+                at[k] = known[int(names[k])] = len(known)
+        place = np.array(at, np.int64)[code] if len(code) else code
+        size = self.begin[place + 1] - self.begin[place]
+        flat = gathered(self.flat, self.begin[place], size)
+        out = np.split(flat, np.append(0, np.cumsum(size))[cut[1:-1]])
         if len(known) > 1 << 20:  # bounded memory, whatever the texts hold
-            self.known, self.flat, self.begin = {}, np.zeros(0, np.uint16), np.zeros(1, np.int64)
+            self.forget()
         return out
 
 
+def gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that start at ``begin``, one after another."""
+    ends = np.cumsum(size)
+    return values[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+# Two random orders of the token ids.
+_ORDERS = (mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(33), mix(np.arange(1 << 16, 1 << 17, dtype=np.uint64)) >> np.uint64(33))
+
+
 def signature(ids: np.ndarray) -> int:
     """Two minimum hashes of the token set, the first in the high half."""
-    h = mix(np.unique(ids).astype(np.uint64) + np.uint64(1))
-    one, two = (h >> np.uint64(33)).min(), (mix(h) >> np.uint64(33)).min()
-    return int(one) << 31 | int(two)
+    return int(_ORDERS[0][ids].min()) << 31 | int(_ORDERS[1][ids].min())
 
 
 def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -118,7 +196,8 @@ def statistics(table: DataFrame) -> tuple[np.ndarray, int, int]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 ids = np.frombuffer(raw, np.uint16)
-                df[np.unique(ids)] += 1
+                ids = np.sort(ids)
+                df[ids[np.append(ids[1:] != ids[:-1], True)[: len(ids)]]] += 1
                 rows += 1
                 tokens += len(ids)
         some = np.flatnonzero(df)
@@ -148,8 +227,8 @@ class Shard:
         norm = K1 * (1 - B + B * size / max(1.0, tokens / max(1, rows)))
         self.weight = idf[self.token] * tf * (K1 + 1) / (tf + norm[self.doc])
         self.begin = np.searchsorted(self.token, np.arange((1 << 16) + 1))
-        by = np.lexsort((-self.weight, self.doc))  # the entries of each document, weightiest first
-        self.terms, self.first = self.token[by], np.searchsorted(self.doc[by], np.arange(d + 1))
+        self.by = np.argsort(self.doc, kind="stable")  # the entries of each document
+        self.first = np.searchsorted(self.doc[self.by], np.arange(d + 1))
         self.unused = np.ones(d, bool)
         self.next = 0
 
@@ -161,10 +240,15 @@ class Shard:
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents by BM25 score for the seed's weightiest tokens, best first."""
-        query = self.terms[self.first[seed] : self.first[seed + 1]][:TERMS]
+        own = self.by[self.first[seed] : self.first[seed + 1]]
+        if len(own) > TERMS:
+            own = own[np.argpartition(-self.weight[own], TERMS)[:TERMS]]
+        query = self.token[own]
         lists = [slice(self.begin[t], self.begin[t + 1]) for t in query]
         score = np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), len(self.docs))
         found = np.flatnonzero((score > 0) & self.unused)
+        if len(found) > RANKED:
+            found = np.sort(found[np.argpartition(-score[found], RANKED)[:RANKED]])
         return found[np.argsort(-score[found], kind="stable")]
 
     def sequences(self) -> Iterator[list[tuple[int, int, int]]]:

@@ -32,17 +32,23 @@ def encoded(texts: Iterable[str | None]) -> list[bytes]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+``, and the offset of each text's first word (one more at the end)."""
+    hashes, offsets, _, _ = word_places(texts)
+    return hashes, offsets
+
+
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and where each word starts and ends in the texts joined by one byte."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     ends_at = np.cumsum([0] + [len(t) + 1 for t in texts])
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), *(np.zeros(0, np.int64),) * 2
     inside = ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     starts = np.flatnonzero(begins)
     offsets = np.searchsorted(starts, ends_at)
     if not len(starts):
-        return np.zeros(0, np.uint64), offsets
+        return np.zeros(0, np.uint64), offsets, starts, starts
     at = np.flatnonzero(inside)
     word = np.cumsum(begins)[at] - 1
     place = at - starts[word]
@@ -50,7 +56,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(place) and place.max() >= 64:
         value = value * ((place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
     first = np.searchsorted(at, starts)
-    return mix(np.add.reduceat(value, first)), offsets
+    return mix(np.add.reduceat(value, first)), offsets, starts, starts + np.diff(np.append(first, len(at)))
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
