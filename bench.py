@@ -56,6 +56,8 @@ def main() -> None:
         # Small local files: let one file be read by several tasks.
         spark__sql__files__maxPartitionBytes="4m",
         spark__sql__files__openCostInBytes="1m",
+        # The texts lie in files of one row group, which no task can share.
+        spark__papyrine__inputPartitions=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
     # Start the JVM code paths and the Python workers outside the timings.

@@ -9,7 +9,7 @@ from papyrine.functions import clean, rules, similarity, text
 from papyrine.functions.markdown import front_matter
 from papyrine.functions.pagetext import page_paragraphs, with_abstract
 from papyrine.operators import maintenance
-from papyrine.operators.common import spread
+
 
 NAMES_SQL = (
     "list_filter(list_transform(list_filter(list_transform(string_split(authors, ';'), lambda a: trim(a)), lambda a: a <> ''),"
@@ -102,7 +102,7 @@ def normalize_doi(c: Corpus):
 
 def inverted_texts(c: Corpus):
     """(doc_id, abstract_inverted_index): every document as word -> positions."""
-    docs = spread(c.documents.select("doc_id", "text"), "doc_id")
+    docs = c.documents.select("doc_id", "text")
     return docs.select("doc_id", text.inverted_index(text.words(F.col("text"))).alias("abstract_inverted_index"))
 
 

@@ -109,7 +109,10 @@ class Corpus:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            # For files that Spark cannot split (one row group), the session may ask for partitions.
+            asked = self.spark.conf.get("spark.papyrine.inputPartitions", None)
+            return table.repartition(int(asked)) if asked and name in ("documents", "pages") else table
         if name not in VIEWS:
             raise AttributeError(name)
         used = {b: getattr(self, b) for b in BASE if "{" + b + "}" in VIEWS[name]}

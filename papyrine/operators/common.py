@@ -7,31 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 << 20
-
 
 def maybe_limit(df: DataFrame, limit: int | None) -> DataFrame:
     """``None`` and 0 both mean no limit."""
     return df.limit(limit) if limit else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of all files and local rows the frame reads, as the optimizer knows it; nothing is run for it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def spread(df: DataFrame, *keys: str, per_core: int = 128 << 20) -> DataFrame:
-    """Spread a small input over all cores before costly work per row.
-
-    Input of at least one full split per core is left where it is: at that size the scan itself has enough tasks,
-    and a shuffle of the texts would be waste. ``keys`` should be unique, so that no partition grows hot. The number
-    of partitions is given, because adaptive execution would merge small ones again.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if input_bytes(df) < cores * per_core else df
-
-
 def attach(df: DataFrame, totals: DataFrame) -> DataFrame:
     """Put the columns of an ungrouped aggregate (exactly one row) next to every row."""
     return df.join(F.broadcast(totals))
@@ -46,10 +27,13 @@ def key_set(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """One row per key: the one with the greatest ``order``. An aggregate, so hot keys shrink before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
+def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """One row per key: the first in ``order``, which should tell all rows of a key apart.
+
+    A rank filter: Spark keeps one row per key and task before the shuffle, so a hot key costs one row per task.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def spread_rank(

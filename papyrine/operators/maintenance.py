@@ -9,7 +9,7 @@ from papyrine.functions.clean import doi_slug
 from papyrine.functions.rules import in_size_band, is_cleanup_title
 from papyrine.operators.common import attach
 from papyrine.operators.stats import failed_to_reset
-from papyrine.operators.upsert import delete_keys
+from papyrine.operators.upsert import delete_keys, upsert_files
 
 
 def non_articles(articles: DataFrame) -> DataFrame:
@@ -31,23 +31,32 @@ def adopt_orphans(found: DataFrame, articles: DataFrame, pages: DataFrame, files
 
     'tracked' files are known already, 'adopt' files belong to an article without a file, 'orphan' files to none.
     """
-    slugs = articles.select("doi", doi_slug(F.col("doi")).alias("file_name"))
-    tracked = files.select("doi", F.lit(True).alias("tracked"))
-    return (
-        found.join(slugs, "file_name", "left")
+    # Articles are put together by doi first, so files of no article (NULL doi) enter no further join.
+    known = (
+        articles.select("doi", doi_slug(F.col("doi")).alias("file_name"))
         .join(pages.select("doi", "page_url", "match_score"), "doi", "left")
-        .join(tracked, "doi", "left")
-        .select(
-            "file_name",
-            "doi",
-            "page_url",
-            "match_score",
-            F.when(F.col("doi").isNull(), "orphan")
-            .when(F.col("tracked"), "tracked")
-            .otherwise("adopt")
-            .alias("file_status"),
-        )
+        .join(files.select("doi", F.lit(True).alias("tracked")), "doi", "left")
+    )
+    return found.join(known, "file_name", "left").select(
+        "file_name",
+        "doi",
+        "page_url",
+        "match_score",
+        F.when(F.col("doi").isNull(), "orphan").when(F.col("tracked"), "tracked").otherwise("adopt").alias("file_status"),
+    )
+
+
+def adopt_files(adopted: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+    """The file table with the files to adopt as pending rows of the first site."""
+    rows = adopted.filter("file_status = 'adopt'").select(
+        "doi",
+        F.lit("ssrn").alias("source"),
+        F.col("page_url").alias("source_url"),
+        F.lit(None).cast("string").alias("pdf_url"),
+        F.col("file_name").alias("pdf_file_path"),
+        F.col("match_score").cast("double").alias("match_score"),
     )
+    return upsert_files(files, rows, now)
 
 
 def bad_pages(stored: DataFrame, found: DataFrame, target: int, tolerance: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.rules import is_missing, matches_any
+from papyrine.operators.common import first_per_key
 from papyrine.operators.queues import PUBLISHED
 
 
@@ -37,8 +38,10 @@ def corpus_stats(
         articles.join(present, "doi", "left_anti").agg(F.count("*").alias("missing_abstracts")),
         files.agg(F.count("*").alias("files")),
         published.agg(F.count_if(F.col("status").isin(*PUBLISHED)).alias("published")),
-        distinct_with_outcome(log, "enrich_openalex", "success", "enriched"),
-        distinct_with_outcome(log, "verify_pdf", "mismatch", "quarantined"),
+        log.agg(
+            F.count_distinct(F.when((F.col("stage") == "enrich_openalex") & (F.col("status") == "success"), F.col("doi"))).alias("enriched"),
+            F.count_distinct(F.when((F.col("stage") == "verify_pdf") & (F.col("status") == "mismatch"), F.col("doi"))).alias("quarantined"),
+        ),
     ]
     # Every part is a single row: as (metric, n) lines they add up to one more single row.
     lines = reduce(DataFrame.unionByName, [part.unpivot([], part.columns, "metric", "n") for part in parts])
@@ -158,19 +161,11 @@ def extract_summary(extracted: DataFrame) -> DataFrame:
 
 
 def best_candidate(candidates: DataFrame, key: str, score: Column, position: Column) -> DataFrame:
-    """Best row per key: highest score, then earliest position. An aggregate, so no group is sorted in one task."""
-    rest = [c for c in candidates.columns if c != key]
-    rank = F.struct(score.alias("s"), (-position).alias("p"))
-    return candidates.groupBy(key).agg(F.max_by(F.struct(*rest), rank).alias("_row")).select(key, "_row.*")
+    """Best row per key: highest score, then earliest position."""
+    return first_per_key(candidates, [key], score.desc(), position.asc())
 
 
 def first_source(attempts: DataFrame, order: Sequence[str], tie: str = "pos") -> DataFrame:
     """Per record the first successful source in the given order, and of that source the earliest attempt."""
     place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("source"))
-    rest = [c for c in attempts.columns if c != "doi"]
-    return (
-        attempts.filter(place > 0)
-        .groupBy("doi")
-        .agg(F.min_by(F.struct(*rest), F.struct(place.alias("p"), F.col(tie).alias("t"))).alias("_row"))
-        .select("doi", "_row.*")
-    )
+    return first_per_key(attempts.filter(place > 0), ["doi"], place.asc(), F.asc(tie))

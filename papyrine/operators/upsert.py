@@ -1,9 +1,9 @@
 """Changes to tables as pure functions (current, changes) -> next version.
 
-Plain Parquet has no MERGE; the caller writes the result as a new version (see ``sources.tables``). Both sides
-have unique keys, so the outer joins cannot explode: duplicates inside the changes are resolved first, last by
-``ord``, with an aggregate that combines before the shuffle. Times come in as a parameter, so a rerun gives the
-same table.
+Plain Parquet has no MERGE; the caller writes the result as a new version (see ``sources.tables``). The current rows
+are joined with the changes, one per key, and never with whole rows of the other side: columns that nobody asks for
+are not read, and where the changes are few they are broadcast and the current table is not shuffled at all.
+Duplicates inside the changes are resolved first. Times come in as a parameter, so a rerun gives the same table.
 """
 
 from __future__ import annotations
@@ -14,15 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.functions.rules import is_missing
-from papyrine.operators.common import attach, key_set, latest_per_key, spread_rank
+from papyrine.operators.common import attach, first_per_key, key_set, spread_rank
 from papyrine.operators.queues import PUBLISHED
 
 
 def last_change(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One change per key: the last by ``ord`` where that column exists."""
-    if "ord" not in changes.columns:
-        return changes
-    return latest_per_key(changes, keys, F.col("ord")).drop("ord")
+    """One change per key: the last by ``ord`` where that column exists.
+
+    Changes that are equal in ``ord``, or have none, are ordered by a hash of all columns, so a rerun takes the same
+    one. A change without a key changes nothing.
+    """
+    rest = [c for c in changes.columns if c not in keys]
+    known = changes.dropna(subset=list(keys))
+    order = [F.desc("ord")] if "ord" in changes.columns else []
+    one = first_per_key(known, keys, *order, F.desc(F.xxhash64(*rest)) if rest else F.lit(0))
+    return one.drop("ord")
 
 
 def merge(
@@ -37,28 +43,33 @@ def merge(
 
     Expressions refer to the current row as ``c.x`` and to the change as ``n.x``. Columns not named keep the
     current value on update; on insert they come from the change where it has them and are NULL otherwise.
+
+    Known rows are a left join with the changes; new rows are the changes whose key is not among the keys that a semi
+    join finds in the current table.
     """
     incoming = last_change(changes, keys)
-    c = current.select(F.struct(*current.columns).alias("c"))
-    n = incoming.select(F.struct(*incoming.columns).alias("n"))
+    kinds = {f.name: f.dataType for f in current.schema.fields}
+    c = current.alias("c")
+    n = incoming.withColumn("_there", F.lit(True)).alias("n")
     same = [F.col(f"c.{k}") == F.col(f"n.{k}") for k in keys]
-    joined = c.join(n, same, "full_outer" if insert else "left_outer")
+    changed = F.col("n._there").isNotNull()
 
-    def value(name: str) -> Column:
-        if name in keys:
-            return F.coalesce(F.col(f"c.{name}"), F.col(f"n.{name}"))
+    def updated(name: str) -> Column:
         kept = F.col(f"c.{name}")
-        updated = on_update.get(name, kept)
+        return F.when(changed, on_update[name]).otherwise(kept).cast(kinds[name]) if name in on_update else kept
+
+    known = c.join(n, same, "left").select(*[updated(name).alias(name) for name in current.columns])
+    if not insert:
+        return known
+
+    def inserted(name: str) -> Column:
         if on_insert and name in on_insert:
-            inserted = on_insert[name]
-        else:
-            inserted = F.col(f"n.{name}") if name in incoming.columns else F.lit(None)
-        out = F.when(F.col("n").isNull(), kept).when(F.col("c").isNull(), inserted) if insert else F.when(
-            F.col("n").isNull(), kept
-        )
-        return out.otherwise(updated).cast(current.schema[name].dataType)
+            return on_insert[name].cast(kinds[name])
+        return (F.col(f"n.{name}") if name in incoming.columns else F.lit(None)).cast(kinds[name])
 
-    return joined.select(*[value(name).alias(name) for name in current.columns])
+    stored = current.select(*keys).join(incoming.select(*keys), list(keys), "left_semi")
+    fresh = incoming.join(stored, list(keys), "left_anti").alias("n")
+    return known.unionByName(fresh.select(*[inserted(name).alias(name) for name in current.columns]))
 
 
 def _from_change(*names: str) -> dict[str, Column]:
@@ -160,13 +171,22 @@ def upsert_published(current: DataFrame, changes: DataFrame, now: Column) -> Dat
     return merge(current, changes, ["doi"], {**_from_change(*columns), **stamped}, stamped)
 
 
-def append_with_ids(current: DataFrame, rows: DataFrame, digest: Column, id_column: str = "id") -> DataFrame:
-    """Append rows with the next free ids, in the order of a unique digest, numbered without a single task."""
+def next_rows(current: DataFrame, rows: DataFrame, digest: Column, id_column: str = "id") -> DataFrame:
+    """``rows`` with the next free ids, in the order of a unique digest, numbered without a single task.
+
+    This is what a log grows by: append it to the stored log instead of writing the log anew. Only the id column of
+    the current log is read.
+    """
     top = current.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
     numbered = attach(spread_rank(rows, [], digest, "_rank"), top).withColumn(
         id_column, (F.col("_top") + F.col("_rank")).cast(current.schema[id_column].dataType)
     )
-    return current.unionByName(numbered.select(*[c for c in current.columns if c in numbered.columns]), True)
+    return numbered.select(*[c for c in current.columns if c in numbered.columns])
+
+
+def append_with_ids(current: DataFrame, rows: DataFrame, digest: Column, id_column: str = "id") -> DataFrame:
+    """The current rows and ``next_rows``, as one frame to read."""
+    return current.unionByName(next_rows(current, rows, digest, id_column), True)
 
 
 def finish_stages(runs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:

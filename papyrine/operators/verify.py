@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.clean import author_fraction
 from papyrine.functions.similarity import partial_ratio
-from papyrine.operators.common import spread
 from papyrine.operators.upsert import (
-    append_with_ids,
     delete_keys,
+    next_rows,
     reset_downloads,
     upsert_candidates,
 )
@@ -20,11 +19,8 @@ VERDICT = "match boolean, confidence double, reason string"
 
 
 def check_text(rows: DataFrame) -> DataFrame:
-    """Add title_score and author_frac to rows (doi, title, authors, text).
-
-    Scoring costs far more than moving a row, so a small input is spread over all cores first.
-    """
-    return spread(rows, "doi").withColumn("title_score", partial_ratio(F.col("title"), F.col("text"))).withColumn(
+    """Add title_score and author_frac to rows (doi, title, authors, text)."""
+    return rows.withColumn("title_score", partial_ratio(F.col("title"), F.col("text"))).withColumn(
         "author_frac", author_fraction(F.col("authors"), F.col("text"))
     )
 
@@ -42,10 +38,16 @@ def first_decision(
 
 
 def parse_verdicts(raw: DataFrame, column: str = "verdict") -> DataFrame:
-    """Rows whose JSON verdict has a boolean, a number and a text; others are dropped."""
+    """Every asked row with its verdict (match, confidence, reason).
+
+    A verdict needs a boolean, a number and a text; without one of them all three are NULL: the question was asked,
+    and the answer is void.
+    """
     parsed = raw.withColumn("_v", F.from_json(F.col(column), VERDICT))
     complete = F.col("_v.match").isNotNull() & F.col("_v.confidence").isNotNull() & F.col("_v.reason").isNotNull()
-    return parsed.filter(complete).select(*[c for c in raw.columns if c != column], "_v.*")
+    return parsed.select(*[c for c in raw.columns if c != column], F.when(complete, F.col("_v")).alias("_v")).select(
+        *[c for c in raw.columns if c != column], "_v.*"
+    )
 
 
 def percent(col: Column) -> Column:
@@ -56,13 +58,15 @@ def percent(col: Column) -> Column:
 def verify(checked: DataFrame, verdicts: DataFrame | None = None, model: str | None = None) -> DataFrame:
     """Final state of checked rows (doi, text, title_score, author_frac).
 
-    Gray rows take the outside verdict where one exists; without a verdict, or with a doubtful one, they stay
-    uncertain. Reasons and scores are stored as the queue's consumers expect them.
+    Gray rows take the outside verdict where one exists. They stay uncertain if nobody was asked, if the verdict is
+    doubtful, and if the answer was void (a verdict row whose fields are NULL). Reasons and scores are stored as the
+    queue's consumers expect them.
     """
     decided = checked.withColumn("_first", first_decision(F.col("text"), F.col("title_score"), F.col("author_frac")))
     if verdicts is None:
         verdicts = checked.sparkSession.createDataFrame([], "doi string, " + VERDICT)
-    joined = decided.join(verdicts.select("doi", "match", "confidence", "reason"), "doi", "left")
+    told = verdicts.select("doi", "match", "confidence", "reason", F.lit(True).alias("_told"))
+    joined = decided.join(told, "doi", "left")
     sure = F.coalesce(F.col("confidence") >= MIN_CONFIDENCE, F.lit(False))
     gray = F.col("_first") == "gray"
     status = (
@@ -71,15 +75,18 @@ def verify(checked: DataFrame, verdicts: DataFrame | None = None, model: str | N
         .when(sure & ~F.col("match"), "mismatch")
         .otherwise("uncertain")
     )
-    asked = gray & F.col("match").isNotNull()
+    asked = gray & F.col("_told").isNotNull()
     title = F.bround("title_score").cast("int").cast("string")
     numbers = F.concat(F.lit("Title "), title, F.lit(", authors "), percent(F.col("author_frac")))
+    no_match = F.concat(F.lit("Title score "), title, F.lit(", no author match"))
     reason = (
         F.when(F.col("_first") == "unreadable", "No extractable text")
         .when(F.col("_first") == "match", numbers)
-        .when(F.col("_first") == "mismatch", F.concat(F.lit("Title score "), title, F.lit(", no author match")))
+        .when(F.col("_first") == "mismatch", no_match)
+        .when(asked & F.col("match").isNull(), "LLM call failed")
+        .when(asked & (status == "mismatch") & (F.col("reason") == ""), no_match)
         .when(asked, F.col("reason"))
-        .otherwise(F.concat(F.lit("Gray zone ("), numbers, F.lit(")")))
+        .otherwise(F.concat(F.lit("Gray zone (title "), title, F.lit(", authors "), percent(F.col("author_frac")), F.lit("), LLM disabled")))
     )
     return joined.select(
         "doi",
@@ -97,7 +104,7 @@ def quarantine(
     """Take mismatched files (doi, source, reason) out of circulation.
 
     A file from the first site resets its page and logs the site as unobtainable; any other source is remembered
-    as a miss. Each file row is removed, and the verdict stays in the log.
+    as a miss. Each file row is removed, and the verdict stays in the log: under ``log`` are the lines to append.
     """
     first_site = mismatches.filter(F.col("source") == "ssrn")
     others = mismatches.filter(F.coalesce(F.col("source") != "ssrn", F.lit(True)))
@@ -128,5 +135,5 @@ def quarantine(
         "pages": reset_downloads(pages, first_site),
         "candidates": upsert_candidates(candidates, misses, now),
         "files": delete_keys(files, mismatches),
-        "log": append_with_ids(log, stamped, F.md5(F.concat_ws("|", "doi", "stage"))),
+        "log": next_rows(log, stamped, F.md5(F.concat_ws("|", "doi", "stage"))),
     }

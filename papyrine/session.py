@@ -32,11 +32,14 @@ def spark_session(app: str = "papyrine", master: str | None = None, **conf: str)
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset (single-machine tests)
-    is a temporary folder made and installed as the checkpoint folder.
+    The cluster names that folder in ``spark.checkpoint.dir``. On a single machine (a local master) a temporary
+    folder is made where it is unset; on a cluster that would scatter the files, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

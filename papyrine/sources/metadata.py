@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.clean import clean_title, format_authors, issued_year, joined_title
 from papyrine.functions.rules import is_valid_article
-from papyrine.operators.common import latest_per_key
+from papyrine.operators.common import first_per_key
 
 WORK = (
     "type string, DOI string, publisher string, title array<string>, "
@@ -89,8 +89,13 @@ def transform_works(works: DataFrame, journals: DataFrame, mode: str = "substrin
     ).filter("year is not null")
     named = rows.join(journals.select(F.col("issn").alias("journal_issn"), F.col("name").alias("journal_name")), "journal_issn")
     columns = ["doi", "title", "authors", "year", "journal_issn", "journal_name", "publisher"]
-    newest = F.struct("year", "title", "authors")
-    return latest_per_key(named.select(*columns), ["doi"], newest)
+    return first_per_key(named.select(*columns), ["doi"], *[F.desc(c) for c in ("year", "title", "authors", "journal_issn", "journal_name", "publisher")])
+
+
+def unregistered(works: DataFrame, journals: DataFrame) -> DataFrame:
+    """(issn, works): works of dumps whose journal is not in the registry, which ``transform_works`` leaves out."""
+    known = journals.select("issn").distinct()
+    return works.join(known, "issn", "left_anti").groupBy("issn").agg(F.count("*").alias("works"))
 
 
 def not_collected(pairs: DataFrame, articles: DataFrame) -> DataFrame:

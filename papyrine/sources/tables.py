@@ -22,12 +22,14 @@ class VersionedTable:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
     def _versions(self) -> DataFrame:
-        return self.spark.read.schema(_VERSIONS).json(f"{self.root}/versions")
+        return self.spark.read.schema(_VERSIONS).option("recursiveFileLookup", True).json(f"{self.root}/versions")
 
     def latest(self) -> tuple[int, str] | None:
         try:
             row = self._versions().orderBy(F.desc("version")).first()
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
         return (row["version"], row["folder"]) if row else None
 
@@ -42,14 +44,17 @@ class VersionedTable:
         return reader.parquet(f"{self.root}/{latest[1]}")
 
     def publish(self, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
-        """Write the next version, then make it current."""
+        """Write the next version, then make it current.
+
+        Every version has a line of its own below ``versions``; of two writers of one version the second fails
+        there, and its folder stays unused.
+        """
         latest = self.latest()
         version = (latest[0] if latest else 0) + 1
         folder = f"v{version}-{uuid.uuid4().hex[:8]}"
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{folder}")
-        self.spark.createDataFrame([(version, folder)], _VERSIONS).coalesce(1).write.mode("append").json(
-            f"{self.root}/versions"
-        )
+        line = self.spark.createDataFrame([(version, folder)], _VERSIONS).coalesce(1)
+        line.write.mode("errorifexists").json(f"{self.root}/versions/{version}")
         return version
 
 
