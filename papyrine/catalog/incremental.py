@@ -39,22 +39,11 @@ def latest_status(c: Corpus):
 
 @query("latest_status_stream", STATUS_SQL)
 def latest_status_stream(c: Corpus):
-    """The same states kept by a stream; each batch replaces the small result table."""
-    path, checkpoint = scratch_path(c.spark, "status"), scratch_path(c.spark, "status-checkpoint")
-    states = incremental.latest_status(log_stream(c))
-
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    query_ = (
-        states.writeStream.outputMode("complete")
-        .foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query_.awaitTermination()
-    return c.spark.read.parquet(path)
+    """The same states kept by a stream in a versioned table."""
+    kind = c.processing_log.select("doi", "stage", "status", "processed_at").schema
+    table = VersionedTable(c.spark, scratch_path(c.spark, "status"), kind)
+    incremental.keep_latest(log_stream(c), table, scratch_path(c.spark, "status-checkpoint")).awaitTermination()
+    return table.read()
 
 
 @query("log_dedup", LOG_SQL)
@@ -65,19 +54,13 @@ def log_dedup(c: Corpus):
 
 @query("log_dedup_stream", LOG_SQL)
 def log_dedup_stream(c: Corpus):
-    """The same on a stream that delivers every entry twice."""
+    """The same on a stream that delivers every entry twice, and again in a second run."""
     path, checkpoint = scratch_path(c.spark, "log"), scratch_path(c.spark, "log-checkpoint")
     twice = log_stream(c).unionByName(log_stream(c))
-    query_ = (
-        incremental.distinct_log_stream(twice, "60 days")
-        .writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query_.awaitTermination()
-    return c.spark.read.parquet(path)
+    for _ in range(2):  # the second run starts anew and delivers all entries once more
+        incremental.append_once(twice, path, checkpoint).awaitTermination()
+        checkpoint = scratch_path(c.spark, "log-checkpoint")
+    return c.spark.read.parquet(path).drop("day")
 
 
 @query("stream_collect", WORKS_SQL + f" select {ARTICLE_ROW} from works")

@@ -174,7 +174,7 @@ def resolve_oa(c: Corpus):
 # Scores and verdicts supplied as input, for every file.
 VERDICTS = """
 select doi, case when downloaded_seq % 7 = 0 then '{{"match": true}}'
-     else concat('{{"match": ', case when downloaded_seq % 2 = 0 then 'true' else 'false' end, ', "confidence": 0.', cast(5 + downloaded_seq % 4 as string), ', "reason": "seen ', doi, '"}}') end as verdict
+     else concat('{{"match": ', case when downloaded_seq % 2 = 0 then 'true' else 'false' end, ', "confidence": 0.', cast(5 + downloaded_seq % 4 as string), ', "reason": "', case when downloaded_seq % 5 = 0 then '' else concat('seen ', doi) end, '"}}') end as verdict
 from {files} where downloaded_seq % 3 > 0"""
 
 
@@ -187,12 +187,13 @@ from {files} where downloaded_seq % 3 > 0"""
 , checked as (select f.doi, case when downloaded_seq % 11 > 0 then 'text' end as text, cast(downloaded_seq * 7 % 101 as double) as score, fraction as frac, downloaded_seq as n
               from files f join fractions using (doi))
 , decided as (select *, case when text is null then 'unreadable' when score >= 88 and frac >= 0.5 then 'match' when score <= 55 and frac = 0 then 'mismatch' else 'gray' end as first,
-              n % 3 > 0 and n % 7 > 0 as told, n % 2 = 0 as yes, n % 4 >= 2 as sure, 'Title ' || cast(score as int) || ', authors ' || cast(round_even(frac * 100, 0) as int) || '%' as numbers from checked)
-select doi, case when first <> 'gray' then first when told and sure and yes then 'match' when told and sure then 'mismatch' else 'uncertain' end as verify_status,
+              n % 3 > 0 as told, n % 7 > 0 as valid, case when n % 5 = 0 then '' else 'seen ' || doi end as said, n % 2 = 0 as yes, n % 4 >= 2 as sure, 'Title ' || cast(score as int) || ', authors ' || cast(round_even(frac * 100, 0) as int) || '%' as numbers from checked)
+select doi, case when first <> 'gray' then first when told and valid and sure and yes then 'match' when told and valid and sure then 'mismatch' else 'uncertain' end as verify_status,
        case when first = 'gray' and told then 'llm' else 'deterministic' end as verify_method, case when first <> 'unreadable' then score end as verify_score,
        case when first = 'gray' and told then 'small' end as verify_model,
        case when first = 'unreadable' then 'No extractable text' when first = 'match' then numbers when first = 'mismatch' then 'Title score ' || cast(score as int) || ', no author match'
-            when told then 'seen ' || doi else 'Gray zone (' || numbers || ')' end as verify_reason
+            when told and not valid then 'LLM call failed' when told and sure and not yes and said = '' then 'Title score ' || cast(score as int) || ', no author match'
+            when told then said else 'Gray zone (t' || substr(numbers, 2) || '), LLM disabled' end as verify_reason
 from decided""",
     ),
 )
@@ -267,6 +268,6 @@ def quarantine(c: Corpus):
         rows("pages", out["pages"], F.col("doi"), F.col("pdf_downloaded").cast("string"), F.col("pdf_file_path")),
         rows("candidates", out["candidates"], F.concat_ws("|", "doi", "source"), F.col("status"), F.col("error_message")),
         rows("files", out["files"], F.col("doi"), F.col("verify_status"), none),
-        rows("log", out["log"], F.concat_ws("|", "doi", F.col("id").cast("string")), F.col("status"), F.col("error_message")),
+        rows("log", c.processing_log.unionByName(out["log"]), F.concat_ws("|", "doi", F.col("id").cast("string")), F.col("status"), F.col("error_message")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.clean import accepted_abstract, doi_slug, head_text, normalize_doi, reconstruct_abstract
 from papyrine.functions.pagetext import with_abstract
+from papyrine.operators.common import first_per_key
 from papyrine.operators import keys, maintenance, matching, queues, site, stats, upsert, verify
 from papyrine.session import materialise
 from papyrine.sources.metadata import transform_works
@@ -22,7 +23,11 @@ from papyrine.sources.metadata import transform_works
 
 @dataclass(frozen=True)
 class Tables:
-    """The corpus: one frame per table."""
+    """The corpus: one frame per table.
+
+    ``log_rows`` holds the log lines that the flows so far have added; the caller appends them to the stored log and
+    need not write the rest of it again.
+    """
 
     articles: DataFrame
     pages: DataFrame
@@ -31,12 +36,22 @@ class Tables:
     published: DataFrame
     log: DataFrame
     runs: DataFrame | None = None
+    log_rows: DataFrame | None = None
 
 
-def logged(tables: Tables, rows: DataFrame, stage: str, now: Column) -> DataFrame:
-    """The log with a line (doi, status, error_message) per row."""
+def with_log(tables: Tables, rows: DataFrame, stage: str, now: Column) -> Tables:
+    """A log line per row (doi, status, error_message): readable in ``log``, to be appended from ``log_rows``."""
     lines = rows.select("doi", F.lit(stage).alias("stage"), "status", "error_message", now.alias("processed_at"))
-    return upsert.append_with_ids(tables.log, lines, F.md5(F.concat_ws("|", "doi", "stage", "status")))
+    new = upsert.next_rows(tables.log, lines, F.md5(F.concat_ws("|", "doi", "stage", "status")))
+    return more_log(tables, new)
+
+
+def more_log(tables: Tables, new: DataFrame) -> Tables:
+    return replace(
+        tables,
+        log=tables.log.unionByName(new, True),
+        log_rows=new if tables.log_rows is None else tables.log_rows.unionByName(new, True),
+    )
 
 
 def collect(tables: Tables, works: DataFrame, journals: DataFrame, now: Column, mode: str = "substring") -> Tables:
@@ -48,18 +63,19 @@ def collect(tables: Tables, works: DataFrame, journals: DataFrame, now: Column,
 def enrich(tables: Tables, works: DataFrame, now: Column, force: bool = False) -> tuple[Tables, DataFrame]:
     """Missing abstracts from enrichment records (doi, abstract_inverted_index); also the outcome counts."""
     todo = queues.missing_abstracts(tables.articles, tables.pages).select("doi", normalize_doi(F.col("doi")).alias("key"))
-    found = works.select(normalize_doi(F.col("doi")).alias("key"), "abstract_inverted_index").dropDuplicates(["key"])
     text = accepted_abstract(reconstruct_abstract(F.col("abstract_inverted_index")))
+    listed = works.select(normalize_doi(F.col("doi")).alias("key"), text.alias("abstract")).filter("key is not null")
+    # Of a work listed twice the longest abstract counts.
+    found = first_per_key(listed, ["key"], F.desc(F.length("abstract")), F.asc("abstract"))
+    # Articles without a usable DOI are told at once; they have no key to join on.
+    invalid = todo.filter("key is null").select("doi", F.lit(None).cast("string").alias("abstract"), F.lit("invalid_doi").alias("outcome"))
+    asked = todo.filter("key is not null").join(found.select("key", F.lit(True).alias("there"), "abstract"), "key", "left")
     outcome = materialise(
-        todo.join(found.select("key", F.lit(True).alias("there"), text.alias("abstract")), "key", "left").select(
+        asked.select(
             "doi",
             "abstract",
-            F.when(F.col("key").isNull(), "invalid_doi")
-            .when(F.col("there").isNull(), "not_found")
-            .when(F.col("abstract").isNull(), "empty_abstract")
-            .otherwise("updated")
-            .alias("outcome"),
-        ),
+            F.when(F.col("there").isNull(), "not_found").when(F.col("abstract").isNull(), "empty_abstract").otherwise("updated").alias("outcome"),
+        ).unionByName(invalid),
         "enriched",
     )
     filled = outcome.filter("outcome = 'updated'").select("doi", "abstract")
@@ -69,12 +85,8 @@ def enrich(tables: Tables, works: DataFrame, now: Column, force: bool = False) -
         F.when(F.col("outcome") != "updated", F.col("outcome")).alias("error_message"),
     )
     counts = stats.outcome_counts(outcome, "outcome", ["updated", "not_found", "empty_abstract", "invalid_doi"])
-    after = replace(
-        tables,
-        pages=upsert.fill_abstract(tables.pages, filled, now, force),
-        log=logged(tables, lines, "enrich_openalex", now),
-    )
-    return after, counts
+    after = replace(tables, pages=upsert.fill_abstract(tables.pages, filled, now, force))
+    return with_log(after, lines, "enrich_openalex", now), counts
 
 
 def match_pages(
@@ -82,68 +94,81 @@ def match_pages(
 ) -> Tables:
     """Pages for articles without one: retrieve, score, and take the best record (pos, title, url, html)."""
     todo = queues.pending_pages(tables.articles, tables.pages).select("doi", "title")
-    found = materialise(matching.title_match(todo, records.select("pos", "title"), threshold, k), "matched")
+    best = matching.title_scores(todo, records.select("pos", "title"), k)
+    outcome = materialise(matching.search_outcomes(todo, best, threshold), "matched")
+    found = outcome.filter("status = 'success'").select("doi", "pos", "match_score", "error_message")
     page = with_abstract(found.join(records.select("pos", "url", "html"), "pos"), "html", "abstract")
-    hits = page.select(
-        "doi",
-        F.col("url").alias("page_url"),
-        "html",
-        "abstract",
-        "match_score",
-        F.lit(None).cast("string").alias("error_message"),
-    )
-    misses = todo.join(found.select("doi"), "doi", "left_anti").select(
-        "doi",
-        F.lit(None).cast("string").alias("page_url"),
-        F.lit(None).cast("string").alias("html"),
-        F.lit(None).cast("string").alias("abstract"),
-        F.lit(None).cast("int").alias("match_score"),
-        F.lit(f"No match above threshold {threshold:g}").alias("error_message"),
+    hits = page.select("doi", F.col("url").alias("page_url"), "html", "abstract", "match_score", "error_message")
+    text = F.lit(None).cast("string")
+    misses = outcome.filter("status <> 'success'").select(
+        "doi", text.alias("page_url"), text.alias("html"), text.alias("abstract"), "match_score", "error_message"
     )
-    lines = found.select("doi", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_message"))
-    lost = misses.select("doi", F.lit("no_match").alias("status"), "error_message")
-    return replace(
-        tables,
-        pages=upsert.upsert_pages(tables.pages, hits.unionByName(misses), now),
-        log=logged(tables, lines.unionByName(lost), "scrape_ssrn", now),
+    return with_log(
+        replace(tables, pages=upsert.upsert_pages(tables.pages, hits.unionByName(misses), now)),
+        outcome.select("doi", "status", "error_message"),
+        "scrape_ssrn",
+        now,
     )
 
 
-def resolve(
+def fetch_plan(
     tables: Tables,
     works: DataFrame,
     listings: DataFrame,
     feeds: DataFrame,
     cutoff: Column,
-    now: Column,
     order: Sequence[str] = ("oa", "nber", "arxiv"),
     threshold: float = 90.0,
-) -> Tables:
-    """A file address for articles without a file: ask the sources in order, remember hits and misses."""
+) -> DataFrame:
+    """Addresses to fetch for articles without a file: (doi, source, priority, candidate_url, pdf_url, match_score).
+
+    One row per source to ask, in order; the address is NULL where the source has none. Works are found by their
+    normalised DOI, however it is written.
+    """
     queue = queues.fallback_queue(tables.articles, tables.pages, tables.files, tables.log)
     plan = materialise(queues.source_plan(queue, tables.candidates, order, cutoff), "source-plan")
     article = queue.select("doi", "title", "authors")
+    named = article.select("doi", normalize_doi(F.col("doi")).alias("_key")).filter("_key is not null")
+    known = works.withColumn("_key", normalize_doi(F.col("doi"))).drop("doi").join(named, "_key")
     hits = (
-        matching.resolve_oa(works)
+        matching.resolve_oa(known)
         .unionByName(matching.resolve_listing(listings.join(article.select("doi", "title"), "doi"), threshold))
         .unionByName(matching.resolve_atom(feeds.join(article, "doi"), threshold))
     )
-    answers = materialise(plan.select("doi", "source", "priority").join(hits, ["doi", "source"], "left"), "answers")
-    chosen = stats.first_source(answers.filter("pdf_url is not null"), order, tie="priority")
-    # Sources after the successful one are not asked, so nothing is remembered about them.
-    asked = answers.join(chosen.select("doi", F.col("priority").alias("_stop")), "doi", "left").filter(
-        F.col("_stop").isNull() | (F.col("priority") <= F.col("_stop"))
+    # A work that is listed twice gives its source two addresses; one is fetched.
+    one = first_per_key(hits, ["doi", "source"], F.desc("match_score"), F.asc("pdf_url"), F.asc("candidate_url"))
+    return plan.select("doi", "source", "priority").join(one, ["doi", "source"], "left")
+
+
+def fetch_outcomes(plan: DataFrame, fetched: DataFrame, order: Sequence[str] = ("oa", "nber", "arxiv")) -> DataFrame:
+    """What became of each planned address, from fetch results (doi, source, ok, error).
+
+    'no_match' without an address, 'downloaded' where the file arrived, else 'error' with its message. Addresses that
+    were not tried are left out, and so is everything after the first file of an article.
+    """
+    results = first_per_key(fetched.select("doi", "source", "ok", "error"), ["doi", "source"], F.desc("ok"), F.asc("error"))
+    tried = plan.join(results, ["doi", "source"], "left").filter("pdf_url is null or ok is not null")
+    told = tried.select(
+        *plan.columns,
+        F.when(F.col("pdf_url").isNull(), "no_match").when(F.col("ok"), "downloaded").otherwise("error").alias("status"),
+        F.when(F.col("pdf_url").isNotNull() & ~F.col("ok"), F.col("error")).alias("error_message"),
     )
-    memo = asked.select(
-        "doi",
-        "source",
-        "candidate_url",
-        "pdf_url",
-        "match_score",
-        F.when(F.col("pdf_url").isNotNull(), "downloaded").otherwise("no_match").alias("status"),
-        F.lit(None).cast("string").alias("error_message"),
+    first = stats.first_source(told.filter("status = 'downloaded'"), order, tie="priority")
+    return (
+        told.join(first.select("doi", F.col("priority").alias("_stop")), "doi", "left")
+        .filter(F.col("_stop").isNull() | (F.col("priority") <= F.col("_stop")))
+        .drop("_stop")
     )
-    files = chosen.select(
+
+
+def resolve(
+    tables: Tables, plan: DataFrame, fetched: DataFrame, now: Column, order: Sequence[str] = ("oa", "nber", "arxiv")
+) -> Tables:
+    """Remember the outcome of every address of a fetch plan, and record the files that arrived."""
+    outcome = materialise(fetch_outcomes(plan, fetched, order), "fetched")
+    memo = outcome.select("doi", "source", "candidate_url", "pdf_url", "match_score", "status", "error_message")
+    arrived = outcome.filter("status = 'downloaded'")
+    files = arrived.select(
         "doi",
         "source",
         F.col("candidate_url").alias("source_url"),
@@ -151,13 +176,34 @@ def resolve(
         doi_slug(F.col("doi")).alias("pdf_file_path"),
         "match_score",
     )
-    lines = chosen.select("doi", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_message"))
-    return replace(
-        tables,
-        candidates=upsert.upsert_candidates(tables.candidates, memo, now),
-        files=upsert.upsert_files(tables.files, files, now),
-        log=logged(tables, lines, "resolve_fallback", now),
+    return with_log(
+        replace(
+            tables,
+            candidates=upsert.upsert_candidates(tables.candidates, memo, now),
+            files=upsert.upsert_files(tables.files, files, now),
+        ),
+        arrived.select("doi", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_message")),
+        "resolve_fallback",
+        now,
+    )
+
+
+def extract_abstracts(tables: Tables, found: DataFrame, now: Column) -> tuple[Tables, DataFrame]:
+    """Abstracts taken anew from the stored page files (path, html) of all pages with a path; also the outcome counts.
+
+    ``tables.pages`` has the file's place in ``html_file_path`` where that column exists, else ``found`` has a doi.
+    """
+    by_path = "html_file_path" in tables.pages.columns
+    stored = tables.pages.select("doi", F.col("html_file_path").alias("path")).filter("path is not null") if by_path else tables.pages.select("doi")
+    scanned = stored.join(found, "path" if by_path else "doi", "left")
+    extracted = materialise(
+        with_abstract(scanned, "html", "abstract").select(
+            "doi", "abstract", F.when(F.col("html").isNull(), "file_not_found").otherwise("read").alias("scan_status")
+        ),
+        "extracted",
     )
+    good = extracted.filter(F.length("abstract") > 0).select("doi", "abstract")
+    return replace(tables, pages=upsert.fill_abstract(tables.pages, good, now, force=True)), stats.extract_summary(extracted)
 
 
 def verify_files(
@@ -175,7 +221,8 @@ def verify_files(
         .select("doi", "source", F.col("verify_reason").alias("reason"))
     )
     after = verify.quarantine(wrong, tables.pages, stored, tables.candidates, tables.log, now)
-    return replace(tables, **after)
+    new = after.pop("log")
+    return more_log(replace(tables, **after), new)
 
 
 def allocate(tables: Tables, written: DataFrame, now: Column) -> tuple[Tables, DataFrame]:
@@ -204,11 +251,8 @@ def publish(tables: Tables, expected: DataFrame, written: DataFrame, now: Column
     """Record which expected keys (doi, bib_key) were written as pages (key, path, content)."""
     state = materialise(site.reconcile(expected, written), "reconciled")
     lines = state.filter("source_page_path is not null").select("doi", "status", "error_message")
-    return replace(
-        tables,
-        published=upsert.upsert_published(tables.published, _full(state, tables.published), now),
-        log=logged(tables, lines, "wiki_ingest", now),
-    )
+    after = replace(tables, published=upsert.upsert_published(tables.published, _full(state, tables.published), now))
+    return with_log(after, lines, "wiki_ingest", now)
 
 
 def report(tables: Tables, run_id: str) -> DataFrame:

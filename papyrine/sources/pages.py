@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Attributes of feed links are read as _href, _type, _title; namespaces are ignored.
@@ -42,15 +43,25 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
 def file_signatures(
     spark: SparkSession, path: str, pattern: str = "*.pdf", signature: bytes = PDF_SIGNATURE
 ) -> DataFrame:
-    """(file_name, bytes, valid): does each file start with the signature?"""
-    head: Column = F.substring("content", 1, len(signature))
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file_name"),
-            F.col("length").alias("bytes"),
-            (head == F.lit(signature)).alias("valid"),
-        )
+    """(file_name, bytes, valid): does each file start with the signature?
+
+    Files are listed without their contents; only the first bytes of each are read.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+    size = len(signature)
+
+    def heads(paths: pd.Series) -> pd.Series:
+        from pyarrow import fs
+
+        out = []
+        for p in paths:
+            system, place = fs.FileSystem.from_uri(p)
+            with system.open_input_file(place) as f:
+                out.append(f.read(size) == signature)
+        return pd.Series(out, dtype=bool)
+
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        F.col("length").alias("bytes"),
+        F.pandas_udf(heads, "boolean")(F.regexp_replace("path", "^file:/+", "file:///")).alias("valid"),
     )

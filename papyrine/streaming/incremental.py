@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from papyrine.sources.metadata import WORK, transform_works, with_dump_name
+from papyrine.operators.upsert import merge
+from papyrine.sources.metadata import WORK, broken_dumps, readable, transform_works, with_dump_name
+from papyrine.sources.tables import VersionedTable
 
 
 def stream_dumps(spark: SparkSession, path: str, multi_line: bool = True, files_per_batch: int = 1000) -> DataFrame:
-    """New dump files as a stream of works."""
+    """New dump files as a stream of works, read as ``read_dumps`` reads them."""
     works = (
-        spark.readStream.schema(WORK)
+        spark.readStream.schema(WORK + ", _corrupt_record string")
         .option("multiLine", multi_line)
+        .option("mode", "PERMISSIVE")
+        .option("pathGlobFilter", "*.json")
+        .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(path)
     )
@@ -23,16 +30,29 @@ def stream_dumps(spark: SparkSession, path: str, multi_line: bool = True, files_
 
 
 def collect(
-    works: DataFrame, journals: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str
+    works: DataFrame,
+    journals: DataFrame,
+    apply: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    again: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Turn waiting dumps into article rows and hand each batch to ``apply`` (an upsert), then stop.
 
-    The checkpoint remembers which files were collected, so a rerun reads only new ones. ``apply`` gets the batch
-    number: a batch that is replayed after a failure comes with the number it had.
+    The checkpoint remembers which files were collected, so a rerun reads only new ones. Dumps with unreadable
+    records go to ``again`` as (issn, dump_year), to be fetched once more under a new name; without it such a batch
+    fails, so no dump is lost unseen. Both get the batch number: a batch that is replayed after a failure comes with
+    the number it had.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        apply(transform_works(batch, journals), number)
+        batch.persist()
+        broken = broken_dumps(batch)
+        if again is not None:
+            again(broken, number)
+        elif not broken.isEmpty():
+            raise ValueError("unreadable dumps, and nobody to collect them again")
+        apply(transform_works(readable(batch), journals), number)
+        batch.unpersist()
 
     return works.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,7 +70,42 @@ def distinct_log(log: DataFrame) -> DataFrame:
     return log.dropDuplicates(["id"])
 
 
-def distinct_log_stream(log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The log with each entry once; replays later than ``delay`` are no longer recognised, so state stays bounded."""
-    timed = log.withColumn("event_time", F.col("processed_at").cast("timestamp"))
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"]).drop("event_time")
+def keep_latest(log: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """Keep the current status per record and stage in a table: each batch merges the states that it changed.
+
+    The stream aggregates in update mode, so a batch brings changed keys alone, and readers of the table always see
+    a whole version.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        new = {c: F.col(f"n.{c}") for c in ("status", "processed_at")}
+        table.publish(merge(table.read(), batch, ["doi", "stage"], new))
+
+    states = latest_status(log).writeStream.outputMode("update").foreachBatch(store)
+    return states.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_once(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the entries of a log stream that are not stored yet, each once, however late they come.
+
+    The stored log itself is the memory: it lies in folders by day, and a batch is compared with the ids of its own
+    days alone, so neither state nor time limits are needed. A replayed entry carries the time it had.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        new = batch.withColumn("day", F.to_date("processed_at")).dropDuplicates(["id"])
+        stored = _stored(batch.sparkSession, path, new.schema)
+        # Null times lie in a folder of their own.
+        known = stored.select("id", "day").join(F.broadcast(new.select("day").distinct()), stored["day"].eqNullSafe(new["day"]), "left_semi")
+        new.join(known.select("id"), "id", "left_anti").write.mode("append").partitionBy("day").parquet(path)
+
+    return log.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -91,13 +91,15 @@ def test_match_resolve_verify_publish(spark, corpus):
     state = flows.match_pages(corpus, records, ts(NOW))
     found = {r.doi: r for r in state.pages.collect()}
     assert found["10/a"].page_url == "http://p/1" and found["10/a"].abstract == ABSTRACT and found["10/a"].match_score >= 85
-    assert found["10/b"].page_url is None and found["10/b"].error_message == "No match above threshold 85"
-    assert {r.doi: r.status for r in state.log.collect()} == {"10/a": "success", "10/b": "no_match", "10/c": "no_match"}
+    assert found["10/b"].page_url is None and found["10/b"].error_message == "No search results found"
+    assert {r.doi: r.status for r in state.log.collect()} == {"10/a": "success", "10/b": "failed", "10/c": "failed"}
 
     works = spark.createDataFrame([("10/b", ("http://oa/b.pdf", "http://oa/b"), None)], "doi string, best_oa_location struct<pdf_url:string,landing_page_url:string>, locations array<struct<pdf_url:string,landing_page_url:string>>")
     listings = metadata.read_listings(spark.createDataFrame([("10/c", '{"results": [{"title": "Front matter", "url": "/papers/w7"}]}'), ("10/b", "{bad")], "doi string, raw string"), "raw")
     feeds = pages.parse_feed(spark.createDataFrame([("10/b", '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/1</id><title>Banks in bad times</title><author><name>P Brown</name></author></entry></feed>')], "doi string, xml string"))
-    state = flows.resolve(state, works, listings, feeds, ts("2024-01-15"), ts(NOW))
+    plan = materialise(flows.fetch_plan(state, works, listings, feeds, ts("2024-01-15")), "plan")
+    fetched = spark.createDataFrame([("10/b", "oa", True, None), ("10/c", "nber", True, None)], "doi string, source string, ok boolean, error string")
+    state = flows.resolve(state, plan, fetched, ts(NOW))
     files = {r.doi: (r.source, r.pdf_url, r.pdf_file_path) for r in state.files.collect()}
     assert files == {"10/b": ("oa", "http://oa/b.pdf", "10_b.pdf"), "10/c": ("nber", "https://www.nber.org/system/files/working_papers/w7/w7.pdf", "10_c.pdf")}
     memo = {(r.doi, r.source): r.status for r in state.candidates.collect()}
