@@ -185,7 +185,7 @@ PAPER_URL = (
 @query(
     "url_paper_id",
     f"with u as (select page_id, {PAPER_URL} as u from pages) select page_id, coalesce("
-    + ", ".join(f"nullif(regexp_extract(u, '{mark}([0-9]+)', 1), '')" for mark in clean.PAPER_ID_MARKS)
+    + ", ".join(f"nullif(regexp_extract(u, '{pattern}', 1), '')" for pattern in clean.PAPER_ID_PATTERNS)
     + ") as paper_id from u",
 )
 def url_paper_id(c: Corpus):
@@ -279,12 +279,15 @@ def listing_urls(c: Corpus):
 @query(
     "page_paragraphs",
     r"""
-select page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1),
+with pages as (select page_id, case when page_id % 2 = 0 then replace(html, '<p>', '<p class="x">') else html end as html from pages)
+select page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1),
        lambda b: trim(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda t: t <> ''), ' ') as body
 from pages""",
 )
 def paragraphs(c: Corpus):
-    return c.pages.select("page_id", page_paragraphs(F.col("html")).alias("body"))
+    """Every second page has attributes in its paragraph tags."""
+    marked = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<p>"), F.lit('<p class="x">'))).otherwise(F.col("html"))
+    return c.pages.select("page_id", page_paragraphs(marked).alias("body"))
 
 
 # Every page's first plain paragraph, wrapped in one of the four layouts an abstract is found in, or left as it was.

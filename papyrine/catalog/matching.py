@@ -10,6 +10,7 @@ from papyrine.functions.clean import atom_pdf_url, author_fraction, author_last_
 from papyrine.functions.pagetext import page_paragraphs
 from papyrine.functions.text import squeeze
 from papyrine.operators import matching, stats, verify
+from papyrine.plans import flows
 from papyrine.sources.pages import parse_feed
 
 
@@ -271,3 +272,55 @@ def quarantine(c: Corpus):
         rows("log", c.processing_log.unionByName(out["log"]), F.concat_ws("|", "doi", F.col("id").cast("string")), F.col("status"), F.col("error_message")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+# Fetch plans out of the attempts: the first attempt of each record and source; views arrived, errors failed.
+PLAN = """
+select doi, source, priority, case when event_type <> 'click' then concat('http://f/', cast(pos as string)) end as pdf_url, pos, event_type
+from (select *, case source when 'oa' then 0 when 'nber' then 1 else 2 end as priority, row_number() over (partition by doi, source order by pos) as rn from {attempts}) t
+where rn = 1"""
+
+
+@query(
+    "resolve_outcomes",
+    check(
+        "attempts",
+        f"""
+, plan as ({PLAN.format(attempts="attempts")})
+, told as (select *, case when pdf_url is null then 'no_match' when event_type = 'view' then 'downloaded' when event_type = 'error' then 'error' end as status from plan)
+, stop as (select doi, min(priority) as last from told where status = 'downloaded' group by doi)
+select doi, source, pdf_url, status, case when status = 'error' then 'HTTP ' || pos end as error_message
+from told left join stop using (doi) where status is not null and (last is null or priority <= last)""",
+    ),
+)
+def resolve_outcomes(c: Corpus):
+    """What became of every planned address: arrived, failed, or none; nothing after the first file of a record."""
+    plan = c.spark.sql(PLAN, attempts=c.attempts).withColumn("match_score", F.lit(100.0)).withColumn("candidate_url", F.col("pdf_url"))
+    fetched = plan.filter(F.col("event_type").isin("view", "error") & F.col("pdf_url").isNotNull()).select(
+        "doi",
+        "source",
+        (F.col("event_type") == "view").alias("ok"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("HTTP "), F.col("pos").cast("string"))).alias("error"),
+    )
+    out = flows.fetch_outcomes(plan.drop("pos", "event_type"), fetched)
+    return out.select("doi", "source", "pdf_url", "status", "error_message")
+
+
+@query(
+    "match_outcomes",
+    check(
+        "files",
+        """
+, s as (select doi, case when downloaded_seq % 4 > 0 then cast(downloaded_seq % 101 as double) + 0.25 end as score, downloaded_seq as n from files)
+select doi, case when score >= 85 then n end as pos, cast(floor(score) as int) as match_score,
+       case when score is null then 'failed' when score >= 85 then 'success' else 'no_match' end as status,
+       case when score is null then 'No search results found' when score < 85 then 'No match above threshold 85. Best: ' || cast(floor(score) as int) || '.2' end as error_message
+from s""",
+    ),
+)
+def match_outcomes(c: Corpus):
+    """Searches with, without and below a result, from given scores (the message rounds halves to even)."""
+    best = c.files.filter("downloaded_seq % 4 > 0").select(
+        "doi", F.col("downloaded_seq").alias("pos"), (F.col("downloaded_seq") % 101 + 0.25).cast("double").alias("similarity")
+    )
+    return matching.search_outcomes(c.files.select("doi"), best)

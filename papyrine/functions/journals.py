@@ -8,61 +8,48 @@ from pyspark.sql import functions as F
 SCHEMA = "name string, issn string, field string, publisher string"
 FIELDS = ["accounting", "finance", "economics", "management"]
 
-# The registered journals (name | ISSN | publisher), by field.
-_REGISTRY = {
-    "accounting": """
-The Accounting Review | 0001-4826 | AAA
-Journal of Accounting and Economics | 0165-4101 | Elsevier
-Journal of Accounting Research | 0021-8456 | Wiley
-Contemporary Accounting Research | 0823-9150 | Wiley
-Accounting, Organizations and Society | 0361-3682 | Elsevier
-Review of Accounting Studies | 1380-6653 | Springer
-European Accounting Review | 0963-8180 | Taylor & Francis
-Auditing: A Journal of Practice & Theory | 0278-0380 | AAA
-""",
-    "finance": """
-Journal of Finance | 0022-1082 | Wiley
-Journal of Financial Economics | 0304-405X | Elsevier
-Review of Financial Studies | 0893-9454 | Oxford
-Journal of Financial and Quantitative Analysis | 0022-1090 | Cambridge
-Financial Management | 0046-3892 | Wiley
-Management Science | 0025-1909 | INFORMS
-Journal of Corporate Finance | 0929-1199 | Elsevier
-Annual Review of Financial Economics | 1941-1367 | Annual Reviews
-""",
-    "economics": """
-American Economic Review | 0002-8282 | AEA
-Econometrica | 0012-9682 | Wiley
-Quarterly Journal of Economics | 0033-5533 | Oxford
-Journal of Political Economy | 0022-3808 | Chicago
-Review of Economic Studies | 0034-6527 | Oxford
-Journal of Economic Literature | 0022-0515 | AEA
-Journal of Economic Perspectives | 0895-3309 | AEA
-Journal of Labor Economics | 0734-306X | Chicago
-Journal of Human Resources | 0022-166X | Wisconsin
-Journal of Law and Economics | 0022-2186 | Chicago
-Review of Economics and Statistics | 0034-6535 | MIT Press
-Annual Review of Economics | 1941-1383 | Annual Reviews
-Journal of Health Economics | 0167-6296 | Elsevier
-""",
-    "management": """
-Human Resource Management | 0090-4848 | Wiley
-Academy of Management Annals | 1941-6520 | AOM
-ACADEMY OF MANAGEMENT JOURNAL | 0001-4273 | AOM
-ACADEMY OF MANAGEMENT REVIEW | 0363-7425 | AOM
-ADMINISTRATIVE SCIENCE QUARTERLY | 0001-8392 | SAGE
-JOURNAL OF MANAGEMENT | 0149-2063 | SAGE
-""",
-}
+# The registered journals as (name, ISSN, field, publisher).
+JOURNALS = [
+    ("The Accounting Review", "0001-4826", "accounting", "AAA"),
+    ("Journal of Accounting and Economics", "0165-4101", "accounting", "Elsevier"),
+    ("Journal of Accounting Research", "0021-8456", "accounting", "Wiley"),
+    ("Contemporary Accounting Research", "0823-9150", "accounting", "Wiley"),
+    ("Accounting, Organizations and Society", "0361-3682", "accounting", "Elsevier"),
+    ("Review of Accounting Studies", "1380-6653", "accounting", "Springer"),
+    ("European Accounting Review", "0963-8180", "accounting", "Taylor & Francis"),
+    ("Auditing: A Journal of Practice & Theory", "0278-0380", "accounting", "AAA"),
+    ("Journal of Finance", "0022-1082", "finance", "Wiley"),
+    ("Journal of Financial Economics", "0304-405X", "finance", "Elsevier"),
+    ("Review of Financial Studies", "0893-9454", "finance", "Oxford"),
+    ("Journal of Financial and Quantitative Analysis", "0022-1090", "finance", "Cambridge"),
+    ("Financial Management", "0046-3892", "finance", "Wiley"),
+    ("Management Science", "0025-1909", "finance", "INFORMS"),
+    ("Journal of Corporate Finance", "0929-1199", "finance", "Elsevier"),
+    ("Annual Review of Financial Economics", "1941-1367", "finance", "Annual Reviews"),
+    ("American Economic Review", "0002-8282", "economics", "AEA"),
+    ("Econometrica", "0012-9682", "economics", "Wiley"),
+    ("Quarterly Journal of Economics", "0033-5533", "economics", "Oxford"),
+    ("Journal of Political Economy", "0022-3808", "economics", "Chicago"),
+    ("Review of Economic Studies", "0034-6527", "economics", "Oxford"),
+    ("Journal of Economic Literature", "0022-0515", "economics", "AEA"),
+    ("Journal of Economic Perspectives", "0895-3309", "economics", "AEA"),
+    ("Journal of Labor Economics", "0734-306X", "economics", "Chicago"),
+    ("Journal of Human Resources", "0022-166X", "economics", "Wisconsin"),
+    ("Journal of Law and Economics", "0022-2186", "economics", "Chicago"),
+    ("Review of Economics and Statistics", "0034-6535", "economics", "MIT Press"),
+    ("Annual Review of Economics", "1941-1383", "economics", "Annual Reviews"),
+    ("Journal of Health Economics", "0167-6296", "economics", "Elsevier"),
+    ("Human Resource Management", "0090-4848", "management", "Wiley"),
+    ("Academy of Management Annals", "1941-6520", "management", "AOM"),
+    ("ACADEMY OF MANAGEMENT JOURNAL", "0001-4273", "management", "AOM"),
+    ("ACADEMY OF MANAGEMENT REVIEW", "0363-7425", "management", "AOM"),
+    ("ADMINISTRATIVE SCIENCE QUARTERLY", "0001-8392", "management", "SAGE"),
+    ("JOURNAL OF MANAGEMENT", "0149-2063", "management", "SAGE"),
+]
 
 
 def registry_rows() -> list[tuple[str, str, str, str]]:
-    rows = []
-    for field, block in _REGISTRY.items():
-        for line in block.strip().splitlines():
-            name, issn, publisher = (part.strip() for part in line.split("|"))
-            rows.append((name, issn, field, publisher))
-    return rows
+    return list(JOURNALS)
 
 
 def registry(spark: SparkSession) -> DataFrame:

@@ -22,6 +22,10 @@ _SILENT = {"script", "style", "template"}
 _HEADINGS = {"h1", "h2", "h3", "h4"}
 
 
+class _Comment(str):
+    """A comment: found by searches for a string, but no part of any text."""
+
+
 class _Node:
     __slots__ = ("name", "classes", "parent", "children")
 
@@ -29,6 +33,19 @@ class _Node:
         self.name, self.classes, self.parent = name, classes, parent
         self.children: list[_Node | str] = []
 
+    def places(self) -> Iterator[tuple[_Node, str]]:
+        """(element, string) of every string and comment below this node, in document order."""
+        stack = [(self, iter(self.children))]
+        while stack:
+            node, rest = stack[-1]
+            child = next(rest, None)
+            if child is None:
+                stack.pop()
+            elif isinstance(child, str):
+                yield node, child
+            else:
+                stack.append((child, iter(child.children)))
+
     def walk(self) -> Iterator[_Node | str]:
         """Everything below this node in document order."""
         stack = [iter(self.children)]
@@ -51,7 +68,8 @@ class _Node:
             if child is None:
                 stack.pop()
             elif isinstance(child, str):
-                yield child
+                if not isinstance(child, _Comment):
+                    yield child
             elif child.name not in _SILENT:
                 stack.append(iter(child.children))
 
@@ -86,6 +104,9 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         self.open.children.append(data)
 
+    def handle_comment(self, data):
+        self.open.children.append(_Comment(data))
+
 
 def _paragraph_text(node: _Node) -> str | None:
     """Non-blank paragraphs joined by a blank; None when the node has no paragraph at all."""
@@ -116,11 +137,10 @@ def _from_class_part(root: _Node) -> str | None:
 
 
 def _from_siblings(root: _Node) -> str | None:
-    """Paragraphs after an element that holds the word itself, up to the next heading."""
-    for node in root.walk():
-        if not isinstance(node, _Node) or node.parent is None:
-            continue
-        if not any(isinstance(c, str) and "Abstract" in c for c in node.children):
+    """Paragraphs after an element that holds the word, up to the next heading; the first string in document order
+    that leads to one counts, comments included."""
+    for node, string in root.places():
+        if node.parent is None or "Abstract" not in string:
             continue
         found, after = [], False
         for sibling in node.parent.children:
@@ -163,6 +183,6 @@ def with_abstract(pages: DataFrame, html: str = "html", out: str = "abstract") -
 
 def page_paragraphs(html: Column) -> Column:
     """Text of all closed paragraphs by pattern alone: tags removed, white space collapsed, joined by a blank."""
-    blocks = F.regexp_extract_all(html, F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))
+    blocks = F.regexp_extract_all(html, F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
     texts = F.transform(blocks, lambda b: squeeze(F.regexp_replace(b, "<[^>]*>", " ")))
     return F.array_join(F.filter(texts, lambda t: t != ""), " ")

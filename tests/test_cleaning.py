@@ -171,3 +171,11 @@ def test_token_forms_agree(spark, texts):
     for row in df.select(found.alias("f"), text.term_counts(found).alias("c"), document_length(F.col("t")).alias("n")).collect():
         assert row.n == len(row.f)
         assert {c.term: c.tf for c in row.c or []} == {t: row.f.count(t) for t in row.f}
+
+
+def test_abstract_by_string_search(spark):
+    """The first string in document order counts, comments included."""
+    nested = f"<div><b>Abstract</b><p>{LONG}</p> Abstract</div><p>outer {LONG}</p>"
+    comment = f"<body><div><!-- Abstract --></div><p>{LONG}</p></body>"
+    df = spark.createDataFrame([(1, nested), (2, comment)], "i int, html string")
+    assert [r.abstract for r in with_abstract(df).orderBy("i").collect()] == [LONG.strip(), LONG.strip()]

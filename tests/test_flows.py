@@ -165,6 +165,9 @@ def test_scratch_follows_the_cluster_setting(spark, tmp_path):
     assert materialise(df, "x").collect() == df.collect()
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": "/shared/"}[key]))
     assert scratch_path(cluster, "x").startswith("/shared/x-")
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        scratch_path(unset, "x")
 
 
 def test_stream_collects_only_new_files(spark, tmp_path):
@@ -181,3 +184,65 @@ def test_stream_collects_only_new_files(spark, tmp_path):
     run()
     run()
     assert seen == ["10/a", "10/b"]
+
+
+def test_broken_dumps_are_collected_again(spark, tmp_path):
+    incoming, again, seen = tmp_path / "in", [], []
+    incoming.mkdir()
+    (incoming / "cache_0022-1082_2020.json").write_text("[{broken")
+    (incoming / "notes.txt").write_text("no dump")
+
+    def run(**more):
+        stream = incremental.stream_dumps(spark, str(incoming))
+        incremental.collect(stream, registry(spark), lambda batch, n: seen.extend(r.doi for r in batch.collect()), str(tmp_path / "cp"), **more).awaitTermination()
+
+    with pytest.raises(Exception, match="unreadable dumps"):
+        run()
+    run(again=lambda rows, n: again.extend(map(tuple, rows.collect())))
+    assert again == [("0022-1082", 2020)] and seen == []
+    (incoming / "again").mkdir()
+    (incoming / "again" / "cache_0022-1082_2020.json").write_text(json.dumps([work("10/a", "One")]))
+    run(again=lambda rows, n: again.extend(map(tuple, rows.collect())))
+    assert again == [("0022-1082", 2020)] and seen == ["10/a"]
+
+
+def test_late_log_rows_are_kept(spark, tmp_path):
+    source, path = tmp_path / "log", str(tmp_path / "stored")
+    kind = "id long, doi string, processed_at timestamp"
+
+    def deliver(rows, number):
+        df = spark.createDataFrame(rows, "id long, doi string, at string").selectExpr("id", "doi", "cast(at as timestamp) as processed_at")
+        df.write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(kind).parquet(str(source))
+        incremental.append_once(stream, path, str(tmp_path / "cp")).awaitTermination()
+
+    deliver([(1, "a", "2024-02-10"), (1, "a", "2024-02-10"), (2, "b", None)], 0)
+    deliver([(3, "c", "2023-01-01"), (1, "a", "2024-02-10"), (2, "b", None)], 1)
+    assert sorted((r.id, r.doi) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_fetch_outcomes(spark):
+    plan = spark.createDataFrame([("a", "oa", 0, "u1"), ("a", "nber", 1, "u2"), ("a", "arxiv", 2, "u3"), ("b", "oa", 0, None), ("b", "nber", 1, "u4"), ("c", "oa", 0, "u5")], "doi string, source string, priority int, pdf_url string")
+    fetched = spark.createDataFrame([("a", "oa", False, "HTTP 500"), ("a", "nber", True, None), ("a", "arxiv", True, None), ("b", "nber", False, "no file"), ("b", "nber", False, "again")], "doi string, source string, ok boolean, error string")
+    got = {(r.doi, r.source): (r.status, r.error_message) for r in flows.fetch_outcomes(plan, fetched).collect()}
+    assert got == {("a", "oa"): ("error", "HTTP 500"), ("a", "nber"): ("downloaded", None), ("b", "oa"): ("no_match", None), ("b", "nber"): ("error", "again")}
+
+
+def test_fetch_plan_finds_works_by_normalised_doi(spark, corpus):
+    works = spark.createDataFrame([("https://doi.org/10/B", ("http://oa/b.pdf", None), None), ("doi:10/b", ("http://oa/b2.pdf", None), None)], "doi string, best_oa_location struct<pdf_url:string,landing_page_url:string>, locations array<struct<pdf_url:string,landing_page_url:string>>")
+    state = flows.match_pages(corpus, spark.createDataFrame([], "pos long, title string, url string, html string"), ts(NOW))
+    listings = spark.createDataFrame([], "doi string, results array<struct<title:string,url:string>>")
+    feeds = pages.parse_feed(spark.createDataFrame([], "doi string, xml string"))
+    plan = flows.fetch_plan(state, works, listings, feeds, ts("2024-01-15")).filter("source = 'oa' and doi = '10/b'").collect()
+    assert [r.pdf_url for r in plan] == ["http://oa/b.pdf"]
+
+
+def test_version_claims(spark, tmp_path):
+    one = tables.VersionedTable(spark, str(tmp_path / "t"), "k int")
+    two = tables.VersionedTable(spark, str(tmp_path / "t"), "k int")
+    rows = spark.createDataFrame([(1,)], "k int")
+    two.latest = lambda: None  # read before the other writer was done
+    assert one.publish(rows) == 1
+    with pytest.raises(Exception, match="exists"):
+        two.publish(rows)
+    assert one.read().count() == 1

@@ -155,3 +155,31 @@ def test_bad_pages(spark):
     got = {r.path: r.page_status for r in maintenance.bad_pages(stored, found, 10, 0).collect()}
     assert got == {"p1": "size_match", "p3": "missing", "p9": "orphan"}
     assert [r.path for r in maintenance.orphan_files(stored, found, 10, 0).collect()] == ["p9"]
+
+
+def test_changes_without_an_order(spark):
+    current = spark.createDataFrame([("a", "old", "x")], "doi string, title string, authors string").withColumn("created_at", F.lit(None).cast("timestamp")).withColumn("updated_at", F.lit(None).cast("timestamp"))
+    changes = spark.createDataFrame([("a", "one", "p"), ("a", "two", "q"), ("b", "new", "r"), ("b", "new", "r"), (None, "lost", "s")], "doi string, title string, authors string")
+    first = sorted((r.doi, r.title) for r in upsert.upsert_articles(current, changes, F.lit("2024-01-01").cast("timestamp")).collect())
+    again = sorted((r.doi, r.title) for r in upsert.upsert_articles(current, changes.repartition(3), F.lit("2024-01-01").cast("timestamp")).collect())
+    assert [d for d, _ in first] == ["a", "b"] and first == again
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upserts_move_no_page_text_and_few_changes_move_no_table(spark, tmp_path):
+    wide = "doi string, page_url string, html string, abstract string, match_score int, error_message string, scraped_at timestamp, pdf_downloaded boolean"
+    spark.createDataFrame([(str(i), None, "h" * 100, None, 1, None, None, False) for i in range(50)], wide).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([("1", "text")], "doi string, abstract string").write.parquet(str(tmp_path / "changes"))
+    changes = spark.read.parquet(str(tmp_path / "changes"))
+    kept = upsert.fill_abstract(pages, changes, F.lit("2024-01-01").cast("timestamp")).drop("html")
+    assert "html" not in plan_of(kept)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(upsert.fill_abstract(pages, changes, F.lit("2024-01-01").cast("timestamp")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
