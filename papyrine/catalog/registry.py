@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# One text per corpus table, valid in Spark and in DuckDB; braces hold base tables.
+# One text per corpus table, valid in Spark and (but for array_join) in DuckDB; braces hold base tables. The abstract
+# of a page is the text of all its plain paragraphs.
 VIEWS = {
     "articles": """
 select concat('10.5555/d', cast(doc_id as string)) as doi,
@@ -31,7 +32,7 @@ select concat('10.5555/d', cast(page_id * 3 as string)) as doi,
        case when page_id % 5 = 0 then null else url end as page_url,
        html,
        case when page_id % 7 = 0 then null when page_id % 7 = 1 then ''
-            else regexp_extract(html, '<p>([^<]*)</p>', 1) end as abstract,
+            else array_join(regexp_extract_all(html, '<p>([^<]*)</p>', 1), ' ') end as abstract,
        case when page_id % 6 = 0 then null else concat(url, '.pdf') end as pdf_url,
        case when page_id % 4 = 0 then concat('files/10.5555_d', cast(page_id * 3 as string), '.pdf') end as pdf_file_path,
        page_id % 4 = 0 as pdf_downloaded,
@@ -122,7 +123,8 @@ class Corpus:
 def ctes(*names: str) -> str:
     """The corpus tables as the head of a WITH clause (for the check SQL)."""
     plain = {b: b for b in BASE}
-    return ", ".join(f"{n} as ({VIEWS[n].format(**plain)})" for n in names)
+    # The one function that has another name there.
+    return ", ".join(f"{n} as ({VIEWS[n].format(**plain).replace('array_join(', 'array_to_string(')})" for n in names)
 
 
 def check(names: str, body: str) -> str:
