@@ -11,6 +11,8 @@ from papyrine.functions.pagetext import page_paragraphs
 from papyrine.functions.text import squeeze
 from papyrine.operators import matching, stats, verify
 from papyrine.plans import flows
+from papyrine.session import scratch_path
+from papyrine.sources.metadata import read_enriched, read_listings
 from papyrine.sources.pages import parse_feed
 
 
@@ -81,7 +83,8 @@ def resolve_listing(c: Corpus):
         item(F.col("title"), F.concat(F.lit("/books/b3"), n)),
     )
     listed = _with_title(c).filter("title <> '' and trim(page_title) <> ''")
-    return matching.resolve_listing(listed.select("doi", "title", results.alias("results")))
+    told = listed.select("doi", "title", F.to_json(F.struct(results.alias("results"))).alias("raw"))
+    return matching.resolve_listing(read_listings(told, "raw"))
 
 
 # A feed with two entries: the page's title by a stranger, and the article's title by the article's last author word.
@@ -169,7 +172,9 @@ def resolve_oa(c: Corpus):
             place(F.concat(F.lit("http://oa.org/"), "doi"), F.lit("http://oa.org")),
         ).alias("locations"),
     )
-    return matching.resolve_oa(works)
+    path = scratch_path(c.spark, "works")
+    works.write.json(path)
+    return matching.resolve_oa(read_enriched(c.spark, path))
 
 
 # Scores and verdicts supplied as input, for every file.

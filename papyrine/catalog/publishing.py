@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from papyrine.catalog.cleaning import BASE_SQL
 from papyrine.catalog.registry import Corpus, check, query
 from papyrine.operators import keys, queues, site
+from papyrine.session import scratch_path
 
 PAGES_SQL = """
 , pages_ as (select p.doi, p.bib_key, p.status, a.title, a.authors, a.year, a.journal_name from published p join articles a on p.doi = a.doi where p.status in ('ingested', 'flagged'))
@@ -99,10 +100,12 @@ from queue join published using (doi)""",
     ),
 )
 def manifest(c: Corpus):
-    """Hand-over rows of all verified files that have a key."""
+    """Hand-over rows of all verified files that have a key, written as JSON with a list of authors and read back."""
     queue = queues.verify_queue(c.articles, c.files, ("match",))
     rows = keys.manifest(queue, c.published.select("doi", "bib_key"))
-    return rows.withColumn("authors", F.array_join("authors", "|"))
+    path = scratch_path(c.spark, "manifest")
+    keys.write_manifest(rows, path)
+    return c.spark.read.schema(rows.schema).json(path).withColumn("authors", F.array_join("authors", "|"))
 
 
 # Written pages for most keys: failed, flagged and plain ones.
@@ -130,3 +133,28 @@ from k""",
 def reconcile(c: Corpus):
     """State of every expected key from the pages that were written."""
     return site.reconcile(c.published.select("doi", "bib_key"), c.spark.sql(PAGES, published=c.published))
+
+
+@query(
+    "index_page_topics",
+    check(
+        "articles published",
+        PAGES_SQL
+        + """
+, c as (select doi, bib_key, replace(doi, '/', '_') as stem, cast(regexp_extract(bib_key, 'w([0-9]+)', 1) as int) as n from published)
+, concepts as (select *, 'concepts/' || stem || '.md' as path, case when n % 4 = 0 then stem else 'Topic ' || n end as section from c where n % 3 <> 1 or n % 5 = 0)
+, rest as (select plain || flag as line from lined where bib_key not in (select bib_key from concepts))
+, page as (
+  select '# Papers by topic' as line union all select ''
+  union all select '## [' || section || '](../concepts/' || stem || '.md)' from concepts union all select '' from concepts union all select '' from concepts
+  union all select coalesce(l.plain, '_No ingested sources linked yet._') from concepts k left join lined l on k.bib_key = l.bib_key
+  union all select unnest(['## Unclassified', '', '_Ingested but not yet linked from any concept page._', '', '']) where (select count(*) from rest) > 0
+  union all select line from rest)
+select line, count(*) as n from (select unnest(string_split(line, chr(10))) as line from page) group by line""",
+    ),
+)
+def index_page_topics(c: Corpus):
+    """The topic page as it is written: how often each of its lines occurs."""
+    path = scratch_path(c.spark, "topics")
+    site.write_lines(site.index_by_topic(site_pages(c), c.spark.sql(CONCEPTS, published=c.published)), path, "topic")
+    return c.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))

@@ -97,3 +97,6 @@ def manifest(batch: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """The manifest as JSON, one object per line, authors as a list; missing values are written as null."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)

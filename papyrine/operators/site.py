@@ -6,6 +6,8 @@ rows and never one value. ``write_lines`` stores them range-partitioned, so the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,15 +116,46 @@ def topic_order() -> tuple[list[Column], list[Column]]:
     )
 
 
-def write_lines(lines: DataFrame, path: str, order: tuple[list[Column], list[Column]]) -> None:
-    """Write an index as text files in reading order, with a heading before the lines of each section."""
-    sections, within = order
+# Titles, notes and empty-index lines of the index pages.
+TITLES = {"journal": "# Papers by journal", "year": "# Papers by year", "topic": "# Papers by topic"}
+NO_PAPERS = "_No papers ingested yet._"
+NO_CONCEPTS = "_No concept pages yet. Create them under wiki/concepts/ and build the index again._"
+UNLINKED = "_Ingested but not yet linked from any concept page._"
+
+
+def page_lines(lines: DataFrame, kind: str) -> DataFrame:
+    """The lines of a whole index page in reading order: title, headings, notes, entries, and the blank lines between.
+
+    ``kind`` is journal, year or topic. Headings of topics link to their concept pages. An index without entries has
+    its empty-index line instead; no section passes through one task.
+    """
+    sections, within = {"journal": journal_order, "year": year_order, "topic": topic_order}[kind]()
     names = [c for c in ("part", "path", "section") if c in lines.columns]
-    heads = lines.select(*names).distinct().select(
-        "*", F.concat(F.lit("## "), F.col("section")).alias("line"), F.lit(0).alias("_kind")
+    heads = lines.select(*names).distinct()
+    text = F.col("section")
+    if kind == "topic":
+        name = F.element_at(F.split("path", "/"), -1)
+        text = F.when(F.col("part") == 0, F.concat(F.lit("["), "section", F.lit("](../concepts/"), name, F.lit(")"))).otherwise(text)
+    head = heads.withColumn("line", F.concat(F.lit("## "), text)).withColumn("_kind", F.lit(0))
+    gap, end = (heads.withColumn("line", F.lit("")).withColumn("_kind", F.lit(k)) for k in (1, 4))
+    parts = [head, gap, lines.withColumn("_kind", F.lit(3)), end]
+    if kind == "topic":
+        note = heads.filter("part = 1").withColumn("line", F.explode(F.array(F.lit(UNLINKED), F.lit("")))).withColumn("_kind", F.lit(2))
+        note = note.withColumn("title", F.when(F.col("line") == "", "b").otherwise("a"))
+        parts.insert(2, note)
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).withColumn("_top", F.lit(2))
+    counted = lines.filter("part = 0") if kind == "topic" else lines
+    empty = counted.agg(F.count("*").alias("_n")).filter("_n = 0").select(
+        F.explode(F.array(F.lit(NO_CONCEPTS if kind == "topic" else NO_PAPERS), F.lit(""))).alias("line"), F.lit(1).alias("_top")
     )
-    every = lines.withColumn("_kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
-    every.orderBy(*sections, "_kind", *within).select("line").write.mode("overwrite").text(path)
+    title = lines.sparkSession.createDataFrame([(TITLES[kind], 0, 0), ("", 0, 1)], "line string, _top int, _kind int")
+    whole = every.unionByName(title, allowMissingColumns=True).unionByName(empty, allowMissingColumns=True)
+    return whole.orderBy("_top", *sections, F.asc_nulls_first("_kind"), *within)
+
+
+def write_lines(lines: DataFrame, path: str, kind: str) -> None:
+    """Write an index page as text files in reading order."""
+    page_lines(lines, kind).select("line").write.mode("overwrite").text(path)
 
 
 def reconcile(keys: DataFrame, written: DataFrame, depth: str = "deep") -> DataFrame:

@@ -137,13 +137,18 @@ def test_index_files(spark, tmp_path):
         [("J", 2001, "B", "k2", "X", "flagged"), ("J", 2002, "C", "k3", "X", "ingested"), ("I", 2001, "A", "k1", "X", "ingested"), (None, 2001, "Z", "k4", "X", "ingested")],
         "journal_name string, year int, title string, bib_key string, authors string, status string",
     )
-    site.write_lines(site.index_by_journal(pages), str(tmp_path / "j"), site.journal_order())
+    site.write_lines(site.index_by_journal(pages), str(tmp_path / "j"), "journal")
     text = "".join(p.read_text() for p in sorted((tmp_path / "j").glob("part-*")))
-    assert text.splitlines() == ["## I", "- [A](../sources/k1.md) (X, 2001)", "## J", "- [C](../sources/k3.md) (X, 2002)", "- [B](../sources/k2.md) (X, 2001) ⚑"]
-    site.write_lines(site.index_by_year(pages), str(tmp_path / "y"), site.year_order())
+    want = "# Papers by journal||## I||- [A](../sources/k1.md) (X, 2001)||## J||- [C](../sources/k3.md) (X, 2002)|- [B](../sources/k2.md) (X, 2001) ⚑||"
+    assert text == want.replace("|", "\n")
+    assert [r.line for r in site.page_lines(site.index_by_journal(pages.limit(0)), "journal").collect()] == ["# Papers by journal", "", "_No papers ingested yet._", ""]
+    site.write_lines(site.index_by_year(pages), str(tmp_path / "y"), "year")
     years = [line for p in sorted((tmp_path / "y").glob("part-*")) for line in p.read_text().splitlines() if line.startswith("##")]
     assert years == ["## 2002", "## 2001"]
     concepts = spark.createDataFrame([("c/x.md", "# Topic\nsources/k1.md sources/k9.md"), ("c/y.md", "nothing")], "path string, content string")
+    page = [r.line for r in site.page_lines(site.index_by_topic(pages, concepts), "topic").collect()]
+    assert page[:9] == ["# Papers by topic", "", "## [Topic](../concepts/x.md)", "", "- [A](../sources/k1.md) (X, 2001)", "", "## [y](../concepts/y.md)", "", "_No ingested sources linked yet._"]
+    assert page[9:14] == ["", "## Unclassified", "", "_Ingested but not yet linked from any concept page._", ""] and page[14].startswith("- [C]") and len(page) == 18
     lines = [(r.section, r.line) for r in site.index_by_topic(pages, concepts).collect()]
     assert lines[:2] == [("Topic", "- [A](../sources/k1.md) (X, 2001)"), ("y", "_No ingested sources linked yet._")]
     assert [s for s, _ in lines[2:]] == ["Unclassified"] * 3 and lines[2][1].startswith("- [C]")
