@@ -171,7 +171,7 @@ def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, limit=3 << 20):  # fewer lookups of the words that chunks share
             tokenizer = tokenizer or WordTokenizer(path)
             out = []
             for ids in tokenizer.ids(texts):
@@ -194,12 +194,14 @@ def statistics(table: DataFrame) -> tuple[np.ndarray, int, int]:
         df = np.zeros(1 << 16, np.int64)
         rows, tokens = 0, 0
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, np.uint16)
-                ids = np.sort(ids)
-                df[ids[np.append(ids[1:] != ids[:-1], True)[: len(ids)]]] += 1
-                rows += 1
-                tokens += len(ids)
+            for begin in range(0, batch.num_rows, 1 << 10):
+                lists = [np.frombuffer(x, np.uint16) for x in batch.column(0).slice(begin, 1 << 10).to_pylist()]
+                size = [len(x) for x in lists]
+                pair = np.sort(np.repeat(np.arange(len(lists), dtype=np.uint32) << np.uint32(16), size) | np.concatenate(lists))
+                first = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+                df += np.bincount(pair[first] & np.uint32(0xFFFF), minlength=1 << 16)
+                rows += len(lists)
+                tokens += len(pair)
         some = np.flatnonzero(df)
         token = np.concatenate([some, [-1, -2]])
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.concatenate([df[some], [rows, tokens]]))], ["token", "n"])
