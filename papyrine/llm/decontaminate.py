@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from papyrine.llm.textual import mix, text_batches
 
-Q = 12
-RATE = 0.06
+Q = 10
+RATE = 0.08
 SHORTEST = 24  # characters; a shorter item is no evidence of anything and matches nothing
 SLICE_CHARS = 8 << 20
 _END = 0x110000  # after each text; equal to no character
@@ -48,15 +48,14 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_codes(c: np.ndarray) -> np.ndarray:
-    """Hash of every string of Q = 12 characters, from strings of 4 and 8."""
+    """Hash of every string of Q = 10 characters, from two strings of 8 that overlap."""
     n = len(c) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = mix(c.astype(np.uint64) + np.uint64(1))
-    for w in (1, 2):
+    for w in (1, 2, 4):
         h = h[:-w] * np.uint64(pow(_BASE, w, 1 << 64)) + h[w:]
-    four = np.uint64(pow(_BASE, 4, 1 << 64))
-    return mix((h[:n] * four + h[4 : n + 4]) * four + h[8 : n + 8])
+    return mix(h[:n] * np.uint64(_BASE) + h[Q - 8 :])
 
 
 class Items:
