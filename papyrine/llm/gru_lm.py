@@ -362,7 +362,8 @@ def train(docs: DataFrame, table: WordTable, rounds: int = 2, slices: int = 4, r
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["n", "w"])
 
         slice_docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == turn).select("text")
-        copies = slice_docs.mapInArrow(run, "n long, w binary").repartition(8).mapInArrow(add, "n long, w binary")
+        kind = "n long, w binary"
+        copies = slice_docs.mapInArrow(run, kind).repartition(partitions(docs)).mapInArrow(add, kind).repartition(8).mapInArrow(add, kind)
         rows = copies.collect()  # at most eight sums of one network each
         if rows:
             net.unpack(sum(np.frombuffer(r.w, np.float64) for r in rows) / sum(r.n for r in rows))
