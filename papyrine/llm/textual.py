@@ -90,16 +90,20 @@ def text_batches(batches: Iterable[pa.RecordBatch], text: str = "text", limit: i
 
     A single longer text is a slice of its own; no text is cut.
     """
-    for batch in batches:
-        texts = encoded(batch.column(batch.schema.get_field_index(text)).to_pylist())
-        begin, size = 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+    for whole in batches:
+        column = whole.schema.get_field_index(text)
+        # Few rows at a time become Python objects, however many Arrow brings.
+        for row in range(0, whole.num_rows, 1024):
+            batch = whole.slice(row, 1024)
+            texts = encoded(batch.column(column).to_pylist())
+            begin, size = 0, 0
+            for i, t in enumerate(texts):
+                if size and size + len(t) > limit:
+                    yield batch.slice(begin, i - begin), texts[begin:i]
+                    begin, size = i, 0
+                size += len(t)
+            if begin < len(texts):
+                yield batch.slice(begin), texts[begin:]
 
 
 def by_partition(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
