@@ -171,7 +171,7 @@ def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
-        for batch, texts in text_batches(batches, limit=3 << 20):  # fewer lookups of the words that chunks share
+        for batch, texts in text_batches(batches, limit=2 << 20):  # fewer lookups of the words that chunks share
             tokenizer = tokenizer or WordTokenizer(path)
             out = []
             for ids in tokenizer.ids(texts):

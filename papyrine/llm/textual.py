@@ -49,13 +49,18 @@ def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     offsets = np.searchsorted(starts, ends_at)
     if not len(starts):
         return np.zeros(0, np.uint64), offsets, starts, starts
-    at = np.flatnonzero(inside)
-    word = np.cumsum(begins)[at] - 1
-    place = at - starts[word]
-    value = _ZOBRIST[((place & 63) << 8) | data[at]]
-    if len(place) and place.max() >= 64:
-        value = value * ((place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    first = np.searchsorted(at, starts)
+    # 32-bit places while they suffice: these arrays are the largest that a task holds.
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    at = np.flatnonzero(inside).astype(kind)
+    place = at - starts.astype(kind)[np.cumsum(begins, dtype=kind)[at] - 1]
+    index = place & 63
+    index <<= 8
+    index |= data[at]
+    value = _ZOBRIST[index]
+    del index
+    if place.max() >= 64:
+        value *= (place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    first = np.searchsorted(at, starts.astype(kind))
     return mix(np.add.reduceat(value, first)), offsets, starts, starts + np.diff(np.append(first, len(at)))
 
 
