@@ -10,8 +10,8 @@ words. The network reads and predicts the ``vocabulary`` most frequent words and
   that of the word in its class, and both start at the corpus counts;
 * training by truncated backpropagation: gradients stop at window borders, the state does not. Tasks train copies of
   the network on their own documents, copies are averaged by token counts in a tree, and the next round starts from
-  the average. Each of the ``rounds`` rounds takes another hash slice of 1 / ``slices`` of the training documents, so
-  the work grows with the corpus.
+  the average. Each round takes another of ``slices`` hash slices of the training documents, until every training
+  document has been learned from once.
 
 A word outside the vocabulary has the probability of the common symbol times (c + 1) / (N' + V' + 1) over those
 words. Counts of the ``FREQUENT`` most frequent words travel with the tasks; the counts of all others are fetched by
@@ -34,7 +34,7 @@ from papyrine.session import materialise
 
 FREQUENT = 1 << 17
 HIDDEN, CLASSES, WINDOW = 24, 32, 24
-STREAM = 20 * WINDOW  # tokens that a training stream has at most
+LONG = 20 * WINDOW  # training documents of more tokens start before others
 END = np.uint64(0x1F3D5B79A8C6E402)  # stands for the end token among word hashes
 GATHER = 16 << 20
 
@@ -165,6 +165,7 @@ class Network:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.begin = np.append(0, np.cumsum(sizes))
+        self.learned = 0  # tokens that gave a gradient
 
     def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """New state and the gates, for one token of every document."""
@@ -172,7 +173,9 @@ class Network:
         a = self.p["x"][ids]
         a += self.p["b"]
         s = h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-np.clip(a[:, : 2 * d] + s[:, : 2 * d], -30, 30)))
+        zr = np.tanh((a[:, : 2 * d] + s[:, : 2 * d]) * 0.5)  # the logistic function, which never overflows so
+        zr *= 0.5
+        zr += 0.5
         n = np.tanh(a[:, 2 * d :] + zr[:, d:] * s[:, 2 * d :])
         return n + zr[:, :d] * (h - n), zr, n, s[:, 2 * d :]
 
@@ -258,57 +261,41 @@ class Network:
         grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
         found, pull = self.log_probability(np.concatenate(states), np.concatenate(targets), grads)
         ends = np.cumsum([len(x) for x in states])
+        # All that doesn't depend on later steps, for the whole window at once.
+        before, seen, zr, n, s = (np.concatenate(x) for x in zip(*tape, strict=True))
+        z, r = zr[:, :d], zr[:, d:]
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), s * r * (1 - r)
+        da, ds = np.empty((2, len(pull), 3 * d), pull.dtype)
         back = np.zeros((0, d), np.float32)
-        inputs_seen, d_inputs = [], []
         for k in range(len(tape) - 1, -1, -1):
-            before, inputs, zr, n, s = tape[k]
-            g = pull[ends[k] - len(before) : ends[k]]
+            at = slice(ends[k] - len(states[k]), ends[k])
+            g = pull[at]
             g[: len(back)] += back
-            z, r = zr[:, :d], zr[:, d:]
-            dn = g * (1 - z) * (1 - n * n)
-            da = np.concatenate([g * (before - n) * z * (1 - z), dn * s * r * (1 - r), dn], axis=1)
-            ds = da.copy()
-            ds[:, 2 * d :] *= r
-            grads["u"] += before.T @ ds
-            grads["b"] += da.sum(axis=0)
-            back = g * z + ds @ p["u"].T
-            inputs_seen.append(inputs)
-            d_inputs.append(da)
-        seen, da = np.concatenate(inputs_seen), np.concatenate(d_inputs)
+            dn = da[at, 2 * d :] = g * by_n[at]
+            np.multiply(g, by_z[at], out=ds[at, :d])
+            np.multiply(dn, by_r[at], out=ds[at, d : 2 * d])
+            np.multiply(dn, r[at], out=ds[at, 2 * d :])
+            back = ds[at] @ p["u"].T
+            back += g * z[at]
+        da[:, : 2 * d] = ds[:, : 2 * d]
+        grads["u"] += before.T @ ds
+        grads["b"] += da.sum(axis=0)
         order = np.argsort(seen, kind="stable")
         rows, first = np.unique(seen[order], return_index=True)
         grads["x"] = (rows, np.add.reduceat(da[order], first, axis=0))
         return grads, float(-found.sum()), len(found), h, ids
 
-    def learn(self, docs: list[np.ndarray], end: int, rate: float, memory: dict, width: int = 128) -> int:
-        """One pass of truncated backpropagation over the documents, with Adagrad steps; returns the tokens seen.
-
-        Long documents are read as several streams of STREAM tokens, so that all of a batch keep in step.
-        """
-        streams = []
-        for x in docs:
-            x = np.append(x, end)
-            streams += [(x[a : a + STREAM], len(self.cls) if a == 0 else int(x[a - 1])) for a in range(0, len(x), STREAM)]
-        streams.sort(key=lambda s: len(s[0]))
-        batches = [streams[a : a + width][::-1] for a in range(0, len(streams), width)]
-        seen = 0
-        for k in np.random.default_rng(len(streams)).permutation(len(batches)):
-            group = batches[k]
-            size = np.array([len(x) for x, _ in group])
-            flat = np.concatenate([x for x, _ in group]).astype(np.int64)
-            base = np.cumsum(size) - size
-            h, ids = np.zeros((len(group), HIDDEN), np.float32), np.array([before for _, before in group])
-            for t0 in range(0, int(size[0]), WINDOW):
-                grads, _, tokens, h, ids = self.window(h, ids, flat, base, size, t0)
-                scale = np.float32(1 / max(tokens, 64))
-                for name, v in self.p.items():
-                    at, g = grads[name] if name == "x" else (slice(None), grads[name])
-                    g = np.clip(g * scale, -0.05, 0.05)
-                    m = memory.setdefault(name, np.full_like(v, 1e-6))
-                    m[at] += g * g
-                    v[at] -= rate * g / np.sqrt(m[at])
-                seen += tokens
-        return seen
+    def descend(self, grads: dict, tokens: int, rate: float, memory: dict) -> None:
+        """One Adagrad step along the gradients of ``tokens`` tokens."""
+        scale = np.float32(1 / max(tokens, 64))
+        for name, v in self.p.items():
+            at, g = grads[name] if name == "x" else (slice(None), grads[name])
+            g = np.clip(g * scale, -0.05, 0.05)
+            if name not in memory:
+                memory[name] = np.full_like(v, 1e-6)
+            m = memory[name]
+            m[at] += g * g
+            v[at] -= rate * g / np.sqrt(m[at])
 
     def packed(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -320,6 +307,47 @@ class Network:
             at += v.size
 
 
+class Lanes:
+    """Truncated backpropagation over whole documents, many in step.
+
+    A document takes a free lane with a state of zero and keeps it, window after window, to its end; lanes stay open
+    from one call to the next, so few run alone before the last.
+    """
+
+    def __init__(self, net: Network, end: int, rate: float, width: int = 128):
+        self.net, self.end, self.rate, self.width = net, end, rate, width
+        self.memory: dict[str, np.ndarray] = {}
+        self.waiting: list[np.ndarray] = []
+        self.open: list[tuple[np.ndarray, int]] = []  # documents under way, and how far they are read
+        self.h, self.before = np.zeros((0, HIDDEN), np.float32), np.zeros(0, np.int64)
+        self.random = np.random.default_rng(17)
+
+    def learn(self, docs: list[np.ndarray], last: bool = False) -> int:
+        """Learn from the documents while all lanes are taken, to the ends of all with ``last``; returns the tokens."""
+        self.waiting += [np.append(x, self.end) for x in docs]
+        order = self.random.permutation(len(self.waiting))
+        # The longest start first, the others in any order.
+        self.waiting = sorted((self.waiting[i] for i in order), key=lambda x: len(x) // LONG)
+        seen = 0
+        while (self.waiting or self.open) if last else len(self.open) + len(self.waiting) >= self.width:
+            fresh = [self.waiting.pop() for _ in range(min(self.width - len(self.open), len(self.waiting)))]
+            lanes = self.open + [(x, 0) for x in fresh]
+            h = np.concatenate([self.h, np.zeros((len(fresh), HIDDEN), np.float32)])
+            before = np.append(self.before, np.full(len(fresh), len(self.net.cls)))
+            size = np.array([min(WINDOW, len(x) - at) for x, at in lanes])
+            by = np.argsort(-size, kind="stable")
+            lanes, size = [lanes[i] for i in by], size[by]
+            flat = np.concatenate([x[at : at + WINDOW] for x, at in lanes]).astype(np.int64)
+            grads, _, tokens, h, before = self.net.window(h[by], before[by], flat, np.cumsum(size) - size, size, 0)
+            self.net.descend(grads, tokens, self.rate, self.memory)
+            seen += tokens
+            # Only lanes that filled the window can go on; they come first, and h has at least them.
+            go = [i for i, (x, at) in enumerate(lanes) if at + WINDOW < len(x)]
+            self.open = [(lanes[i][0], lanes[i][1] + WINDOW) for i in go]
+            self.h, self.before = h[go], before[go]
+        return seen
+
+
 def symbols(table: WordTable, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, their places in the table, the network's symbols, and the texts' offsets."""
     words, cut = word_hashes([t.lower() for t in texts])
@@ -327,31 +355,32 @@ def symbols(table: WordTable, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return words, at, np.where(at >= 0, table.id[at], table.words), cut
 
 
-def train(docs: DataFrame, table: WordTable, rounds: int = 2, slices: int = 4, rate: float = 0.08) -> Network:
-    """Rounds of training on every partition's documents, averaged after each."""
+def train(docs: DataFrame, table: WordTable, slices: int = 2, rate: float = 0.08) -> Network:
+    """One pass over every document, a round for each hash slice: partitions train copies, averaged after each round."""
     spark = docs.sparkSession
     net = Network(table)
     sent = spark.sparkContext.broadcast(table.state)  # at most FREQUENT words
-    for turn in range(rounds):
+    for turn in range(slices):
         start = spark.sparkContext.broadcast(net.packed())
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            mine, own, memory, tokens, docs, size = None, None, {}, 0, [], 0
+            lanes, own, tokens, docs, size = None, None, 0, [], 0
             for _, texts in text_batches(batches):
-                if mine is None:
+                if lanes is None:
                     own = WordTable(*sent.value)
                     mine = Network(own)
                     mine.unpack(start.value)
+                    lanes = Lanes(mine, own.end, rate)
                 _, _, ids, cut = symbols(own, texts)
                 docs += [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 size += sum(map(len, texts))
                 if size > GATHER // 4:
-                    tokens += mine.learn(docs, own.end, rate, memory)
+                    tokens += lanes.learn(docs)
                     docs, size = [], 0
-            if docs:
-                tokens += mine.learn(docs, own.end, rate, memory)
+            if lanes:
+                tokens += lanes.learn(docs, last=True)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(mine.packed().astype(np.float64) * tokens).tobytes()], pa.binary())], ["n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(lanes.net.packed().astype(np.float64) * tokens).tobytes()], pa.binary())], ["n", "w"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, w = 0, None
@@ -367,6 +396,7 @@ def train(docs: DataFrame, table: WordTable, rounds: int = 2, slices: int = 4, r
         rows = copies.collect()  # at most eight sums of one network each
         if rows:
             net.unpack(sum(np.frombuffer(r.w, np.float64) for r in rows) / sum(r.n for r in rows))
+            net.learned += sum(r.n for r in rows)
     return net
 
 
@@ -464,7 +494,7 @@ def needed_counts(rows: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
     return requests.unionByName(owned).repartition(parts, "p").mapInArrow(answer, "b long, h binary, c binary")
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int = 1024, rounds: int = 2, slices: int = 4) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int = 1024, slices: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, and one end token closes each document; a null text
@@ -478,7 +508,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int =
     parts = partitions(docs)
     counted = count_words(learned)
     table = word_table(counted, vocabulary)
-    net = train(learned, table, rounds, slices)
+    net = train(learned, table, slices)
     rows = scored_rows(docs, table, net)
     answers = needed_counts(rows, counted, parts)
     unit = float(np.log10(table.tokens + table.distinct + 1))

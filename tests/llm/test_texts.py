@@ -270,3 +270,26 @@ def test_probabilities_add_up_and_state_is_carried():
         total += float(net.log_probability(h, np.array([x]))[0][0])
         before = np.array([x])
     assert np.isclose(net.score([long], table.end)[0], total, rtol=1e-4)
+
+
+def test_training_carries_the_state_to_the_end_of_every_document():
+    rng, table, net = small_network()
+    net.p = {k: v.astype(np.float32) for k, v in net.p.items()}
+    docs = [rng.integers(0, table.words + 1, n) for n in (0, 1, gru_lm.WINDOW - 1, gru_lm.WINDOW, 700, 5000, 30, 2000)]
+    losses, window = [], net.window
+    net.window = lambda *a: [losses.append(x := window(*a)), x][1]
+    lanes = gru_lm.Lanes(net, table.end, 0.0, width=3)
+    seen = lanes.learn(docs[:5]) + lanes.learn(docs[5:], last=True)  # without steps, so that losses are scores
+    assert seen == sum(len(d) + 1 for d in docs)
+    assert np.isclose(sum(x[1] for x in losses), -net.score(docs, table.end).sum(), rtol=1e-4)
+
+
+def test_every_training_document_gives_gradients(spark):
+    rows = spark.createDataFrame([(i, "a b a c " * (1 + i % 3)) for i in range(40)], "doc_id long, text string")
+    for slices in (1, 4):
+        for part in range(4):
+            some = rows.where(f"pmod(xxhash64(doc_id), 4) = {part}")
+            table = gru_lm.word_table(gru_lm.count_words(some), 8)
+            net = gru_lm.train(some, table, slices=slices)
+            assert net.learned == table.tokens > 0
+            assert not np.array_equal(net.packed(), gru_lm.Network(table).packed())
