@@ -2,7 +2,8 @@
 
 Words and one end token make a document. Counts of all training words come from every training document, packed per
 batch and summed by hash; they give the unigram base, the network's vocabulary and the distribution of all other
-words. The network reads and predicts the ``vocabulary`` most frequent words and a common symbol for the rest:
+words. The network reads and predicts the most frequent words, as many as make up ``SHARE`` of all tokens, and a
+common symbol for the rest:
 
 * a gated recurrent cell, whose state starts at zero in each document and is carried from window to window, so
   scores cover complete documents of any length;
@@ -20,6 +21,7 @@ block, from the partition that holds the word's hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ from papyrine.llm.textual import by_partition, joined, mix, partitions, text_bat
 from papyrine.session import materialise
 
 FREQUENT = 1 << 17
+SHARE = 0.6  # of all tokens: the network's words make it up
+LEAST, MOST = 1024, 1 << 15  # words of the network, whatever the share; eight sums of networks must fit the driver
 HIDDEN, CLASSES, WINDOW = 24, 32, 24
 LONG = 20 * WINDOW  # training documents of more tokens start before others
 END = np.uint64(0x1F3D5B79A8C6E402)  # stands for the end token among word hashes
@@ -109,8 +113,11 @@ class WordTable:
         return out
 
 
-def word_table(counted: DataFrame, vocabulary: int, frequent: int = FREQUENT) -> WordTable:
-    """Totals over all words and the ``frequent`` most frequent ones at most, ties at the border left out together."""
+def word_table(counted: DataFrame, vocabulary: int | None = None, frequent: int = FREQUENT) -> WordTable:
+    """Totals over all words and the ``frequent`` most frequent ones at most, ties at the border left out together.
+
+    The network gets ``vocabulary`` words, or as many as make up SHARE of all tokens.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,11 +128,17 @@ def word_table(counted: DataFrame, vocabulary: int, frequent: int = FREQUENT) ->
     totals = sizes.agg(F.sum(F.col("c") * F.col("n")), F.sum("n")).first()
     # Counts above the square root of all tokens, or of many distinct values, are few; walk down from the largest.
     bound, taken = 0, 0
+    missing, words = SHARE * (totals[0] or 0), 0
     for c, n in sizes.orderBy(F.desc("c")).limit(frequent).collect():
+        if missing > 0:
+            more = min(n, math.ceil(missing / c))
+            missing, words = missing - more * c, words + more
         if taken + n > frequent:
             bound = c
             break
         taken += n
+    if vocabulary is None:
+        vocabulary = min(max(words, LEAST), MOST)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,7 +158,8 @@ class Network:
         freq = np.append(table.freq, max(0, table.rest_tokens)) + 1
         order = np.argsort(-freq, kind="stable")
         mass = np.cumsum(freq[order]) / freq.sum()
-        group = np.minimum((mass - freq[order] / freq.sum() / 2) * CLASSES, CLASSES - 1).astype(np.int64)
+        classes = max(CLASSES, int(np.sqrt(n)))  # a class then costs no more than the words in it
+        group = np.minimum((mass - freq[order] / freq.sum() / 2) * classes, classes - 1).astype(np.int64)
         group = np.unique(group, return_inverse=True)[1]
         self.cls, self.place = np.empty(n, np.int64), np.empty(n, np.int64)
         self.cls[order] = group
@@ -494,7 +508,7 @@ def needed_counts(rows: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
     return requests.unionByName(owned).repartition(parts, "p").mapInArrow(answer, "b long, h binary, c binary")
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int = 1024, slices: int = 2) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int | None = None, slices: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, and one end token closes each document; a null text

@@ -293,3 +293,28 @@ def test_every_training_document_gives_gradients(spark):
             net = gru_lm.train(some, table, slices=slices)
             assert net.learned == table.tokens > 0
             assert not np.array_equal(net.packed(), gru_lm.Network(table).packed())
+
+
+def test_network_words_follow_the_counts(spark):
+    for words in (3000, 6000):
+        rows = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i % 4, words, 4))) for i in range(8)], "doc_id long, text string")
+        table = gru_lm.word_table(gru_lm.count_words(rows))
+        assert table.words >= 0.6 * words and table.freq.sum() >= gru_lm.SHARE * table.tokens
+        net = gru_lm.Network(table)
+        state = np.random.default_rng(2).normal(0, 1, (1, gru_lm.HIDDEN)).astype(np.float32)
+        every = np.arange(table.words + 1)
+        assert np.isclose(np.exp(net.log_probability(np.repeat(state, len(every), 0), every)[0]).sum(), 1, rtol=1e-4)
+
+
+def test_held_out_scores_beat_the_base(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(700):
+        at, words = rng.randrange(2000), []
+        for _ in range(rng.randint(50, 150)):
+            # a word of many, which no count of single words tells from the others, and what always follows it
+            words += [f"w{at}", "is" if at % 2 else "was", "the"]
+            at = rng.randrange(2000)
+        rows.append((i, " ".join(words)))
+    got = gru_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert len(got) > 50 and sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
