@@ -116,7 +116,7 @@ class WordTable:
 def word_table(counted: DataFrame, vocabulary: int | None = None, frequent: int = FREQUENT) -> WordTable:
     """Totals over all words and the ``frequent`` most frequent ones at most, ties at the border left out together.
 
-    The network gets ``vocabulary`` words, or as many as make up SHARE of all tokens.
+    The end token is always among them, for no document asks for its count. The network gets ``vocabulary`` words, or as many as make up SHARE of all tokens.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +143,10 @@ def word_table(counted: DataFrame, vocabulary: int | None = None, frequent: int
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, c = joined(b.column(1).to_pylist(), np.uint64), joined(b.column(2).to_pylist(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([h[c > bound].tobytes()], pa.binary()), pa.array([c[c > bound].tobytes()], pa.binary())], ["h", "c"])
+            kept = (c > bound) | (h == END)
+            yield pa.RecordBatch.from_arrays([pa.array([h[kept].tobytes()], pa.binary()), pa.array([c[kept].tobytes()], pa.binary())], ["h", "c"])
 
-    rows = counted.mapInArrow(top, "h binary, c binary").collect()  # at most ``frequent`` words
+    rows = counted.mapInArrow(top, "h binary, c binary").collect()  # at most ``frequent`` words and the end token
     return WordTable(joined((r[0] for r in rows), np.uint64), joined((r[1] for r in rows), np.int64), totals[0] or 0, totals[1] or 0, vocabulary)
 
 
@@ -508,7 +509,7 @@ def needed_counts(rows: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
     return requests.unionByName(owned).repartition(parts, "p").mapInArrow(answer, "b long, h binary, c binary")
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int | None = None, slices: int = 2) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int | None = None, slices: int = 2, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, and one end token closes each document; a null text
@@ -521,7 +522,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, vocabulary: int |
     learned = docs.where("not held_out")
     parts = partitions(docs)
     counted = count_words(learned)
-    table = word_table(counted, vocabulary)
+    table = word_table(counted, vocabulary, frequent)
     net = train(learned, table, slices)
     rows = scored_rows(docs, table, net)
     answers = needed_counts(rows, counted, parts)

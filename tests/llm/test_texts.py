@@ -318,3 +318,18 @@ def test_held_out_scores_beat_the_base(spark):
         rows.append((i, " ".join(words)))
     got = gru_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
     assert len(got) > 50 and sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
+
+
+def test_end_token_counts_whatever_the_bound(spark):
+    texts = [(0, " ".join(f"w{k}" for k in range(50))), (1, None), (2, "w1 w1 new")]
+    learned = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in texts]
+    assert learned[0]
+    rows = spark.createDataFrame(texts[:1] + [(i, t) for (i, t), x in zip(texts[1:], learned[1:], strict=True) if not x], "doc_id long, text string")
+    for frequent in (1, 10, 1000):
+        for r in gru_lm.score(rows, frequent=frequent).where("doc_id = 0").collect():
+            # 51 tokens that occur once each, the end among them
+            assert (r.n_known, r.train_tokens) == (51, 51) and np.isclose(r.base_score, 51 * np.log10(2 / 103))
+            assert np.isfinite(r.score)
+    counted = gru_lm.count_words(rows.where("doc_id = 0"))
+    table = gru_lm.word_table(counted, frequent=10)
+    assert table.hash.tolist() == [int(gru_lm.END)] and table.count.tolist() == [1]
