@@ -29,7 +29,7 @@ WINDOW = 4096
 END = 2  # the id that closes each document
 SHARD_TOKENS = 4 << 20
 TERMS = 12  # tokens of a seed that make its query, the weightiest ones
-RANKED = 64  # best neighbours that compete for one window; shard order fills what they leave
+RANKED = 64  # best neighbours that are put in order first; twice as many follow each time the window has room left
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -232,6 +232,7 @@ class Shard:
         self.by = np.argsort(self.doc, kind="stable")  # the entries of each document
         self.first = np.searchsorted(self.doc[self.by], np.arange(d + 1))
         self.unused = np.ones(d, bool)
+        self.size = size
         self.next = 0
 
     def any(self) -> int | None:
@@ -240,8 +241,8 @@ class Shard:
             self.next += 1
         return self.next if self.next < len(self.docs) else None
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by BM25 score for the seed's weightiest tokens, best first."""
+    def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """All unused documents with a BM25 score for the seed's weightiest tokens, and the scores."""
         own = self.by[self.first[seed] : self.first[seed + 1]]
         if len(own) > TERMS:
             own = own[np.argpartition(-self.weight[own], TERMS)[:TERMS]]
@@ -249,9 +250,7 @@ class Shard:
         lists = [slice(self.begin[t], self.begin[t + 1]) for t in query]
         score = np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), len(self.docs))
         found = np.flatnonzero((score > 0) & self.unused)
-        if len(found) > RANKED:
-            found = np.sort(found[np.argpartition(-score[found], RANKED)[:RANKED]])
-        return found[np.argsort(-score[found], kind="stable")]
+        return found, score[found]
 
     def sequences(self) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences of (document, begin, end); all but the last have exactly WINDOW tokens."""
@@ -267,17 +266,24 @@ class Shard:
             left = None
             pieces = [(seed, begin, len(self.docs[seed]))]
             room = WINDOW - (len(self.docs[seed]) - begin)
-            ranked = self.neighbours(seed) if room else np.zeros(0, np.int64)
-            skipped = None
-            for d in ranked:
-                if not room:
-                    break
-                if len(self.docs[d]) <= room:
-                    self.unused[d] = False
-                    pieces.append((int(d), 0, len(self.docs[d])))
-                    room -= len(self.docs[d])
-                elif skipped is None:
-                    skipped = int(d)
+            found, score = self.neighbours(seed) if room else (np.zeros(0, np.int64), np.zeros(0))
+            skipped, run = None, RANKED
+            while room and len(found):
+                if skipped is not None:  # the piece that is cut is known, so only what fits whole is looked for
+                    fits = self.size[found] <= room
+                    found, score = found[fits], score[fits]
+                by = np.argpartition(-score, run) if len(found) > run else np.arange(len(found))
+                best = np.sort(by[:run])
+                for d in found[best[np.argsort(-score[best], kind="stable")]].tolist():
+                    if self.size[d] <= room:
+                        self.unused[d] = False
+                        pieces.append((d, 0, len(self.docs[d])))
+                        room -= len(self.docs[d])
+                        if not room:
+                            break
+                    elif skipped is None:
+                        skipped = d
+                found, score, run = found[by[run:]], score[by[run:]], 2 * run
             while room:
                 d = skipped if skipped is not None else self.any()
                 skipped = None

@@ -333,3 +333,31 @@ def test_end_token_counts_whatever_the_bound(spark):
     counted = gru_lm.count_words(rows.where("doc_id = 0"))
     table = gru_lm.word_table(counted, frequent=10)
     assert table.hash.tolist() == [int(gru_lm.END)] and table.count.tolist() == [1]
+
+
+def test_windows_take_every_scored_neighbour_before_shard_order():
+    # Many short documents of one topic, and long ones that rank before short ones that would fit.
+    for long in (0, 150):
+        rng = np.random.default_rng(long)
+        docs = [np.concatenate([rng.integers(100 * (i % 2) + 10, 100 * (i % 2) + 60, rng.integers(3, 12)), [2]]) for i in range(700)]
+        docs += [np.concatenate([rng.integers(10, 60, rng.integers(3000, 4000)), [2]]) for _ in range(long)]
+        docs = [d[d != 2].astype(np.uint16) for d in docs]
+        df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+        make = lambda: packing.Shard(docs, df, len(docs), sum(map(len, docs)))  # noqa: B023, E731
+        other = make()
+        hit = np.isin(other.token, docs[0])
+        score = np.bincount(other.doc[hit], other.weight[hit], len(docs))
+        found = np.flatnonzero(score > 0)[1:]  # without the seed
+        score = score[found]
+        assert len(found) > 64
+        room, want, rest = packing.WINDOW - len(docs[0]), {0}, set()
+        for d in found[np.argsort(-score, kind="stable")].tolist():
+            if len(docs[d]) <= room:
+                want.add(d)
+                room -= len(docs[d])
+            else:
+                rest.add(d)
+        first = next(make().sequences())
+        whole = [d for d, b, e in first if e - b == len(docs[d])]
+        assert set(whole[: len(want)]) == want
+        assert not rest or first[-1][0] in rest or room == 0
