@@ -4,8 +4,8 @@ Documents are tokenised once and stored as packed token ids. What fills whole se
 of each document, shorter than a sequence, is dealt to index shards of bounded size. Shards are ranges of a lexical
 signature (two minimum hashes of the token set), so documents with like words meet, and copies stand side by side; a
 group of any size spreads over as many shards as it fills, because the row's hash ends the range key. Each shard
-holds a BM25 inverted index with document frequencies and lengths of the whole table. A seed document fetches its
-unused neighbours, best first; those that fit go into its window whole, and the next one is cut to fill it, its
+holds a BM25 inverted index; its document frequencies and mean length are those of the rests of all documents, without
+what was cut off as whole sequences. A seed document fetches its unused neighbours in the shard, best first; those that fit go into its window whole, and the next one is cut to fill it, its
 remainder being the next seed. So every sequence of a shard is full, but the last, which is cut at powers of two.
 """
 
