@@ -241,7 +241,7 @@ class Shard:
             self.next += 1
         return self.next if self.next < len(self.docs) else None
 
-    def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def scored(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """All unused documents with a BM25 score for the seed's weightiest tokens, and the scores."""
         own = self.by[self.first[seed] : self.first[seed + 1]]
         if len(own) > TERMS:
@@ -252,6 +252,11 @@ class Shard:
         found = np.flatnonzero((score > 0) & self.unused)
         return found, score[found]
 
+    def neighbours(self, seed: int) -> np.ndarray:
+        """The same documents, all in order, best first; windows put only as many in order as they need."""
+        found, score = self.scored(seed)
+        return found[np.argsort(-score, kind="stable")]
+
     def sequences(self) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences of (document, begin, end); all but the last have exactly WINDOW tokens."""
         left: tuple[int, int] | None = None  # a document that was cut, and where
@@ -266,7 +271,7 @@ class Shard:
             left = None
             pieces = [(seed, begin, len(self.docs[seed]))]
             room = WINDOW - (len(self.docs[seed]) - begin)
-            found, score = self.neighbours(seed) if room else (np.zeros(0, np.int64), np.zeros(0))
+            found, score = self.scored(seed) if room else (np.zeros(0, np.int64), np.zeros(0))
             skipped, run = None, RANKED
             while room and len(found):
                 if skipped is not None:  # the piece that is cut is known, so only what fits whole is looked for
