@@ -57,3 +57,69 @@ with words as ({_words("coalesce(text, '')")})
 , counted as (select doc_id, count(*) as n, count(*) filter (gone) as removed, string_agg(x, ' ' order by k) filter (not gone) as rest from kept group by doc_id)
 select w.doc_id, coalesce(n, 0) as n_words, coalesce(removed, 0) as n_removed, sha256(coalesce(rest, '')) as kept_sha256
 from words w left join counted c on c.doc_id = w.doc_id"""
+
+# The unsigned crc32 of a list of bytes, by its table, which comes from its polynomial.
+_CRC = """
+, crc_table as (select list(list_reduce(list_prepend(i::ubigint, range(8)::ubigint[]), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as crc from range(256) t(i))"""
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295::ubigint, bytes), lambda c, b: xor(c // 256, crc[(xor(c % 256, b) + 1)::bigint])), 4294967295)"
+_RUN_BYTES = "flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || r, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::ubigint] else [(192 + unicode(c) // 64)::ubigint, (128 + unicode(c) % 64)::ubigint] end))"
+
+SPELLING_VARIANTS = f"""
+with recursive runs as (select doc_id, unnest(regexp_extract_all({_LOWERED}, '[A-Za-z\u00C0-\u00FF]+')) as r from documents)
+, counted as (select doc_id, r, count(*) as n from runs where length(r) >= 5 group by all){_CRC}
+, hashed as (select r, n, {_CRC_OF} as h from (select r, n, {_RUN_BYTES} as bytes from counted), crc_table)
+, shortened as (select case when h % 97 = 0 then r[1:(h % length(r))::bigint] || r[(h % length(r))::bigint + 2:] else r end as word, n from hashed)
+, words as (select word, sum(n)::bigint as n from shortened where length(word) >= 5 group by word having sum(n) >= 3)
+, cut as (select word, i, word[1:i - 1] || word[i + 1:] as d from (select word, unnest(range(1, length(word) + 1)) as i from words))
+, pairs as (select a.word as x, b.word as y from cut a join words b on a.d = b.word
+            union select b.word, a.word from cut a join words b on a.d = b.word
+            union select a.word, b.word from cut a join cut b on a.d = b.d and a.i = b.i and a.word <> b.word)
+, best as (select x as word, count(*) as n_near, arg_min(y, (-n, y)) as y, max(n) as m from pairs join words on y = word group by x)
+, forms as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 2 * w.n then y end as form, case when m >= 2 * w.n then m end as form_n from words w left join best b on b.word = w.word)
+, follow(word, here) as (select word, word from forms union all select f.word, g.form from follow f join forms g on g.word = f.here where g.form is not null)
+, roots as (select f.word, f.here as root from follow f join forms g on g.word = f.here where g.form is null)
+select forms.word, form, root, n, n_near, form_n from forms join roots on roots.word = forms.word"""
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+RANKED_SEARCH = f"""
+with held as (select row_number() over () as row, doc_id, {_terms("text")} as t from documents)
+, docs as (select row, doc_id, t, len(t) as n from held where len(t) > 0)
+, total as (select count(*) as docs, sum(n)::hugeint as words from docs)
+, counts as (select row, term, count(*) as tf from (select row, unnest(t) as term from docs) group by all)
+, weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from counts, total group by term, docs)
+, asked as (select item, item_id, term, count(*) as q from (select row_number() over () as item, item_id, unnest({_terms("text")}) as term from benchmark) group by all)
+, scores as (select item, item_id, d.row, d.doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words))))::bigint as score
+             from asked join weights using (term) join counts using (term) join docs d on d.row = counts.row, total group by all)
+, ranked as (select item_id, row_number() over (partition by item order by score desc, doc_id nulls last) as rank, doc_id, score from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10"""
+
+# Letters of the keywords in either case, spelled out: (?i) would fold characters beyond ASCII here.
+_KEYWORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_SECRETS = (f"(?:{_KEYWORDS})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "(AKIA[A-Z0-9]{14,})", "([0-9a-f]{16,})", "([A-Za-z0-9+/_=-]{20,})")
+
+
+def _secret(kind: int) -> str:
+    p = _SECRETS[kind]
+    return f"select row, {kind} as kind, string_split_regex(t, '{p}') as g, regexp_extract_all(t, '{p}', 0) as m, regexp_extract_all(t, '{p}', 1) as v from texts"
+
+
+SECRETS = f"""
+with texts as (select row_number() over () as row, doc_id, source, coalesce(text, '') as t from documents)
+, matches as (select row, kind, m, v, list_transform(g, lambda x: length(x)) as g, list_transform(m, lambda x: length(x)) as l from ({" union all ".join(map(_secret, range(4)))}) where len(m) > 0)
+, spans as (select row, kind, (list_sum(g[1:i]) + list_sum(l[1:i]))::bigint as stop, l[i] as size, v[i] as value from (select *, unnest(range(1, len(m) + 1)) as i from matches))
+, kept as (select row, kind, stop - size as start, stop, value from spans where kind > 0 or length(value) >= 12)
+, live_looking as (select distinct row, stop - length(value) as start, stop, value from kept
+                   where regexp_matches(value, '[A-Za-z]') and regexp_matches(value, '[0-9]') and len(list_distinct(string_split(value, ''))) >= 8)
+, owners as (select value, count(distinct coalesce('=' || source, '')) as n from live_looking join texts using (row) group by value)
+, listed as (select row, start, kind, stop from kept where kind < 3
+             union all select row, start, case when n <= 1 then 4 else 5 end, stop from live_looking join owners using (value))
+, told as (select *, ['assign', 'access', 'hex', '', 'live'][kind + 1] || ':' || start || ':' || stop as s from listed)
+, grouped as (select row, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, count(*) filter (kind = 4) as n_live, count(*) filter (kind = 5) as n_copied
+              , string_agg(s, ',' order by start, kind, stop) filter (kind < 3) as base, string_agg(s, ',' order by start, kind, stop) filter (kind < 5) as spans from told group by row)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied
+     , sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join grouped using (row)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.llm import decontaminate, gru_lm, html_text, ngram_join, oracles, packing, quality, rp_forest, substring_dedup, suffix_dedup, wordpiece
+from papyrine.llm import decontaminate, gru_lm, html_text, lemp, ngram_join, oracles, packing, quality, rp_forest, secrets, substring_dedup, suffix_dedup, variants, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # The scores of trained models, packing, alignment, extraction and token counts are beyond SQL; tests check them.
@@ -15,6 +15,9 @@ ORACLES: dict[str, str] = {
     "op4_suffix_array": oracles.REPEATED_BYTES,
     "op5_projection_forest": oracles.NEAR_VECTORS,
     "op6_window_doubling": oracles.REPEATED_WINDOWS,
+    "op11_bloom_variants": oracles.SPELLING_VARIANTS,
+    "op12_norm_buckets": oracles.RANKED_SEARCH,
+    "op13_secret_owners": oracles.SECRETS,
 }
 
 
@@ -86,3 +89,21 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality by a byte-level convolutional network."""
     docs = table(spark, folder, "documents")
     return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op11_bloom_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word with its most frequent near spelling and the root that forms lead to, by Bloom-guided edits."""
+    return variants.group(table(spark, folder, "documents"))
+
+
+@query
+def op12_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item, by norm buckets of impact vectors."""
+    return lemp.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_secret_owners(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: base patterns, and values that one owner alone holds."""
+    return secrets.scan(table(spark, folder, "documents"))
