@@ -10,7 +10,7 @@ from papyrine.catalog.registry import VIEWS, Corpus, check, query
 from papyrine.operators.upsert import upsert_articles
 from papyrine.session import scratch_path
 from papyrine.sources.pages import file_signatures
-from papyrine.sources.tables import VersionedTable
+from papyrine.sources.tables import KeyedTable
 from papyrine.streaming import incremental
 
 STATUS_SQL = check(
@@ -39,11 +39,11 @@ def latest_status(c: Corpus):
 
 @query("latest_status_stream", STATUS_SQL)
 def latest_status_stream(c: Corpus):
-    """The same states kept by a stream in a versioned table."""
-    kind = c.processing_log.select("doi", "stage", "status", "processed_at").schema
-    table = VersionedTable(c.spark, scratch_path(c.spark, "status"), kind)
+    """The same states kept by a stream in a table by key, of which a batch rewrites the buckets it touches."""
+    kind = c.processing_log.select("doi", "stage", "status", "processed_at", "id").schema
+    table = KeyedTable(c.spark, scratch_path(c.spark, "status"), kind, ["doi", "stage"], buckets=16)
     incremental.keep_latest(log_stream(c), table, scratch_path(c.spark, "status-checkpoint")).awaitTermination()
-    return table.read()
+    return table.read().drop("id")
 
 
 @query("log_dedup", LOG_SQL)
@@ -63,22 +63,46 @@ def log_dedup_stream(c: Corpus):
     return c.spark.read.parquet(path).drop("day")
 
 
+@query(
+    "log_counts",
+    check("processing_log", "select stage, status, count(*) as entries from processing_log group by stage, status"),
+)
+def log_counts(c: Corpus):
+    """Entries per stage and status from counts per day, which the log stream keeps; the log itself is not read."""
+    return _counts(c).select("stage", "status", "entries")
+
+
+@query("distinct_enriched_by_day")
+def distinct_enriched_by_day(c: Corpus):
+    """Estimated number of records per stage and status, from one sketch per day."""
+    return _counts(c).select("stage", "status", "records")
+
+
+def _counts(c: Corpus) -> DataFrame:
+    counts = KeyedTable(c.spark, scratch_path(c.spark, "counts"), incremental.DAY_COUNTS, ["day"], buckets=16, unique=False)
+    path, checkpoint = scratch_path(c.spark, "log"), scratch_path(c.spark, "log-checkpoint")
+    incremental.append_once(log_stream(c), path, checkpoint, counts).awaitTermination()
+    return incremental.counts_since(counts.read())
+
+
 @query("stream_collect", WORKS_SQL + f" select {ARTICLE_ROW} from works")
 def stream_collect(c: Corpus):
     """Article table built by the incremental collector from JSON dumps, twice: the second run finds nothing new."""
     dumps = write_dumps(c, "incoming")
     root, checkpoint = scratch_path(c.spark, "articles"), scratch_path(c.spark, "collect-checkpoint")
-    table = VersionedTable(
+    table = KeyedTable(
         c.spark,
         root,
         "doi string, title string, authors string, year int, journal_issn string, journal_name string, "
         "publisher string, created_at timestamp_ntz, updated_at timestamp_ntz",
+        ["doi"],
+        buckets=16,
     )
     now = F.lit("2024-02-01").cast("timestamp_ntz")
     for _ in range(2):
         works = incremental.stream_dumps(c.spark, dumps, multi_line=False, files_per_batch=10_000)
         incremental.collect(
-            works, c.journals, lambda batch, n: table.publish(upsert_articles(table.read(), batch, now)), checkpoint
+            works, c.journals, lambda batch, n: table.change(batch, lambda rows, new: upsert_articles(rows, new, now), not_null=["title"]), checkpoint
         ).awaitTermination()
     return table.read().drop("created_at", "updated_at")
 

@@ -94,7 +94,7 @@ def match_pages(
 ) -> Tables:
     """Pages for articles without one: retrieve, score, and take the best record (pos, title, url, html)."""
     todo = queues.pending_pages(tables.articles, tables.pages).select("doi", "title")
-    best = matching.title_scores(todo, records.select("pos", "title"), k)
+    best = matching.title_scores(todo, records.select("pos", "title"), k, threshold=threshold)
     outcome = materialise(matching.search_outcomes(todo, best, threshold), "matched")
     found = outcome.filter("status = 'success'").select("doi", "pos", "match_score", "error_message")
     page = with_abstract(found.join(records.select("pos", "url", "html"), "pos"), "html", "abstract")

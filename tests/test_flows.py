@@ -137,11 +137,6 @@ def test_versioned_table(spark, tmp_path):
     assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError):
         tables.VersionedTable(spark, str(tmp_path / "none")).read()
-    path = str(tmp_path / "p")
-    tables.overwrite_partitions(spark.createDataFrame([(1, 2000), (2, 2001)], "k int, year int"), path, "year")
-    tables.overwrite_partitions(spark.createDataFrame([(9, 2001)], "k int, year int"), path, "year")
-    tables.append(spark.createDataFrame([(5,)], "k int"), path + "/year=2000")
-    assert sorted((r.k, r.year) for r in spark.read.parquet(path).collect()) == [(1, 2000), (5, 2000), (9, 2001)]
 
 
 def test_page_files(spark, tmp_path):
