@@ -35,7 +35,7 @@ LONG = 65  # words of this length or more share filters
 SHARD = 1 << 16  # words of one filter
 BITS = 16  # of a filter for each word
 SLICE = 32 << 20  # bytes of filters sent at a time
-PROBES = 1 << 20  # edits hashed at a time
+PROBES = 1 << 18  # edits hashed at a time
 SHORTENED = 97  # one occurrence in so many loses a letter
 
 
