@@ -11,7 +11,8 @@ from papyrine.catalog.cleaning import NOISY_TITLES, PATTERNS, PHRASES, noisy_tit
 from papyrine.catalog.registry import Corpus, at, check, query
 from papyrine.operators import upsert
 from papyrine.operators.stats import failed_to_reset
-from papyrine.sources.metadata import read_dumps, readable, transform_works
+from papyrine.sources.arrays import write_arrays
+from papyrine.sources.metadata import read_array_dumps, read_dumps, readable, transform_works, unregistered
 from papyrine.session import scratch_path
 
 OLD, NOW = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
@@ -366,6 +367,26 @@ def write_dumps(c: Corpus, name: str) -> str:
 
 @query("scan_metadata", WORKS_SQL + f" select {ARTICLE_ROW} from works")
 def scan_metadata(c: Corpus):
-    """The same rows from JSON dumps on disk; journal and year come from the dump's name."""
-    dumps = read_dumps(c.spark, write_dumps(c, "dumps"), multi_line=False)
-    return transform_works(readable(dumps), c.journals)
+    """The same rows from JSON dumps on disk, one array per journal and year; both come from the dump's name."""
+    path = scratch_path(c.spark, "dumps")
+    told = works(c).select(
+        F.format_string("cache_%s_%d.json", "issn", "dump_year").alias("name"), F.to_json(F.struct(*[x for x in works(c).columns if x not in ("issn", "dump_year")])).alias("value")
+    )
+    write_arrays(told, path)
+    return transform_works(readable(read_array_dumps(c.spark, path, "part-*", split=1 << 16)), c.journals)
+
+
+@query("scan_metadata_lines", WORKS_SQL + f" select {ARTICLE_ROW} from works")
+def scan_metadata_lines(c: Corpus):
+    """The same rows from dumps of one work per line."""
+    return transform_works(readable(read_dumps(c.spark, write_dumps(c, "dumps"), multi_line=False)), c.journals)
+
+
+@query(
+    "unregistered_works",
+    WORKS_SQL
+    + " select journal_name as issn, count(*) + count(*) filter (year = 2005) as works from noisy where journal_name is null or length(journal_name) <> 4 group by 1",
+)
+def unregistered_works(c: Corpus):
+    """Works of dumps whose journal is not in a registry that lacks half of them."""
+    return unregistered(works(c), c.journals.filter(F.length("issn") == 4))

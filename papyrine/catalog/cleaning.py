@@ -8,7 +8,8 @@ from papyrine.catalog.registry import Corpus, check, query
 from papyrine.functions import clean, rules, similarity, text
 from papyrine.functions.markdown import front_matter
 from papyrine.functions.pagetext import page_paragraphs, with_abstract
-from papyrine.operators import maintenance
+from papyrine.operators import maintenance, verify
+from papyrine.session import scratch_path
 
 
 NAMES_SQL = (
@@ -327,6 +328,21 @@ def head_text(c: Corpus):
     return c.documents.select("doc_id", clean.head_text(F.col("text")).alias("head"))
 
 
+@query(
+    "head_pages",
+    r"""
+with l as (select doc_id, string_split(text, chr(10)) as p from documents)
+, h as (select doc_id, trim(regexp_replace(array_to_string(p[1:2], ' '), '\s+', ' ', 'g')) as t from l)
+select doc_id, case when length(t) >= 100 then t end as text from h""",
+)
+def head_pages(c: Corpus):
+    """The first two pages of every text, from a table of pages stored by page number."""
+    paged = c.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit(clean.PAGE_BREAK)).alias("text"))
+    path = scratch_path(c.spark, "page-table")
+    verify.page_table(paged, "doc_id").sortWithinPartitions("page_no").write.parquet(path)
+    return verify.page_heads(c.spark.read.parquet(path), "doc_id")
+
+
 FRACTION_SQL = f"""
 , named as (select a.doi, {NAMES_SQL} as names, lower(t.text) as low from articles a join texts t using (doi))
 , fractions as (select doi, case when len(names) = 0 then 0.0::double

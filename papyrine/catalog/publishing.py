@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from papyrine.catalog.cleaning import BASE_SQL
 from papyrine.catalog.registry import Corpus, check, query
 from papyrine.operators import keys, queues, site
+from papyrine.functions.markdown import heading
 from papyrine.session import scratch_path
+from papyrine.sources.files import read_paths, write_texts
+from papyrine.sources.pages import read_markdown
 
 PAGES_SQL = """
 , pages_ as (select p.doi, p.bib_key, p.status, a.title, a.authors, a.year, a.journal_name from published p join articles a on p.doi = a.doi where p.status in ('ingested', 'flagged'))
@@ -131,8 +134,23 @@ from k""",
     ),
 )
 def reconcile(c: Corpus):
-    """State of every expected key from the pages that were written."""
-    return site.reconcile(c.published.select("doi", "bib_key"), c.spark.sql(PAGES, published=c.published))
+    """State of every expected key from the files of the pages that were written, each opened by its key."""
+    base = scratch_path(c.spark, "site")
+    write_texts(c.spark.sql(PAGES, published=c.published), base).agg(F.count("*")).collect()
+    expected = c.published.select("doi", "bib_key")
+    named = expected.select(F.col("bib_key").alias("key"), F.concat(F.lit("sources/"), "bib_key", F.lit(".md")).alias("path")).distinct()
+    written = read_paths(named, base).filter("scan_status = 'found'").select("key", "path", "content")
+    return site.reconcile(expected, written)
+
+
+@query("concept_pages", "select 'c' || item_id as key, 'Item ' || item_id as title, text as body from benchmark")
+def concept_pages(c: Corpus):
+    """Markdown pages found by pattern in a folder: key, first heading and the rest."""
+    base = scratch_path(c.spark, "concepts")
+    page = c.benchmark.select(F.format_string("concepts/c%d.md", "item_id").alias("path"), F.concat(F.format_string("# Item %d\n", "item_id"), "text").alias("content"))
+    write_texts(page, base).agg(F.count("*")).collect()
+    body = F.regexp_replace("content", r"^[^\n]*\n", "")
+    return read_markdown(c.spark, base).select("key", heading(F.col("content")).alias("title"), body.alias("body"))
 
 
 @query(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from papyrine.catalog.registry import Corpus, check, query
 from papyrine.functions.pagetext import with_abstract
 from papyrine.operators import constraints, maintenance, stats
+from papyrine.session import scratch_path
+from papyrine.sources.files import read_paths, write_texts
 
 STATS_SQL = """
 select (select count(*) from articles) as articles,
@@ -197,10 +199,11 @@ select k.outcome, count(o.outcome) as n from (values ('success'), ('failed'), ('
     ),
 )
 def extract_summary(c: Corpus):
-    """Outcomes of the extraction job over the stored paths."""
-    pages = with_abstract(c.spark.sql(BOXED, pages=c.pages)).select("path", "abstract")
-    scanned = stats.page_scan_status(stored_paths(c), pages.select("path")).join(pages, "path", "left")
-    return stats.extract_summary(scanned)
+    """Outcomes of the extraction job over the stored paths, each opened where it lies; missing files are counted."""
+    base = scratch_path(c.spark, "saved")
+    write_texts(c.spark.sql(BOXED, pages=c.pages), base, content="html").agg(F.count("*")).collect()
+    scanned = with_abstract(read_paths(stored_paths(c), base, content="html"))
+    return stats.extract_summary(scanned.select("scan_status", "abstract"))
 
 
 @query(

@@ -142,9 +142,13 @@ def doi_slug(doi: Column) -> Column:
     return F.concat(F.translate(doi, "/\\", "__"), F.lit(".pdf"))
 
 
-def head_text(text: Column, min_length: int = 100) -> Column:
-    """Squeezed text, NULL when it is too short to judge."""
-    return let(squeeze(text), lambda t: F.when(F.length(t) >= min_length, t))
+PAGE_BREAK = "\f"  # between the pages of a text
+
+
+def head_text(text: Column, min_length: int = 100, pages: int | None = None) -> Column:
+    """Squeezed text, of the first ``pages`` pages or of all; NULL when it is too short to judge."""
+    first = F.substring_index(text, PAGE_BREAK, pages) if pages else text
+    return let(squeeze(first), lambda t: F.when(F.length(t) >= min_length, t))
 
 
 def author_fraction(authors: Column, text: Column, whole_words: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.functions.clean import author_fraction
+from papyrine.functions.clean import PAGE_BREAK, author_fraction, head_text
 from papyrine.functions.similarity import partial_ratio
 from papyrine.operators.upsert import (
     delete_keys,
@@ -16,6 +16,22 @@ from papyrine.operators.upsert import (
 
 GRAY_LOW, GRAY_HIGH, MIN_FRACTION, MIN_CONFIDENCE = 55, 88, 0.5, 0.7
 VERDICT = "match boolean, confidence double, reason string"
+HEAD_PAGES = 2  # pages on which an article's own title and authors stand
+
+
+def page_table(texts: DataFrame, key: str = "doi", text: str = "text") -> DataFrame:
+    """(key, page_no, text): the pages of texts, from their page breaks, numbered from 1.
+
+    Stored in the order of ``page_no``, heads are read without the row groups of the pages behind them.
+    """
+    pages = F.posexplode(F.split(F.col(text), PAGE_BREAK)).alias("_at", "text")
+    return texts.select(key, pages).select(key, (F.col("_at") + 1).alias("page_no"), "text")
+
+
+def page_heads(pages: DataFrame, key: str = "doi", first: int = HEAD_PAGES, min_length: int = 100) -> DataFrame:
+    """(key, text): the squeezed first pages of every text, NULL where they are too short to judge."""
+    head = pages.filter(F.col("page_no") <= first).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("_p"))
+    return head.select(key, head_text(F.array_join(F.col("_p.text"), PAGE_BREAK), min_length).alias("text"))
 
 
 def check_text(rows: DataFrame) -> DataFrame:

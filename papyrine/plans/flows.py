@@ -209,10 +209,11 @@ def extract_abstracts(tables: Tables, found: DataFrame, now: Column) -> tuple[Ta
 def verify_files(
     tables: Tables, texts: DataFrame, now: Column, verdicts: DataFrame | None = None, model: str | None = None
 ) -> Tables:
-    """Check pending files against their texts (doi, text), store the results, quarantine the mismatches."""
+    """Check pending files against the first pages of their texts (doi, text), store the results, quarantine the
+    mismatches. A paper that names the article further back, as in its references, is no match."""
     pending = tables.files.filter("verify_status = 'pending'").select("doi", "source")
     article = tables.articles.select("doi", "title", "authors")
-    rows = pending.join(article, "doi").join(texts.select("doi", head_text(F.col("text")).alias("text")), "doi", "left")
+    rows = pending.join(article, "doi").join(texts.select("doi", head_text(F.col("text"), pages=verify.HEAD_PAGES).alias("text")), "doi", "left")
     result = materialise(verify.verify(verify.check_text(rows), verdicts, model), "verified")
     stored = upsert.set_verification(tables.files, result, now)
     wrong = (

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions.clean import clean_title, format_authors, issued_year, joined_title
 from papyrine.functions.rules import is_valid_article
 from papyrine.operators.common import first_per_key
+from papyrine.sources.arrays import SPLIT, read_objects
 
 WORK = (
     "type string, DOI string, publisher string, title array<string>, "
@@ -42,6 +43,21 @@ def read_dumps(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     return with_dump_name(works)
 
 
+def array_works(objects: DataFrame) -> DataFrame:
+    """Works from the objects (path, offset, value) of array files, as ``read_dumps`` returns them.
+
+    Also the offset of each; an object that cannot be parsed keeps its text as ``_corrupt_record``.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = objects.select(F.from_json("value", WORK + ", _corrupt_record string", options).alias("work"), "path", "offset")
+    return with_dump_name(parsed.select("work.*", "path", "offset"), F.col("path")).drop("path")
+
+
+def read_array_dumps(spark: SparkSession, path: str, pattern: str = "*.json", split: int = SPLIT) -> DataFrame:
+    """Works from dump files that hold one JSON array each, a file read by as many tasks as it has pieces."""
+    return array_works(read_objects(spark, path, pattern, split))
+
+
 def readable(works: DataFrame) -> DataFrame:
     """Works that could be parsed."""
     return works.filter("_corrupt_record is null").drop("_corrupt_record")
@@ -49,11 +65,13 @@ def readable(works: DataFrame) -> DataFrame:
 
 def broken_dumps(works: DataFrame) -> DataFrame:
     """(issn, dump_year) of dumps with unreadable records, to be fetched again."""
-    return works.filter("_corrupt_record is not null and DOI is null").select("issn", "dump_year").distinct()
+    broken = works.filter("_corrupt_record is not null and DOI is null")
+    return broken.select("issn", "dump_year").distinct()
 
 
-def with_dump_name(works: DataFrame) -> DataFrame:
-    name = F.col("_metadata.file_path")
+def with_dump_name(works: DataFrame, name: Column | None = None) -> DataFrame:
+    """Works with the journal and year that their file's name tells."""
+    name = F.col("_metadata.file_path") if name is None else name
     return works.select(
         "*",
         F.nullif(F.regexp_extract(name, DUMP_NAME, 1), F.lit("")).alias("issn"),

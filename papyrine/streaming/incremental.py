@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from papyrine.operators.common import first_per_key
-from papyrine.sources.metadata import WORK, broken_dumps, readable, transform_works, with_dump_name
+from papyrine.sources.arrays import objects
+from papyrine.sources.metadata import WORK, array_works, broken_dumps, readable, transform_works, with_dump_name
 from papyrine.sources.tables import KeyedTable, existing
 
 
@@ -28,23 +29,39 @@ def stream_dumps(spark: SparkSession, path: str, multi_line: bool = True, files_
     return with_dump_name(works)
 
 
+def stream_array_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """New dump files (path, length) as a stream; their contents are not read here.
+
+    With ``parse=array_batch`` in ``collect``, each batch's files are cut at object borders and read by many tasks.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = files.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
+    return files.option("maxFilesPerTrigger", files_per_batch).load(path).select("path", "length")
+
+
+def array_batch(files: DataFrame) -> DataFrame:
+    """Works of a batch of array files (path, length)."""
+    return array_works(objects(files.sparkSession, files))
+
+
 def collect(
     works: DataFrame,
     journals: DataFrame,
     apply: Callable[[DataFrame, int], None],
     checkpoint: str,
     again: Callable[[DataFrame, int], None] | None = None,
+    parse: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Turn waiting dumps into article rows and hand each batch to ``apply`` (an upsert), then stop.
 
     The checkpoint remembers which files were collected, so a rerun reads only new ones. Dumps with unreadable
     records go to ``again`` as (issn, dump_year), to be fetched once more under a new name; without it such a batch
     fails, so no dump is lost unseen. Both get the batch number: a batch that is replayed after a failure comes with
-    the number it had.
+    the number it had. ``parse`` turns a batch into works where the stream brings files.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        batch = (parse(batch) if parse else batch).persist()
         broken = broken_dumps(batch)
         if again is not None:
             again(broken, number)
