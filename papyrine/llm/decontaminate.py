@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.textual import mix, text_batches
+from papyrine.llm.textual import mix, text_batches, trim
 
 Q = 10
 RATE = 0.08
@@ -229,6 +229,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, slice_chars: int = SLICE_C
                     if i < len(texts):
                         size += len(texts[i])
                 yield pd.Series([i not in dirty for i in range(len(texts))], dtype=bool)
+            trim()
 
         return F.pandas_udf(clean, "boolean")(F.col("text"))
 

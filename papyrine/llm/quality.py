@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.textual import encoded, text_batches
+from papyrine.llm.textual import encoded, text_batches, trim
 
 CHUNK, STEP, BLOCK = 512, 448, 4  # bytes of a chunk, between chunks, between filter positions
 PAD = 256
@@ -182,7 +182,8 @@ def score(docs: DataFrame, net: ConvNet, folds: int = 5, held_out: int = 0, thre
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold. One pass over the texts, no join.
+    """The rows of ``docs``, all columns, whose score reaches the threshold. One pass over the texts, no join. A null
+    text is scored as the empty text.
 
     The score is computed beside the row in an Arrow function, so rows with equal ids need no key.
     """
@@ -191,5 +192,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **opti
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series(net.score(encoded(t if isinstance(t, str) else None for t in texts)))
+        trim()
 
     return docs.where(F.pandas_udf(probability, "double")(F.col("text")) >= threshold)

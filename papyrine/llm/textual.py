@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def trim() -> None:
+    """Give freed memory back to the system. A Python worker lives on between tasks, and several of them share an
+    executor's memory while only some are at work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call in this C library
+        pass
+
+
 def encoded(texts: Iterable[str | None]) -> list[bytes]:
     """UTF-8 bytes; null is the empty text. Lone surrogates, which Spark can't hold, become question marks."""
     return [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
@@ -93,8 +104,9 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
 def text_batches(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches that hold about ``limit`` bytes of text each, with the texts as bytes.
 
-    A single longer text is a slice of its own; no text is cut.
+    A single longer text is a slice of its own; no text is cut. Memory is trimmed before the first and after the last.
     """
+    trim()
     for whole in batches:
         column = whole.schema.get_field_index(text)
         # Few rows at a time become Python objects, however many Arrow brings.
@@ -109,6 +121,8 @@ def text_batches(batches: Iterable[pa.RecordBatch], text: str = "text", limit: i
                 size += len(t)
             if begin < len(texts):
                 yield batch.slice(begin), texts[begin:]
+        del whole
+    trim()
 
 
 def by_partition(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
