@@ -59,19 +59,29 @@ SAME_SQL = r"""
              and len(regexp_extract_all(title, '\S+')) = len(regexp_extract_all(page_title, '\S+')) as same from both_titles)"""
 
 
+# A title with one more word holds the whole title, so its partial ratio is 100 and its length score says the rest.
+LONGER_SQL = r"""
+, scored as (select *, len(regexp_extract_all(title, '\S+')) as w, len(regexp_extract_all(page_title, '\S+')) as pw,
+             contains(lower(title), lower(page_title)) or contains(lower(page_title), lower(title)) as inside from told where title <> '' and trim(page_title) <> '')
+, both_scores as (select *, case when inside then (1 - 0.3::double) * 100 + 0.3::double * (least(w, pw) / greatest(w, pw) * 100) else 0 end as first_score,
+             (1 - 0.3::double) * 100 + 0.3::double * (w / (w + 1) * 100) as second_score from scored)"""
+
+
 @query(
     "resolve_listing",
     check(
         "articles page_titles",
         SAME_SQL
+        + LONGER_SQL
         + """
-select doi, 'nber' as source, 'https://www.nber.org/papers/w' || case when same then '1' else '2' end || pos as candidate_url,
-       'https://www.nber.org/system/files/working_papers/w' || n || '/w' || n || '.pdf' as pdf_url, 100.0::double as match_score
-from (select *, case when same then '1' else '2' end || pos as n from told where title <> '' and trim(page_title) <> '')""",
+select doi, 'nber' as source, 'https://www.nber.org/papers/w' || n as candidate_url,
+       'https://www.nber.org/system/files/working_papers/w' || n || '/w' || n || '.pdf' as pdf_url, round(greatest(first_score, second_score), 6) as match_score
+from (select *, case when first_score >= second_score then '1' else '2' end || pos as n from both_scores) where greatest(first_score, second_score) >= 90""",
     ),
 )
 def resolve_listing(c: Corpus):
-    """Best item of a listing per article: its page's title, then its own title in tags, then an item of another kind."""
+    """Best item of a listing per article: its page's title, its own title and a word in tags, the same again (the
+    earlier one stays), and its own title as an item of another kind. Short titles stay below the threshold."""
     n = F.col("pos").cast("string")
 
     def item(title, url):
@@ -79,12 +89,14 @@ def resolve_listing(c: Corpus):
 
     results = F.array(
         item(F.col("page_title"), F.concat(F.lit("/papers/w1"), n)),
-        item(F.concat(F.lit("<b>"), F.col("title"), F.lit("</b>")), F.concat(F.lit("/papers/w2"), n)),
+        item(F.concat(F.lit("<b>"), F.col("title"), F.lit("</b> plus")), F.concat(F.lit("/papers/w2"), n)),
+        item(F.concat(F.col("title"), F.lit(" <i>plus</i>")), F.concat(F.lit("/papers/w4"), n)),
         item(F.col("title"), F.concat(F.lit("/books/b3"), n)),
     )
     listed = _with_title(c).filter("title <> '' and trim(page_title) <> ''")
     told = listed.select("doi", "title", F.to_json(F.struct(results.alias("results"))).alias("raw"))
-    return matching.resolve_listing(read_listings(told, "raw"))
+    found = matching.resolve_listing(read_listings(told, "raw"))
+    return found.withColumn("match_score", F.round("match_score", 6))
 
 
 # A feed with two entries: the page's title by a stranger, and the article's title by the article's last author word.
@@ -96,7 +108,14 @@ select doi, pos, title, authors, concat('<feed xmlns="http://www.w3.org/2005/Ato
 from {source}"""
 
 
-def _feeds(c: Corpus):
+# The same with one more word in the second title, and that entry once more.
+LONGER_FEED = FEED.replace("', escaped, '</title>", "', escaped, ' plus</title>").replace(
+    "'</entry></feed>')",
+    "'</entry><entry><id>http://arxiv.org/abs/3', cast(pos as string), '</id><title>', escaped, ' plus</title><author><name>Some ', last, '</name></author></entry></feed>')",
+)
+
+
+def _feeds(c: Corpus, feed: str = FEED):
     def escape(col):
         return F.replace(F.replace(F.replace(col, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -109,7 +128,7 @@ def _feeds(c: Corpus):
         escape(F.col("title")).alias("escaped"),
         escape(F.element_at(author_last_names(F.col("authors")), -1)).alias("last"),
     )
-    return parse_feed(c.spark.sql(FEED, source=source))
+    return parse_feed(c.spark.sql(feed, source=source))
 
 
 @query(
@@ -140,13 +159,17 @@ def atom_entries(c: Corpus):
         "articles page_titles",
         f"""
 select doi, 'arxiv' as source, 'http://arxiv.org/abs/2' || pos as candidate_url,
-       case when pos % 2 = 0 then 'http://a/2.pdf' else 'http://arxiv.org/pdf/2' || pos end as pdf_url, 100.0::double as match_score
-from page_titles p join articles a using (doi) where a.title <> '' and not regexp_matches({NAMES_SQL}[-1], '\\s')""",
+       case when pos % 2 = 0 then 'http://a/2.pdf' else 'http://arxiv.org/pdf/2' || pos end as pdf_url,
+       round((1 - 0.3::double) * 100 + 0.3::double * (w / (w + 1) * 100), 6) as match_score
+from (select p.pos, a.*, len(regexp_extract_all(a.title, '\\S+')) as w from page_titles p join articles a using (doi)
+      where a.title <> '' and not regexp_matches({NAMES_SQL}[-1], '\\s'))
+where (1 - 0.3::double) * 100 + 0.3::double * (w / (w + 1) * 100) >= 90""",
     ),
 )
 def resolve_atom(c: Corpus):
-    """Best feed entry per article that shares an author (names in two words before a comma never match)."""
-    return matching.resolve_atom(_feeds(c).filter("title <> ''"))
+    """Best feed entry per article that shares an author (names in two words before a comma never match): the article's
+    title and a word, twice, of which the earlier stays; short titles stay below the threshold."""
+    return matching.resolve_atom(_feeds(c, LONGER_FEED).filter("title <> ''")).withColumn("match_score", F.round("match_score", 6))
 
 
 @query(

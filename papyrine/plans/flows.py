@@ -17,6 +17,7 @@ from papyrine.functions.clean import accepted_abstract, doi_slug, head_text, nor
 from papyrine.functions.pagetext import with_abstract
 from papyrine.operators.common import first_per_key
 from papyrine.operators import keys, maintenance, matching, queues, site, stats, upsert, verify
+from papyrine.operators.search import StoredIndex
 from papyrine.session import materialise
 from papyrine.sources.metadata import transform_works
 
@@ -60,6 +61,24 @@ def collect(tables: Tables, works: DataFrame, journals: DataFrame, now: Column,
     return replace(tables, articles=upsert.upsert_articles(tables.articles, rows, now))
 
 
+def refresh_index(index: StoredIndex, before: DataFrame, after: DataFrame, text: str) -> int | None:
+    """Bring an index from one version of a table to the next: the segment it writes, or None where no text changed.
+
+    Rows with a new text are indexed, rows that lost theirs or are gone leave the index; nothing else is read again.
+    """
+    key = index.key
+    old = before.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("_old"))
+    new = after.filter(F.col(text).isNotNull()).select(key, text)
+    both = materialise(old.join(new, key, "full_outer").filter(~F.col("_old").eqNullSafe(F.col(text))), "changed-texts")
+    if both.isEmpty():
+        return None
+    held = index.segments()
+    segment = held[-1] + 1 if held else 0
+    index.add(both, text, segment, removed=both.filter(F.col(text).isNull()))
+    merged = index.tidy()
+    return segment if merged is None else merged
+
+
 def enrich(tables: Tables, works: DataFrame, now: Column, force: bool = False) -> tuple[Tables, DataFrame]:
     """Missing abstracts from enrichment records (doi, abstract_inverted_index); also the outcome counts."""
     todo = queues.missing_abstracts(tables.articles, tables.pages).select("doi", normalize_doi(F.col("doi")).alias("key"))

@@ -1,6 +1,7 @@
 """Whole jobs on a small corpus, sources on disk, versioned tables, and streams."""
 
 import json
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from papyrine import schemas
 from papyrine.functions.journals import registry
+from papyrine.operators.search import StoredIndex, build_postings
 from papyrine.plans import flows
-from papyrine.session import materialise, scratch_path
+from papyrine.session import materialise, scratch_path, scratch_scope
 from papyrine.sources import metadata, pages, tables
 from papyrine.streaming import incremental
 
@@ -165,6 +167,34 @@ def test_scratch_follows_the_cluster_setting(spark, tmp_path):
         scratch_path(unset, "x")
 
 
+def test_scratch_scope_leaves_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "a int")
+    with scratch_scope(spark):
+        inner = materialise(materialise(df, "x"), "y")
+        paths = [f.rsplit("/", 1)[0] for f in inner.inputFiles()]
+        inner.write.parquet(str(tmp_path / "result"))
+        assert all(os.path.isdir(p.removeprefix("file:").replace("///", "/")) for p in paths)
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 1
+    assert not any(os.path.exists(p.removeprefix("file:").replace("///", "/")) for p in paths)
+
+
+def test_index_follows_the_tables(spark, corpus, tmp_path, rows):
+    """Collected, renamed and removed articles: the index equals a rebuilt one, and each refresh writes the changes."""
+    index = StoredIndex(spark, str(tmp_path / "titles"), "doi", buckets=4)
+    titles = lambda state: build_postings(state.articles, "doi", "title")
+    assert flows.refresh_index(index, corpus.articles.limit(0), corpus.articles, "title") == 0
+    works = spark.createDataFrame([("journal-article", "10/a", "P", ["Taxes renamed"], None, ([[2020]],), "i"), ("journal-article", "10/n", "P", ["A new one"], None, ([[2021]],), "i")], metadata.WORK + ", issn string")
+    journals = spark.createDataFrame([("i", "J")], "issn string, name string")
+    after = flows.collect(corpus, works, journals, ts(NOW))
+    assert flows.refresh_index(index, corpus.articles, after.articles, "title") == 2  # the small segments are merged
+    assert rows(index.postings()) == rows(titles(after))
+    assert flows.refresh_index(index, after.articles, after.articles, "title") is None
+    left = flows.remove_non_articles(after)
+    flows.refresh_index(index, after.articles, left.articles, "title")
+    assert rows(index.postings()) == rows(titles(left)) and index.size().first().n_docs == left.articles.count()
+    assert [r.doi for r in index.search(["renamed"]).collect()] == ["10/a"]
+
+
 def test_stream_collects_only_new_files(spark, tmp_path):
     incoming, seen = tmp_path / "in", []
     incoming.mkdir()
