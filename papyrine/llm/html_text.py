@@ -5,9 +5,12 @@ For every node of a page's tree: C characters and T tags under it, LC and LT of
 with few tags and few links is dense. The node whose children's densities have the largest sum holds the article.
 The smallest density on its path to the body is the threshold for what stands beside that path: a neighbour as dense
 belongs to the article as well. Elements that are never text of the article (scripts, forms, navigation, and blocks
-whose name marks them as adverts, notices, comments and the like) count for nothing.
+whose class says nothing else than advert, sidebar, comments and the like) count for nothing. A class that says notice,
+header, related and the like is a hint only: such a block goes if it stands outside the page's article element or
+beside the chosen subtree, or is less dense than half the threshold. Words in a longer name, as in ``social-history``, say nothing.
 
-Pages are independent: one pass in Arrow batches, no shuffle, each page read whole.
+Pages are independent: one pass in Arrow batches, no shuffle, each page read whole. Parsing takes time in proportion to
+the page, however broken it is: open elements are found by name, and a quote that never closes is no quote.
 """
 
 from __future__ import annotations
@@ -21,23 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+NAMED = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r""">|=\s*(["'])""")  # a quote counts where a value begins
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+THIN = 0.5  # of the threshold: a block of the article is less dense than the whole, which has more tags to share
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 
 # The elements of HTML by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 NEVER = set("head script style noscript template iframe object svg math nav footer aside form button select textarea dialog menu audio video canvas map".split())
-# Words in class, id or role that mark a block beside the article.
-BESIDE = set(
-    "ad ads advert advertisement advertising adsbygoogle sponsor sponsored sponsors promo promotion promoted banner nav navbar "
-    "navigation menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo header masthead cookie cookies consent "
-    "gdpr notice notices notification alert popup modal overlay dialog newsletter subscribe subscription signup login share sharing "
-    "social related recommended widget comment comments disqus reply replies respond pagination pager toolbar search copyright".split()
+# Words in class, id or role: of blocks that are never the article, and of blocks that mostly aren't.
+CERTAIN = set(
+    "ad ads advert advertisement advertising adsbygoogle sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar aside complementary footer contentinfo masthead cookie cookies consent gdpr popup modal overlay newsletter "
+    "subscribe subscription comment comments disqus replies respond pagination pager toolbar".split()
 )
+HINT = set("banner header notice notices notification alert dialog signup login share sharing social related recommended widget reply search copyright".split())
+# Words that say where or how a block stands.
+LAYOUT = set("site page main top bottom left right inner outer list item items area section box block container wrapper wrap bar slot unit body form link links thread group panel has is the".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}, "optgroup": {"select"}, "body": set()}
@@ -47,108 +53,129 @@ class Page:
     """The tree of one page: names, parents, marks and text pieces in document order."""
 
     def __init__(self, source: str):
-        self.name, self.parent, self.beside = ["#root"], [-1], [False]
+        self.name, self.parent, self.mark = ["#root"], [-1], [0]  # mark: 2 never the article, 1 a hint
         self.pieces: list[tuple[int, str]] = []  # (node, text); a node's own start and end are pieces "" in order
-        stack, at, size = [0], 0, len(source)
+        self.stack = [0]
+        self.places: dict[str, list[int]] = {}  # places of open elements on the stack, by name
+        self.blocks: list[int] = []  # of those that are not inline
+        self.quoted = {q: source.rfind(q) for q in "\"'"}  # no quote closes behind its last one
+        self.plain = False
+        last, at, size = source.rfind(">"), 0, len(source)
         while at < size:
-            m = TOKEN.search(source, at)
-            loose = source.find("<", at)
-            if m is None or (0 <= loose < m.start()):
-                # A tag with an unbalanced quote ends at the next ">"; any other "<" is text.
-                m2 = LOOSE.match(source, loose) if loose >= 0 else None
-                if m2 is not None:
-                    m = m2
-                elif m is None:
-                    self.text(stack, source[at:])
-                    break
-            self.text(stack, source[at : m.start()])
-            at = m.end()
-            tag = m.group(2)
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if m.group(1):
-                self.close(stack, tag)
-                continue
-            self.open(stack, tag, m.group(3))
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                inner = source[at : end.start() if end else size]
-                if tag not in NEVER and tag != "title":
-                    self.text(stack, inner)
-                at = end.end() if end else size
-                self.close(stack, tag)
-
-    def text(self, stack: list[int], text: str) -> None:
+            start = source.find("<", at)
+            if start < 0:
+                break
+            self.text(source[at:start])
+            closing = source.startswith("/", start + 1)
+            named = NAMED.match(source, start + 1 + closing)
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                at = end + 3 if end >= 0 else size
+            elif named is None:
+                if start < last and source[start + 1 : start + 2] in ("!", "?", "/"):
+                    at = source.index(">", start) + 1
+                else:
+                    self.text("<")
+                    at = start + 1
+            else:
+                tag, end = named.group().lower(), self.tag_end(source, named.end())
+                attributes, at = source[named.end() : end], min(end + 1, size)
+                if closing:
+                    self.close(tag)
+                    continue
+                self.open(tag, attributes)
+                if tag in RAW:
+                    found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+                    if tag not in NEVER and tag != "title":
+                        self.text(source[at : found.start() if found else size])
+                    end = source.find(">", found.end()) if found else -1
+                    at = end + 1 if end >= 0 else size
+                    self.close(tag)
+        else:
+            return
+        self.text(source[at:])
+
+    def tag_end(self, source: str, at: int) -> int:
+        """Place of the ">" that ends a tag. Where values in quotes reach to the end of the page, none are meant."""
+        begin = at
+        while not self.plain:
+            m = STOP.search(source, at)
+            if m is None:
+                self.plain = True
+            elif m.group(1) is None:
+                return m.start()
+            elif m.end() <= self.quoted[m.group(1)]:
+                at = source.index(m.group(1), m.end()) + 1
+            else:
+                at = m.end()
+        end = source.find(">", begin)
+        return end if end >= 0 else len(source)
+
+    def text(self, text: str) -> None:
         if text:
-            self.pieces.append((stack[-1], html.unescape(text) if "&" in text else text))
+            self.pieces.append((self.stack[-1], html.unescape(text) if "&" in text else text))
 
-    def open(self, stack: list[int], tag: str, attributes: str) -> None:
+    def open(self, tag: str, attributes: str) -> None:
         if tag in CLOSES_P:
-            self.shut(stack, {"p"}, {"button", "table", "td", "th", "li"})
+            self.shut({"p"}, {"button", "table", "td", "th", "li"})
         if tag in SAME:
-            self.shut(stack, SAME[tag], WALLS[tag])
+            self.shut(SAME[tag], WALLS[tag])
+        node = len(self.name)
         self.name.append(tag)
-        self.parent.append(stack[-1])
-        self.beside.append(tag in NEVER or (tag not in ("html", "body", "main", "article") and self.marked(attributes)))
-        node = len(self.name) - 1
+        self.parent.append(self.stack[-1])
+        self.mark.append(2 if tag in NEVER else 0 if tag in ("html", "body", "main", "article") else self.marked(attributes))
         self.pieces.append((node, ""))
         if tag not in VOID and not (attributes.endswith("/") and tag not in INLINE and tag not in CLOSES_P):
-            stack.append(node)
+            self.places.setdefault(tag, []).append(len(self.stack))
+            if tag not in INLINE:
+                self.blocks.append(len(self.stack))
+            self.stack.append(node)
 
-    def marked(self, attributes: str) -> bool:
+    def marked(self, attributes: str) -> int:
+        mark = 0
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-                return True
+                return 2
             if key == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    return True
-            elif any(w.lower() in BESIDE for w in NAME.findall(value)):
-                return True
-        return False
-
-    def shut(self, stack: list[int], names: set[str], walls: set[str]) -> None:
-        """Close the open element of these names, if none of the walls is nearer."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.name[stack[k]]
-            if tag in names:
-                self.drop(stack, k)
-                names = names - {tag}
-                if not names:
-                    return
-            elif tag in walls:
-                return
-
-    def drop(self, stack: list[int], k: int) -> None:
-        for node in reversed(stack[k:]):
+                    return 2
+                continue
+            for token in value.split():
+                words = {w.lower() for w in NAME.findall(token)}
+                if words and words <= CERTAIN | HINT | LAYOUT:
+                    mark = max(mark, 2 if words & CERTAIN else 1 if words & HINT else 0)
+        return mark
+
+    def place(self, names: set[str]) -> int:
+        """The highest place on the stack of an open element of these names; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def shut(self, names: set[str], walls: set[str]) -> None:
+        """Close the open element of each of these names, if none of the walls is nearer."""
+        wall, names = self.place(walls), set(names)
+        while (k := self.place(names)) > wall:
+            names.discard(self.name[self.stack[k]])
+            self.drop(k)
+
+    def drop(self, k: int) -> None:
+        """Close the element at place ``k`` and all in it."""
+        for node in reversed(self.stack[k:]):
             self.pieces.append((node, ""))
-        del stack[k:]
+            self.places[self.name[node]].pop()
+            if self.name[node] not in INLINE:
+                self.blocks.pop()
+        del self.stack[k:]
 
-    def close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = self.name[stack[k]]
-            if open_tag == tag:
-                self.drop(stack, k)
-                return
-            if tag in INLINE and open_tag not in INLINE:
-                return
+    def close(self, tag: str) -> None:
+        """An end tag: nothing if no such element is open, or if an inline one would end a block."""
+        k = self.place({tag})
+        if k and not (tag in INLINE and self.blocks and self.blocks[-1] > k):
+            self.drop(k)
 
-    def main_text(self) -> str:
-        n = len(self.name)
-        name, parent = self.name, self.parent
-        # A block that holds an article, main or h1 is no block beside the article, whatever its class says.
-        holds = [False] * n
-        for i in range(n - 1, 0, -1):
-            holds[parent[i]] |= holds[i] or name[i] in ("article", "main", "h1")
-        out = [False] * n
-        in_article = [False] * n
-        for i in range(1, n):
-            p = parent[i]
-            in_article[i] = in_article[p] or name[i] in ("article", "main")
-            side = self.beside[i] and (name[i] in NEVER or not holds[i])
-            side |= name[i] == "header" and not in_article[p]
-            out[i] = out[p] or side
+    def statistics(self, out: list[bool]) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Characters, tags, characters in links and links under every node, without those that are out."""
+        n, name, parent = len(self.name), self.name, self.parent
         in_link = [False] * n
         for i in range(1, n):
             in_link[i] = in_link[parent[i]] or name[i] == "a"
@@ -165,6 +192,26 @@ class Page:
                 links[p] += links[i]
                 tags[p] += tags[i] + 1
                 link_tags[p] += link_tags[i] + (name[i] == "a")
+        return chars, tags, links, link_tags
+
+    def main_text(self) -> str:
+        n = len(self.name)
+        name, parent = self.name, self.parent
+        # A block that holds an article, main or h1 is no block beside the article, whatever its class says.
+        holds = [False] * n
+        told = "article" in name or "main" in name
+        for i in range(n - 1, 0, -1):
+            holds[parent[i]] |= holds[i] or name[i] in ("article", "main", "h1")
+        out = [False] * n
+        in_article = [False] * n
+        for i in range(1, n):
+            p = parent[i]
+            in_article[i] = in_article[p] or name[i] in ("article", "main")
+            side = self.mark[i] == 2 and (name[i] in NEVER or not holds[i])
+            side |= name[i] == "header" and not in_article[p]
+            side |= self.mark[i] == 1 and told and not holds[i] and not in_article[p]
+            out[i] = out[p] or side
+        chars, tags, links, link_tags = self.statistics(out)
         body = next((i for i in range(n) if name[i] == "body"), 0)
         if not chars[body]:
             body = 0
@@ -173,11 +220,8 @@ class Page:
         ratio = links[body] / chars[body]
         density, total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
-            c = chars[i]
-            if c and not out[i]:
-                t, lc, lt = max(1, tags[i]), max(1, links[i]), max(1, link_tags[i])
-                base = math.log(c / max(1, c - links[i]) * links[i] + ratio * c + math.e)
-                density[i] = c / t * math.log(max(1.0, c * t / (lc * lt))) / max(base, 1e-9) if base > 1e-9 else 0.0
+            if chars[i] and not out[i]:
+                density[i] = composite_density(chars[i], tags[i], links[i], link_tags[i], ratio)
                 if i and name[i] not in INLINE:  # inline parts are text of their block
                     total[parent[i]] += density[i]
         best = max((i for i in range(n) if not out[i] and chars[i]), key=lambda i: (total[i], -i))
@@ -195,9 +239,15 @@ class Page:
         on_path = set(path) | {body, 0}
         for i in range(1, n):
             p = parent[i]
-            chosen[i] = i == best or chosen[p] or (p in on_path and p != 0 and i not in on_path and path and threshold > 0 and density[i] >= threshold and name[i] not in INLINE)
+            beside = p in on_path and p != 0 and i not in on_path and path and threshold > 0 and density[i] >= threshold and name[i] not in INLINE
+            chosen[i] = i == best or chosen[p] or (beside and not self.mark[i])
         if best in (0, body):
             chosen = [True] * n
+            threshold = density[best]
+        # Hints: what the class marks goes, with all in it, where it is much less dense than the article's path.
+        for i in range(1, n):
+            hinted = self.mark[i] == 1 and not holds[i] and i not in on_path
+            out[i] = out[i] or out[parent[i]] or (hinted and (density[i] < THIN * threshold or not chosen[i]))
         parts: list[str] = []
         for node, text in self.pieces:
             if not chosen[node] or out[node]:
@@ -209,6 +259,13 @@ class Page:
         return " ".join("".join(parts).split())
 
 
+def composite_density(chars: int, tags: int, links: int, link_tags: int, ratio: float) -> float:
+    """Density of a node from its characters, tags, characters in links and links; ``ratio`` is that of the body."""
+    t, lc, lt = max(1, tags), max(1, links), max(1, link_tags)
+    base = math.log(chars / max(1, chars - links) * links + ratio * chars + math.e)
+    return chars / t * math.log(max(1.0, chars * t / (lc * lt))) / base
+
+
 def main_text(source: str | None) -> str:
     """The article's text: blocks in page order, white space as one space. Empty for null, empty or textless pages."""
     return Page(source).main_text() if source else ""
