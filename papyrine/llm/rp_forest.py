@@ -5,6 +5,10 @@ left, or until the overlap would send nearly all to both sides (a dense cluster,
 descends every tree; at a node it goes both ways if its projection lies within the spill margin of the split. Vectors
 that share a leaf are compared, in double precision, and those of a cosine of ``least`` or more link.
 
+The margin follows from what is looked for: on a random direction in d dimensions, vectors of cosine ``least`` lie some
+sqrt((2 - 2 least) / d) apart, and ``SPILL`` is a share of that. So a vector reaches about as many leaves in 768
+dimensions as in 16. Vectors of a length that few have get no trees: all of that length are one leaf.
+
 Equal vectors are one class from the start. A leaf of any size is cut into blocks, and each pair of blocks is a task,
 so no leaf is held whole. A pair that shares several leaves counts in the smallest of them alone, which both vectors
 know from their lists of leaves; so tasks return one count per vector and a spanning forest, never pairs.
@@ -26,7 +30,8 @@ from papyrine.session import materialise
 TREES = 8
 SAMPLE = 16384  # vectors that the trees are fitted on
 LEAF = 24  # of the sample; a leaf of the whole table is larger in proportion
-SPILL = 0.02  # margin on each side of a split, for unit vectors
+SPILL = 0.25  # margin on each side of a split, as a share of the distance on it of vectors that just link
+FORESTS = 16  # lengths of vectors that get trees, those of most classes first
 DENSE = 0.85  # a split that leaves this share of a node on one side is none
 BLOCK = 1024  # vectors of a block
 ROUNDING = 1e-12  # cosines are compared as doubles; the last bits depend on the order of addition
@@ -76,8 +81,12 @@ class Tree:
             todo.append((self.left[node] + 1, rows[p > self.split[node] - self.spill]))
 
 
-def grow(sample: np.ndarray, trees: int = TREES, spill: float = SPILL) -> list[Tree]:
-    return [Tree(sample, 101 + t, spill) for t in range(trees)]
+def margin(least: float, dim: int) -> float:
+    return SPILL * np.sqrt(max(0.0, 2 - 2 * least) / dim)
+
+
+def grow(sample: np.ndarray, trees: int = TREES, least: float = 0.95) -> list[Tree]:
+    return [Tree(sample, 101 + t, margin(least, sample.shape[1])) for t in range(trees)]
 
 
 def can_link() -> Column:
@@ -119,7 +128,9 @@ def placed(classes: DataFrame, forests: dict[int, list[Tree]]) -> DataFrame:
                 x = unit([vectors[i] for i in own])
                 codes: list[list[int]] = [[] for _ in own]
                 base = 0
-                for t in forest[d]:
+                if d not in forest:
+                    codes = [[0] for _ in own]
+                for t in forest.get(d, ()):
                     for leaf, rows in t.leaves(x):
                         for r in rows.tolist():
                             codes[r].append(base + leaf)
@@ -185,14 +196,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = TREES, sa
     is measured in the tests.
     """
     rows = materialise(usable(vectors.select("vec_id", "embedding")), "vectors")
-    classes = rows.groupBy("k1", "k2", "dim").agg(F.min("vec_id").alias("cid"), F.count("*").alias("size"), F.first("scaled").alias("scaled"))
-    classes = materialise(classes, "classes")
-    dims = [r.dim for r in classes.select("dim").distinct().limit(1000).collect()]  # lengths, a handful at most
+    # Rows that share a vec_id can be different vectors, so a class has a number of its own.
+    classes = rows.groupBy("k1", "k2", "dim").agg(F.min("vec_id").alias("vid"), F.count("*").alias("size"), F.first("scaled").alias("scaled"))
+    classes = materialise(classes.withColumn("cid", F.xxhash64("k1", "k2", "dim")), "classes")
+    dims = [r.dim for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(FORESTS).collect()]
     forests = {}
     for d in dims:
         chosen = classes.where(F.col("dim") == d).select("cid", F.xxhash64("cid").alias("h")).orderBy("h", "cid").limit(sample)
         got = classes.where(F.col("dim") == d).join(F.broadcast(chosen.select("cid")), "cid").orderBy("cid").select("scaled").collect()
-        forests[d] = grow(unit([r.scaled for r in got]), trees)
+        forests[d] = grow(unit([r.scaled for r in got]), trees, least)
     at = placed(classes, forests)
     sizes = at.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     spread = (
@@ -223,11 +235,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = TREES, sa
     found = materialise(dealt.mapInArrow(run, "u long, v long, n long"), "links")
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("others"))
     joined = components(found.where("v is not null").select("u", "v"))
-    named = (
-        classes.select("k1", "k2", "dim", "cid", "size")
+    numbered = (
+        classes.select("k1", "k2", "dim", "cid", "size", "vid")
         .join(counts.withColumnRenamed("u", "cid"), "cid", "left")
         .join(joined.withColumnRenamed("id", "cid"), "cid", "left")
-        .select("k1", "k2", "dim", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+        .withColumn("component", F.coalesce("component", "cid"))
+    )
+    numbered = materialise(numbered, "numbered")
+    smallest = numbered.groupBy("component").agg(F.min("vid").alias("component_id"))
+    named = numbered.join(smallest, "component").select(
+        "k1", "k2", "dim", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"
     )
     linked = rows.select("vec_id", "k1", "k2", "dim").join(named, ["k1", "k2", "dim"]).select("vec_id", "n_links", "component_id")
     return complete(vectors, linked)
