@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from papyrine.llm.textual import mix, text_batches, trim
 
-Q = 10
+Q = 8  # leaves the lemma a bound of one q-gram at least for every item that is looked for, at the budget of RATE
 RATE = 0.08
 SHORTEST = 24  # characters; a shorter item is no evidence of anything and matches nothing
 SLICE_CHARS = 8 << 20
+CELLS = 1 << 20  # of the bands aligned together
 _END = 0x110000  # after each text; equal to no character
 _BASE = 0x9E3779B97F4A7C15
 _SCALE = 1 << 32  # an alignment state is edits * 2**32 + begin
@@ -48,14 +49,14 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_codes(c: np.ndarray) -> np.ndarray:
-    """Hash of every string of Q = 10 characters, from two strings of 8 that overlap."""
+    """Hash of every string of Q = 8 characters."""
     n = len(c) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = mix(c.astype(np.uint64) + np.uint64(1))
     for w in (1, 2, 4):
         h = h[:-w] * np.uint64(pow(_BASE, w, 1 << 64)) + h[w:]
-    return mix(h[:n] * np.uint64(_BASE) + h[Q - 8 :])
+    return mix(h)
 
 
 class Items:
@@ -71,8 +72,9 @@ class Items:
                 self.ids.append(i)
                 self.codes.append(c)
         self.size = np.array([len(c) for c in self.codes], np.int64)
-        # A budget that leaves the lemma a bound of one q-gram at least.
-        self.budget = np.minimum((self.size * rate).astype(np.int64), (self.size - Q) // Q)
+        self.budget = (self.size * rate).astype(np.int64)
+        if (self.size - Q + 1 - self.budget * Q < 1).any():
+            raise ValueError(f"a rate of {rate} leaves some items no q-gram of {Q} characters to be found by")
         self.bound = self.size - Q + 1 - self.budget * Q
         self.step = 2 * self.budget + 1
         grams = [gram_codes(c) for c in self.codes]
@@ -83,10 +85,8 @@ class Items:
         self.gram, self.item, self.place = g[order], item[order], place[order]
         self.seen = np.zeros(1 << 22, bool)  # by the low bits of a gram, so that most are refused at once
         self.seen[(self.gram & np.uint64(0x3FFFFF)).astype(np.int64)] = True
-        most = int(self.size.max()) if len(self.size) else 1
-        self.padded = np.full((len(self.codes), most), _END + 1, np.uint32)
-        for i, c in enumerate(self.codes):
-            self.padded[i, : len(c)] = c
+        self.flat = np.concatenate([*self.codes, np.zeros(0, np.uint32)])
+        self.offset = np.cumsum(self.size) - self.size
 
     def hits(self, text: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, item, place in the item) of every shared q-gram."""
@@ -118,7 +118,7 @@ class Items:
         for j in range(int(rows.max())):
             i = cells + j
             inside = usable & (i >= left[:, None]) & (i < right[:, None])
-            same = inside & (text[np.clip(i, 0, len(text) - 1)] == self.padded[item, j][:, None])
+            same = inside & (text[np.clip(i, 0, len(text) - 1)] == self.flat[self.offset[item] + np.minimum(j, rows - 1)][:, None])
             # From the same diagonal: match or replace. From the next: the item's character is missing in the text.
             step = np.where(inside, state + np.where(same, 0, _SCALE), big)
             skip = np.full_like(state, big)
@@ -160,8 +160,15 @@ class Items:
         names = names[count >= self.bound[who]]
         who, doc, band = names // bands // len(texts), names // bands % len(texts), names % bands + low
         best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for begin in range(0, len(names), 256):
-            w, d, b = (x[begin : begin + 256] for x in (who, doc, band))
+        # Items of like length are aligned together, as many as CELLS allow.
+        order = np.argsort(self.size[who], kind="stable")
+        who, doc, band = who[order], doc[order], band[order]
+        begin = 0
+        while begin < len(who):
+            width = 2 * self.step[who[begin:]] + 2 * self.budget[who[begin:]]
+            fit = int(np.searchsorted(width * np.arange(1, len(width) + 1), CELLS, side="right"))
+            w, d, b = (x[begin : begin + min(256, max(1, fit))] for x in (who, doc, band))
+            begin += len(w)
             edits, a, e = self.align(text, w, b * self.step[w], edges[d], edges[d + 1] - 1)
             for k in np.flatnonzero((edits <= self.budget[w]) & (e > a)):
                 best.setdefault((int(d[k]), int(w[k])), []).append((int(edits[k]), int(a[k]), int(e[k])))
