@@ -13,6 +13,7 @@ from papyrine.operators import upsert
 from papyrine.operators.stats import failed_to_reset
 from papyrine.sources.arrays import write_arrays
 from papyrine.sources.metadata import read_array_dumps, read_dumps, readable, transform_works, unregistered
+from papyrine.sources.tables import KeyedTable
 from papyrine.session import scratch_path
 
 OLD, NOW = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
@@ -21,19 +22,19 @@ LAST = """
 T_OLD, T_NOW = f"timestamp '{OLD}'", f"timestamp '{NOW}'"
 
 
-@query(
-    "upsert_articles",
-    check(
-        "articles changes",
-        LAST
-        + f"""
+UPSERT_SQL = check(
+    "articles changes",
+    LAST
+    + f"""
 select coalesce(a.doi, n.doi) as doi, case when n.doi is null then a.title else n.note end as title, case when n.doi is null then a.authors else n.kind end as authors,
        coalesce(a.year, 1999) as year, case when a.doi is null then 'new' else a.journal_issn end as journal_issn, case when a.doi is null then {T_NOW} else {T_OLD} end as created_at,
        case when n.doi is null then {T_OLD} else {T_NOW} end as updated_at
 from articles a full outer join last n on a.doi = n.doi""",
-    ),
 )
-def upsert_articles(c: Corpus):
+
+
+def _article_change(c: Corpus):
+    """Current articles, and changes of known and new ones."""
     columns = ["doi", "title", "authors", "year", "journal_issn"]
     current = c.articles.select(*columns, at(OLD).alias("created_at"), at(OLD).alias("updated_at"))
     changes = c.changes.select(
@@ -44,7 +45,33 @@ def upsert_articles(c: Corpus):
         F.lit("new").alias("journal_issn"),
         "ord",
     )
-    return upsert.upsert_articles(current, changes, at(NOW))
+    return current, changes
+
+
+@query("upsert_articles", UPSERT_SQL)
+def upsert_articles(c: Corpus):
+    return upsert.upsert_articles(*_article_change(c), at(NOW))
+
+
+@query("upsert_articles_stored", UPSERT_SQL)
+def upsert_articles_stored(c: Corpus):
+    """The same change of a stored table: only the buckets of the changed keys are written, each key once."""
+    current, changes = _article_change(c)
+    table = KeyedTable(c.spark, scratch_path(c.spark, "articles"), current.schema, ["doi"], buckets=16)
+    table.change(current, lambda rows, new: new)
+    table.change(changes, lambda rows, new: upsert.upsert_articles(rows, new, at(NOW)), not_null=["doi", "year"])
+    return table.read()
+
+
+@query("changed_articles", UPSERT_SQL + " where n.doi is not null and a.doi is not null")
+def changed_articles(c: Corpus):
+    """The changed rows alone, looked up by key in the buckets that hold them."""
+    current, changes = _article_change(c)
+    table = KeyedTable(c.spark, scratch_path(c.spark, "articles"), current.schema, ["doi"], buckets=16)
+    table.change(current, lambda rows, new: new)
+    known = changes.join(current.select("doi"), "doi", "left_semi")
+    table.change(known, lambda rows, new: upsert.upsert_articles(rows, new, at(NOW)))
+    return table.lookup(known)
 
 
 PAGE = ["doi", "page_url", "html", "abstract", "match_score", "error_message", "pdf_downloaded", "pdf_file_path"]

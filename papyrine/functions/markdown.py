@@ -18,12 +18,11 @@ def front_matter(content: Column) -> Column:
             F.regexp_replace(strip(F.regexp_replace(line, r"^[^:]*:", "")), '^"+|"+$', "").alias("value"),
         ),
     )
-    last = let(
-        entries,
-        lambda all_: F.filter(
-            all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"])
-        ),
-    )
+    # Sorted by key and place, the last of equal keys is the one before another key; then back in page order.
+    sorted_ = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value"))))
+    kept = let(sorted_, lambda all_: F.filter(all_, lambda e, i: ~F.coalesce(F.get(all_, i + 1)["key"] == e["key"], F.lit(False))))
+    in_order = F.array_sort(F.transform(kept, lambda e: F.struct(e["at"].alias("at"), e["key"].alias("key"), e["value"].alias("value"))))
+    last = F.transform(in_order, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return F.when(content.startswith("---"), F.coalesce(F.map_from_entries(last), empty)).otherwise(empty)
 
