@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from papyrine.llm import decontaminate, graph, html_text, quality, rp_forest
+from papyrine.session import materialise
 
 
 def found(df):
@@ -218,7 +219,7 @@ def test_pipeline_stages(spark, tmp_path):
     columns = df.columns
     seen = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        df = corpus_pipeline.materialise(stage(spark, df, str(tmp_path)), "stage")
+        df = materialise(stage(spark, df, str(tmp_path)), "stage")
         assert df.columns == columns
         seen.append({r.doc_id: r.text for r in df.collect()})
     assert all(i not in seen[0] for i, q, _ in labels if q == 0 and i % 8 == 0)
