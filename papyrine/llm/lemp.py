@@ -150,7 +150,7 @@ class Items:
 
 
 class Bucket:
-    """Vectors of about one length, by coordinate."""
+    """Vectors of about one length, in any order, by coordinate."""
 
     def __init__(self, keys: list, lengths: np.ndarray, ids: list[bytes], impact: list[bytes], root: np.ndarray):
         self.keys, self.lengths = keys, lengths
@@ -170,7 +170,7 @@ class Bucket:
         here = self.names[slot] == ids
         top = np.where(here, self.most[slot] * y, 0.0)
         after = np.append(np.cumsum(top[::-1])[::-1], 0.0)  # greatest sum over what follows
-        bound = np.minimum(items.rest[q] * self.lengths[0], after) * SLACK
+        bound = np.minimum(items.rest[q] * self.lengths.max(), after) * SLACK
         focus = int(np.argmax(bound < least)) if least > 0 and (bound < least).any() else len(ids)
         spans = [slice(self.begin[s], self.begin[s + 1]) for s in slot[:focus][here[:focus]]]
         if not spans:

@@ -239,3 +239,19 @@ def test_secret_scan_stays_in_the_jvm(spark):
     docs = spark.createDataFrame([(1, "token=abcdefghijkl1", "a")], "doc_id long, text string, source string")
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_bounds_hold_in_any_order():
+    """A bucket can run over the border of two files, so its first vector need not be its longest."""
+    rng = np.random.default_rng(6)
+    weights = rng.integers(1, 9000, 200)
+    rows = [np.sort(rng.choice(200, int(rng.integers(1, 40)), replace=False)).astype(np.int32) for _ in range(500)]
+    values = [rng.integers(1000, 900000, len(i)).astype(np.int32) for i in rows]
+    lengths = np.array([math.sqrt((weights[i] * v.astype(float) ** 2).sum()) for i, v in zip(rows, values, strict=True)])
+    order = np.argsort(lengths)
+    bucket = lemp.Bucket([int(i) for i in order], lengths[order], [rows[i].tobytes() for i in order], [values[i].tobytes() for i in order], np.sqrt(weights))
+    items = lemp.Items([Counter({int(t): 1 for t in rng.choice(200, 12, replace=False)}) for _ in range(20)], weights)
+    for q in range(20):
+        exact = dict(zip(*(x.tolist() for x in bucket.search(items, q, 0)), strict=True))
+        least = sorted(exact.values())[-10]
+        assert {r for r, s in exact.items() if s >= least} <= set(bucket.search(items, q, least)[0].tolist())
