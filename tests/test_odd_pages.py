@@ -12,7 +12,9 @@ TEXTS = ['"Quoted" words and a "last one"', "erly and, x; that and, more words i
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("odd"))
-    docs = [(i, TEXTS[i % len(TEXTS)] + ". Rest", "en", "src", 9) for i in range(105)] + [(105, None, "en", "src", 0), (106, "x y", None, None, 3)]
+    # Authors without a last name: blanks, or nothing before a comma.
+    blank = {3: ", , x a b c d e f g h. Rest", 63: "a  b c d e f g h i. Rest", 6: "a     b c d e f g h i. Rest"}
+    docs = [(i, blank.get(i, TEXTS[i % len(TEXTS)] + ". Rest"), "en", "src", 9) for i in range(105)] + [(105, None, "en", "src", 0), (106, "x y", None, None, 3)]
     # A text of 42 letters has 50 with ' endnote', which are too few.
     pages = [(i, f"http://x/{i}", f"<html><title>{TITLES[i % len(TITLES)]}</title><h1>{TITLES[i % len(TITLES)]}</h1><p>{'y' * (40 + i % 7)}</p></html>") for i in range(35)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
