@@ -7,8 +7,8 @@ common symbol for the rest:
 
 * a gated recurrent cell, whose state starts at zero in each document and is carried from window to window, so
   scores cover complete documents of any length;
-* a class-factored softmax: words are put in classes of like mass, a token's probability is that of its class times
-  that of the word in its class, and both start at the corpus counts;
+* a class-factored softmax: a token's probability is that of its class times that of the word in its class, and
+  both start at the corpus counts; classes of like sums of ``freq ** 0.6`` keep both parts small;
 * training by truncated backpropagation: gradients stop at window borders, the state does not. Tasks train copies of
   the network on their own documents, copies are averaged by token counts in a tree, and the next round starts from
   the average. Each round takes another of ``slices`` hash slices of the training documents, until every training
@@ -38,6 +38,7 @@ FREQUENT = 1 << 17
 SHARE = 0.6  # of all tokens: the network's words make it up
 LEAST, MOST = 1024, 1 << 15  # words of the network, whatever the share; eight sums of networks must fit the driver
 HIDDEN, CLASSES, WINDOW = 24, 32, 24
+MANY = 32  # tokens of a symbol in a window
 LONG = 20 * WINDOW  # training documents of more tokens start before others
 END = np.uint64(0x1F3D5B79A8C6E402)  # stands for the end token among word hashes
 GATHER = 16 << 20
@@ -150,6 +151,23 @@ def word_table(counted: DataFrame, vocabulary: int | None = None, frequent: int
     return WordTable(joined((r[0] for r in rows), np.uint64), joined((r[1] for r in rows), np.int64), totals[0] or 0, totals[1] or 0, vocabulary)
 
 
+def distinct(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ids below ``n``, in order, and each id's place among them."""
+    there = np.zeros(n, bool)
+    there[ids] = True
+    known = np.flatnonzero(there)
+    place = np.empty(n, np.int64)
+    place[known] = np.arange(len(known))
+    return known, place[ids]
+
+
+def lowered(values: np.ndarray, blocks: list[np.ndarray], bound: float = 60.0) -> None:
+    """Lowers each column of the blocks by its largest value if any of all values is too large for exp, or too small."""
+    if values.size and (values.max() > bound or values.min() < -bound):
+        for block in blocks:
+            block -= block.max(axis=0)
+
+
 class Network:
     """Parameters and passes of the recurrent network. Symbols: words by rank, then the common one, then the start."""
 
@@ -158,9 +176,10 @@ class Network:
         n = table.words + 1
         freq = np.append(table.freq, max(0, table.rest_tokens)) + 1
         order = np.argsort(-freq, kind="stable")
-        mass = np.cumsum(freq[order]) / freq.sum()
-        classes = max(CLASSES, int(np.sqrt(n)))  # a class then costs no more than the words in it
-        group = np.minimum((mass - freq[order] / freq.sum() / 2) * classes, classes - 1).astype(np.int64)
+        share = freq[order] ** 0.6
+        share /= share.sum()
+        classes = max(CLASSES, int(np.sqrt(n) * 2 / 3))
+        group = np.minimum((np.cumsum(share) - share / 2) * classes, classes - 1).astype(np.int64)
         group = np.unique(group, return_inverse=True)[1]
         self.cls, self.place = np.empty(n, np.int64), np.empty(n, np.int64)
         self.cls[order] = group
@@ -173,69 +192,126 @@ class Network:
             "x": rng.normal(0, 0.1, (n + 1, 3 * h)),
             "u": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
             "b": np.zeros(3 * h),
-            "cw": np.zeros((h, len(sizes))),
-            "cb": np.log(per_class / per_class.sum()),
-            "ww": np.zeros((n, h)),  # rows of a class lie together
-            "wb": np.log(freq[order] / per_class[group]),
+            # The last column of both is the offset; rows of a class lie together.
+            "c": np.column_stack([np.zeros((len(sizes), h)), np.log(per_class / per_class.sum())]),
+            "w": np.column_stack([np.zeros((n, h)), np.log(freq[order] / per_class[group])]),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.begin = np.append(0, np.cumsum(sizes))
         self.learned = 0  # tokens that gave a gradient
 
-    def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    def gates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the inputs add to the three gates, gate by gate, and the recurrent weights likewise. The first two
+        gates have their sign turned, for their logistic function asks for it."""
+        x = (self.p["x"].take(ids, axis=0) + self.p["b"]).reshape(len(ids), 3, HIDDEN).transpose(1, 0, 2)
+        u = self.p["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2)
+        sign = np.array([-1, -1, 1], x.dtype)[:, None, None]
+        return x * sign, u * sign
+
+    def recur(self, h: np.ndarray, x: np.ndarray, u: np.ndarray, gate: np.ndarray, out: np.ndarray, s: np.ndarray) -> None:
+        """New state of every document from its input ``x``: into ``out``, the gates into ``gate``, and what the state
+        gives to the three gates into ``s``."""
+        np.matmul(h, u, out=s)
+        zr, n = gate[:2], gate[2]
+        np.add(x[:2], s[:2], out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.multiply(zr[1], s[2], out=n)
+        n += x[2]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= zr[0]
+        out += n
+
+    def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """New state and the gates, for one token of every document."""
-        d = HIDDEN
-        a = self.p["x"][ids]
-        a += self.p["b"]
-        s = h @ self.p["u"]
-        zr = np.tanh((a[:, : 2 * d] + s[:, : 2 * d]) * 0.5)  # the logistic function, which never overflows so
-        zr *= 0.5
-        zr += 0.5
-        n = np.tanh(a[:, 2 * d :] + zr[:, d:] * s[:, 2 * d :])
-        return n + zr[:, :d] * (h - n), zr, n, s[:, 2 * d :]
+        x, u = self.gates(ids)
+        gate, s, out = np.empty_like(x), np.empty_like(x), np.empty_like(x[0])
+        with np.errstate(over="ignore"):
+            self.recur(h.astype(x.dtype, copy=False), x, u, gate, out, s)
+        return out, gate
 
     def log_probability(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each target; with ``grads``, adds the gradients of minus their sum there and
+        """Natural log probability of each target; with ``grads``, puts the gradients of minus their sum there and
         returns that by the states."""
-        p = self.p
-        cls = self.cls[target]
-        logits = states @ p["cw"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        at = np.arange(len(target))
-        out = logits[at, cls] - np.log(total)
-        pull = None
-        if grads is not None:
-            e /= total[:, None]
-            e[at, cls] -= 1
-            grads["cw"] += states.T @ e
-            grads["cb"] += e.sum(axis=0)
-            pull = e @ p["cw"].T
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(len(self.sizes) + 1))
-        for c in range(len(self.sizes)):
-            rows = order[cut[c] : cut[c + 1]]
-            if not len(rows) or self.sizes[c] == 1:
-                continue
-            inside = slice(self.begin[c], self.begin[c + 1])
-            s = states[rows]
-            l = s @ p["ww"][inside].T + p["wb"][inside]
-            l -= l.max(axis=1, keepdims=True)
-            e = np.exp(l)
-            total = e.sum(axis=1)
-            mine = self.place[target[rows]]
-            k = np.arange(len(rows))
-            out[rows] += l[k, mine] - np.log(total)
-            if grads is not None:
-                e /= total[:, None]
-                e[k, mine] -= 1
-                grads["ww"][inside] += e.T @ s
-                grads["wb"][inside] += e.sum(axis=0)
-                pull[rows] += e @ p["ww"][inside]
-        return out, pull
-
-    def score(self, docs: list[np.ndarray], end: int, width: int = 2048) -> np.ndarray:
+        c, w = self.p["c"], self.p["w"]
+        n, d, kind = len(target), HIDDEN, c.dtype
+        cls = self.cls[target].astype(np.int16)
+        order = np.argsort(cls, kind="stable")  # tokens of a class lie together from here on
+        cls, place = cls[order].astype(np.int64), self.place[target[order]]
+        row = n if n < 512 else n + 16 + -n % 1024  # so that rows don't start in the same lines of the cache
+        s, whole = np.empty((d + 1, row), kind)[:, :n], np.empty((len(self.sizes), row), kind)
+        s[:d], s[d] = states.take(order, axis=0).T, 1
+        cut = np.searchsorted(cls, np.arange(len(self.sizes) + 1))
+        # Logits of a token's class, in one block for all classes, and of its word, in a block for each class.
+        count = np.diff(cut)
+        used = np.flatnonzero((count > 0) & (self.sizes > 1))
+        area = np.where(self.sizes > 1, count * self.sizes, 0)
+        start = np.cumsum(area) - area
+        logits, flat = np.matmul(c, s, out=whole[:, :n]), np.empty(area.sum(), kind)
+        blocks = [(k, slice(cut[k], cut[k + 1]), flat[start[k] : start[k] + area[k]].reshape(self.sizes[k], count[k])) for k in used.tolist()]
+        for k, at, block in blocks:
+            np.matmul(w[self.begin[k] : self.begin[k + 1]], s[:, at], out=block)
+        inner = np.flatnonzero(self.sizes[cls] > 1)
+        spot, mine = cls * row + np.arange(n), (start[cls] + place * count[cls] + np.arange(n) - cut[cls])[inner]
+        lowered(logits, [logits])
+        lowered(flat, [x[2] for x in blocks])
+        found = whole.ravel()[spot]
+        found[inner] += flat[mine]
+        total, within = np.empty(n, kind), np.ones(n, kind)
+        np.exp(logits, out=logits)
+        np.add.reduce(logits, axis=0, out=total)
+        np.exp(flat, out=flat)
+        for _, at, block in blocks:
+            np.add.reduce(block, axis=0, out=within[at])
+        found -= np.log(total)
+        found -= np.log(within)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        found = found[back]
+        if grads is None:
+            return found, None
+        logits *= np.reciprocal(total, out=total)
+        whole.ravel()[spot] -= 1
+        grads["c"] = logits @ s.T
+        pull = logits.T @ c[:, :d]
+        np.reciprocal(within, out=within)
+        for _, at, block in blocks:
+            block *= within[at]
+        flat[mine] -= 1
+        g = grads["w"] = np.zeros_like(w)
+        for k, at, block in blocks:
+            inside = slice(self.begin[k], self.begin[k + 1])
+            np.matmul(block, s[:, at].T, out=g[inside])
+            pull[at] += block.T @ w[inside, :d]
+        return found, pull.take(back, axis=0)
+
+    def forward(self, h: np.ndarray, ids: np.ndarray, flat: np.ndarray, base: np.ndarray, size: np.ndarray, t0: int, tape: bool) -> tuple[np.ndarray, ...]:
+        """One window of every document still going: each step's tokens, where they end, and all states; with ``tape``
+        also what was read, the states before, the gates, the state's part in them, and the recurrent weights."""
+        live = np.searchsorted(-size, -np.arange(t0, min(t0 + WINDOW, int(size[0]))), side="left")  # documents longer than t
+        ends = np.append(0, np.cumsum(live))
+        steps = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        target = np.concatenate([flat[base[: b - a] + t] for t, (a, b) in enumerate(steps, t0)])
+        seen = np.concatenate([ids[: live[0]], *(target[a : a + n] for (a, _), n in zip(steps, live[1:].tolist(), strict=False))])
+        known, code = distinct(seen, len(self.cls) + 1)
+        x, u = self.gates(known)
+        x = x.take(code, axis=1)
+        after = np.empty((len(seen), HIDDEN), x.dtype)
+        gate, s = np.empty((2, 3, len(seen) if tape else live[0], HIDDEN), x.dtype)
+        before = np.empty_like(after) if tape else None
+        with np.errstate(over="ignore"):
+            for a, b in steps:
+                at = slice(a, b) if tape else slice(b - a)
+                h = h[: b - a]
+                if tape:
+                    before[at] = h
+                self.recur(h, x[:, a:b], u, gate[:, at], after[a:b], s[:, at])
+                h = after[a:b]
+        return target, ends, after, seen, before, gate, s, u
+
+    def score(self, docs: list[np.ndarray], end: int, width: int = 512) -> np.ndarray:
         """Natural log probability of every document's symbols and end; the state is carried across windows."""
         out = np.zeros(len(docs))
         by = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
@@ -248,69 +324,72 @@ class Network:
             ids = np.full(len(group), len(self.cls), np.int64)  # the start symbol
             sums = np.zeros(len(group))
             for t0 in range(0, int(size[0]), WINDOW):
-                states, targets, who = [], [], []
-                for t in range(t0, min(t0 + WINDOW, int(size[0]))):
-                    live = int(np.searchsorted(-size, -t, side="left"))  # documents longer than t
-                    h, *_ = self.step(h[:live], ids[:live])
-                    ids = flat[base[:live] + t]
-                    states.append(h)
-                    targets.append(ids)
-                    who.append(np.arange(live))
-                found, _ = self.log_probability(np.concatenate(states), np.concatenate(targets))
-                sums += np.bincount(np.concatenate(who), found.astype(np.float64), len(group))
+                target, ends, after, *_ = self.forward(h, ids, flat, base, size, t0, tape=False)
+                found, _ = self.log_probability(after, target)
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    sums[: b - a] += found[a:b]
+                h, ids = after[ends[-2] :], target[ends[-2] :]
             out[group] = sums
         return out
 
     def window(self, h: np.ndarray, ids: np.ndarray, flat: np.ndarray, base: np.ndarray, size: np.ndarray, t0: int) -> tuple[dict, float, int, np.ndarray, np.ndarray]:
         """Gradients over one window of every document still going, its loss and tokens, and the state after it."""
-        d, p = HIDDEN, self.p
-        tape, states, targets = [], [], []
-        for t in range(t0, min(t0 + WINDOW, int(size[0]))):
-            live = int(np.searchsorted(-size, -t, side="left"))
-            before, inputs = h[:live], ids[:live]
-            h, zr, n, s = self.step(before, inputs)
-            ids = flat[base[:live] + t]
-            tape.append((before, inputs, zr, n, s))
-            states.append(h)
-            targets.append(ids)
-        grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
-        found, pull = self.log_probability(np.concatenate(states), np.concatenate(targets), grads)
-        ends = np.cumsum([len(x) for x in states])
-        # All that doesn't depend on later steps, for the whole window at once.
-        before, seen, zr, n, s = (np.concatenate(x) for x in zip(*tape, strict=True))
-        z, r = zr[:, :d], zr[:, d:]
-        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), s * r * (1 - r)
-        da, ds = np.empty((2, len(pull), 3 * d), pull.dtype)
-        back = np.zeros((0, d), np.float32)
-        for k in range(len(tape) - 1, -1, -1):
-            at = slice(ends[k] - len(states[k]), ends[k])
-            g = pull[at]
+        d = HIDDEN
+        target, ends, after, seen, before, (z, r, n), s, u = self.forward(h, ids, flat, base, size, t0, tape=True)
+        grads = {}
+        found, pull = self.log_probability(after, target, grads)
+        # All that doesn't depend on later steps, for the whole window at once: the gates' gradients by that of the state.
+        by = np.empty_like(s)
+        one_z = 1 - z
+        by_n = one_z * (1 - n * n)
+        np.multiply((before - n) * z, one_z, out=by[0])
+        np.multiply(by_n * s[2], r * (1 - r), out=by[1])
+        np.multiply(by_n, r, out=by[2])
+        turned = np.ascontiguousarray(u.transpose(0, 2, 1))
+        turned[:2] *= -1
+        back = np.zeros((0, d), pull.dtype)
+        for a, b in zip(ends[-2::-1].tolist(), ends[:0:-1].tolist(), strict=True):
+            g, ds = pull[a:b], by[:, a:b]
             g[: len(back)] += back
-            dn = da[at, 2 * d :] = g * by_n[at]
-            np.multiply(g, by_z[at], out=ds[at, :d])
-            np.multiply(dn, by_r[at], out=ds[at, d : 2 * d])
-            np.multiply(dn, r[at], out=ds[at, 2 * d :])
-            back = ds[at] @ p["u"].T
-            back += g * z[at]
-        da[:, : 2 * d] = ds[:, : 2 * d]
-        grads["u"] += before.T @ ds
-        grads["b"] += da.sum(axis=0)
-        order = np.argsort(seen, kind="stable")
-        rows, first = np.unique(seen[order], return_index=True)
-        grads["x"] = (rows, np.add.reduceat(da[order], first, axis=0))
-        return grads, float(-found.sum()), len(found), h, ids
+            ds *= g
+            if a:
+                parts = ds @ turned
+                back = g * z[a:b]
+                back += parts[0]
+                back += parts[1]
+                back += parts[2]
+        grads["u"] = np.concatenate(before.T @ by, axis=1)
+        np.multiply(pull, by_n, out=by[2])  # from here on by the inputs
+        order = np.argsort(seen.astype(np.uint16) if len(self.cls) < 1 << 16 else seen, kind="stable")
+        rows, first, times = np.unique(seen[order], return_index=True, return_counts=True)
+        few = times <= MANY
+        g = np.empty((3, len(rows), d), by.dtype)
+        if few.any():
+            at, starts = order[np.repeat(few, times)], np.cumsum(times[few]) - times[few]
+            g[:, few] = [np.add.reduceat(x.take(at, axis=0), starts, axis=0) for x in by]
+        for k in np.flatnonzero(~few).tolist():  # one product is faster than a sum row by row
+            at = order[first[k] : first[k] + times[k]]
+            g[:, k] = np.ones(len(at), by.dtype) @ by.take(at, axis=1)
+        grads["x"] = (rows, np.concatenate(g, axis=1))
+        grads["b"] = grads["x"][1].sum(axis=0)
+        return grads, float(-found.sum()), len(found), after[ends[-2] :], target[ends[-2] :]
 
     def descend(self, grads: dict, tokens: int, rate: float, memory: dict) -> None:
-        """One Adagrad step along the gradients of ``tokens`` tokens."""
+        """One Adagrad step along the gradients of ``tokens`` tokens, which it uses up."""
         scale = np.float32(1 / max(tokens, 64))
         for name, v in self.p.items():
             at, g = grads[name] if name == "x" else (slice(None), grads[name])
-            g = np.clip(g * scale, -0.05, 0.05)
+            g *= scale
+            np.clip(g, -0.05, 0.05, out=g)
             if name not in memory:
                 memory[name] = np.full_like(v, 1e-6)
-            m = memory[name]
-            m[at] += g * g
-            v[at] -= rate * g / np.sqrt(m[at])
+            m = memory[name][at]
+            m += g * g
+            if name == "x":
+                memory[name][at] = m
+            g *= rate
+            g /= np.sqrt(m)
+            v[at] -= g
 
     def packed(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -333,7 +412,7 @@ class Lanes:
         self.net, self.end, self.rate, self.width = net, end, rate, width
         self.memory: dict[str, np.ndarray] = {}
         self.waiting: list[np.ndarray] = []
-        self.open: list[tuple[np.ndarray, int]] = []  # documents under way, and how far they are read
+        self.open: list[np.ndarray] = []  # what is left of documents under way
         self.h, self.before = np.zeros((0, HIDDEN), np.float32), np.zeros(0, np.int64)
         self.random = np.random.default_rng(17)
 
@@ -342,24 +421,29 @@ class Lanes:
         self.waiting += [np.append(x, self.end) for x in docs]
         order = self.random.permutation(len(self.waiting))
         # The longest start first, the others in any order.
-        self.waiting = sorted((self.waiting[i] for i in order), key=lambda x: len(x) // LONG)
-        seen = 0
-        while (self.waiting or self.open) if last else len(self.open) + len(self.waiting) >= self.width:
-            fresh = [self.waiting.pop() for _ in range(min(self.width - len(self.open), len(self.waiting)))]
-            lanes = self.open + [(x, 0) for x in fresh]
-            h = np.concatenate([self.h, np.zeros((len(fresh), HIDDEN), np.float32)])
-            before = np.append(self.before, np.full(len(fresh), len(self.net.cls)))
-            size = np.array([min(WINDOW, len(x) - at) for x, at in lanes])
+        self.waiting = sorted((self.waiting[i] for i in order), key=lambda x: -(len(x) // LONG))
+        taken, seen = len(self.open), 0
+        flat = np.concatenate([np.zeros(0, np.int64), *self.open, *self.waiting])
+        stop = np.cumsum([len(x) for x in self.open + self.waiting], dtype=np.int64)
+        start = np.append(0, stop[:-1])[: len(stop)]
+        at, to = start[:taken], stop[:taken]
+        while (taken < len(stop) or len(at)) if last else len(at) + len(stop) - taken >= self.width:
+            fresh = slice(taken, taken + self.width - len(at))
+            at, to = np.append(at, start[fresh]), np.append(to, stop[fresh])
+            new, taken = len(at) - len(self.h), min(fresh.stop, len(stop))
+            h = np.concatenate([self.h, np.zeros((new, HIDDEN), np.float32)])
+            before = np.append(self.before, np.full(new, len(self.net.cls)))
+            size = np.minimum(WINDOW, to - at)
             by = np.argsort(-size, kind="stable")
-            lanes, size = [lanes[i] for i in by], size[by]
-            flat = np.concatenate([x[at : at + WINDOW] for x, at in lanes]).astype(np.int64)
-            grads, _, tokens, h, before = self.net.window(h[by], before[by], flat, np.cumsum(size) - size, size, 0)
+            at, to = at[by], to[by]
+            grads, _, tokens, h, before = self.net.window(h[by], before[by], flat, at, size[by], 0)
             self.net.descend(grads, tokens, self.rate, self.memory)
             seen += tokens
             # Only lanes that filled the window can go on; they come first, and h has at least them.
-            go = [i for i, (x, at) in enumerate(lanes) if at + WINDOW < len(x)]
-            self.open = [(lanes[i][0], lanes[i][1] + WINDOW) for i in go]
-            self.h, self.before = h[go], before[go]
+            go = np.flatnonzero(at + WINDOW < to)
+            at, to, self.h, self.before = at[go] + WINDOW, to[go], h[go], before[go]
+        self.open = [flat[a:b] for a, b in zip(at, to, strict=True)]
+        self.waiting = self.waiting[taken - len(stop) :] if taken < len(stop) else []
         return seen
 
 
