@@ -100,17 +100,18 @@ class WordTable:
         self.end = int(self.id[np.searchsorted(self.hash, END)])
         self.rest_tokens, self.rest_distinct = tokens - int(self.freq.sum()), distinct - int((self.freq > 0).sum())
         self.start = np.searchsorted(self.hash, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
-        self.deepest = int(np.diff(np.append(self.start, len(self.hash))).max())
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Position of each hash in the table, or -1."""
-        at = self.start[(h >> np.uint64(46)).astype(np.int64)]
-        out = np.full(len(h), -1, np.int64)
-        last = len(self.hash) - 1
-        for k in range(self.deepest):
-            place = np.minimum(at + k, last)
-            hit = self.hash[place] == h
-            out[hit] = place[hit]
+        out = np.minimum(self.start[(h >> np.uint64(46)).astype(np.int64)], len(self.hash) - 1)
+        there = self.hash[out]
+        todo = np.flatnonzero(there < h)  # few after a step, for hashes are in order
+        out[there > h] = -1
+        while len(todo):
+            at = out[todo] + 1
+            there = self.hash[np.minimum(at, len(self.hash) - 1)]
+            out[todo] = np.where((there == h[todo]) & (at < len(self.hash)), at, np.where((there > h[todo]) | (at >= len(self.hash)), -1, at))
+            todo = todo[(there < h[todo]) & (at < len(self.hash))]
         return out
 
 
@@ -208,17 +209,17 @@ class Network:
         sign = np.array([-1, -1, 1], x.dtype)[:, None, None]
         return x * sign, u * sign
 
-    def recur(self, h: np.ndarray, x: np.ndarray, u: np.ndarray, gate: np.ndarray, out: np.ndarray, s: np.ndarray) -> None:
-        """New state of every document from its input ``x``: into ``out``, the gates into ``gate``, and what the state
-        gives to the three gates into ``s``."""
-        np.matmul(h, u, out=s)
+    def recur(self, h: np.ndarray, x: np.ndarray, u: np.ndarray, gate: np.ndarray, out: np.ndarray, past: np.ndarray) -> None:
+        """New state of every document from its input ``x``: into ``out``, the gates into ``gate``, and what is left of
+        the past in the third of them into ``past``."""
+        s = np.matmul(h, u)
         zr, n = gate[:2], gate[2]
         np.add(x[:2], s[:2], out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        np.multiply(zr[1], s[2], out=n)
-        n += x[2]
+        np.multiply(zr[1], s[2], out=past)
+        np.add(past, x[2], out=n)
         np.tanh(n, out=n)
         np.subtract(h, n, out=out)
         out *= zr[0]
@@ -227,9 +228,9 @@ class Network:
     def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """New state and the gates, for one token of every document."""
         x, u = self.gates(ids)
-        gate, s, out = np.empty_like(x), np.empty_like(x), np.empty_like(x[0])
+        gate, out, past = np.empty_like(x), np.empty_like(x[0]), np.empty_like(x[0])
         with np.errstate(over="ignore"):
-            self.recur(h.astype(x.dtype, copy=False), x, u, gate, out, s)
+            self.recur(h.astype(x.dtype, copy=False), x, u, gate, out, past)
         return out, gate
 
     def log_probability(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -289,7 +290,8 @@ class Network:
 
     def forward(self, h: np.ndarray, ids: np.ndarray, flat: np.ndarray, base: np.ndarray, size: np.ndarray, t0: int, tape: bool) -> tuple[np.ndarray, ...]:
         """One window of every document still going: each step's tokens, where they end, and all states; with ``tape``
-        also what was read, the states before, the gates, the state's part in them, and the recurrent weights."""
+        also what was read and what it adds to the gates, the states before, the gates, the past in them, and the
+        recurrent weights."""
         live = np.searchsorted(-size, -np.arange(t0, min(t0 + WINDOW, int(size[0]))), side="left")  # documents longer than t
         ends = np.append(0, np.cumsum(live))
         steps = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
@@ -299,7 +301,8 @@ class Network:
         x, u = self.gates(known)
         x = x.take(code, axis=1)
         after = np.empty((len(seen), HIDDEN), x.dtype)
-        gate, s = np.empty((2, 3, len(seen) if tape else live[0], HIDDEN), x.dtype)
+        gate = np.empty((3, len(seen) if tape else live[0], HIDDEN), x.dtype)
+        past = np.empty_like(gate[0])
         before = np.empty_like(after) if tape else None
         with np.errstate(over="ignore"):
             for a, b in steps:
@@ -307,9 +310,9 @@ class Network:
                 h = h[: b - a]
                 if tape:
                     before[at] = h
-                self.recur(h, x[:, a:b], u, gate[:, at], after[a:b], s[:, at])
+                self.recur(h, x[:, a:b], u, gate[:, at], after[a:b], past[at])
                 h = after[a:b]
-        return target, ends, after, seen, before, gate, s, u
+        return target, ends, after, seen, x, before, gate, past, u
 
     def score(self, docs: list[np.ndarray], end: int, width: int = 512) -> np.ndarray:
         """Natural log probability of every document's symbols and end; the state is carried across windows."""
@@ -335,15 +338,21 @@ class Network:
     def window(self, h: np.ndarray, ids: np.ndarray, flat: np.ndarray, base: np.ndarray, size: np.ndarray, t0: int) -> tuple[dict, float, int, np.ndarray, np.ndarray]:
         """Gradients over one window of every document still going, its loss and tokens, and the state after it."""
         d = HIDDEN
-        target, ends, after, seen, before, (z, r, n), s, u = self.forward(h, ids, flat, base, size, t0, tape=True)
+        target, ends, after, seen, by, before, (z, r, n), past, u = self.forward(h, ids, flat, base, size, t0, tape=True)
         grads = {}
         found, pull = self.log_probability(after, target, grads)
         # All that doesn't depend on later steps, for the whole window at once: the gates' gradients by that of the state.
-        by = np.empty_like(s)
+        # They take the place of the inputs.
         one_z = 1 - z
-        by_n = one_z * (1 - n * n)
-        np.multiply((before - n) * z, one_z, out=by[0])
-        np.multiply(by_n * s[2], r * (1 - r), out=by[1])
+        by_n = n * n
+        np.subtract(1, by_n, out=by_n)
+        by_n *= one_z
+        np.subtract(before, n, out=by[0])
+        by[0] *= z
+        by[0] *= one_z
+        np.subtract(1, r, out=by[1])
+        by[1] *= past
+        by[1] *= by_n
         np.multiply(by_n, r, out=by[2])
         turned = np.ascontiguousarray(u.transpose(0, 2, 1))
         turned[:2] *= -1

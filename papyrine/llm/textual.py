@@ -54,25 +54,35 @@ def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), *(np.zeros(0, np.int64),) * 2
     inside = ~_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    starts = np.flatnonzero(begins)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.append(0, edges)
+    starts, ends = edges[::2].copy(), edges[1::2].copy()  # the last byte is a separator
     offsets = np.searchsorted(starts, ends_at)
     if not len(starts):
         return np.zeros(0, np.uint64), offsets, starts, starts
-    # 32-bit places while they suffice: these arrays are the largest that a task holds.
-    kind = np.int32 if len(data) < 1 << 31 else np.int64
-    at = np.flatnonzero(inside).astype(kind)
-    place = at - starts.astype(kind)[np.cumsum(begins, dtype=kind)[at] - 1]
-    index = place & 63
-    index <<= 8
-    index |= data[at]
-    value = _ZOBRIST[index]
-    del index
-    if place.max() >= 64:
-        value *= (place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    first = np.searchsorted(at, starts.astype(kind))
-    return mix(np.add.reduceat(value, first)), offsets, starts, starts + np.diff(np.append(first, len(at)))
+    # Byte by byte, over all words that are long enough: the longest come first.
+    size = ends - starts
+    order = np.argsort(64 - np.minimum(size, 65).astype(np.int8), kind="stable")
+    longer = len(size) - np.cumsum(np.bincount(np.minimum(size, 65), minlength=66))  # words of more than k bytes
+    at, value = starts[order], np.zeros(len(starts), np.uint64)
+    for k in range(64):
+        n = int(longer[k])
+        if not n:
+            break
+        value[:n] += _ZOBRIST[k << 8 : (k + 1) << 8].take(data.take(at[:n]))
+        at[:n] += 1
+    if n := int(longer[64]):
+        more = size[order[:n]] - 64
+        first = np.cumsum(more) - more
+        place = np.arange(64, 64 + more.sum()) - np.repeat(first, more)
+        byte = data[np.repeat(starts[order[:n]], more) + place]
+        rest = _ZOBRIST[(place & 63) << 8 | byte]
+        rest *= (place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        value[:n] += np.add.reduceat(rest, first)
+    hashes = np.empty_like(value)
+    hashes[order] = value
+    return mix(hashes), offsets, starts, ends
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -30,3 +30,14 @@ def test_scores_do_not_depend_on_the_lanes():
     found = net.score(docs, table.end)
     assert np.isfinite(found).all() and (found < 0).all()
     assert np.allclose(found, net.score(docs, table.end, width=2), rtol=1e-4)
+
+
+def test_every_hash_is_found_at_its_place():
+    """Also those that crowd one end of the directory."""
+    rng = np.random.default_rng(7)
+    near = rng.integers(0, 50, 40).astype(np.uint64)
+    hashes = np.unique(np.concatenate([rng.integers(0, 2**64, 500, dtype=np.uint64), near, ~near, [gru_lm.END]]))
+    table = gru_lm.WordTable(hashes, np.ones(len(hashes), np.int64), len(hashes), len(hashes), 3)
+    asked = np.concatenate([hashes, hashes + np.uint64(1), hashes - np.uint64(1), [np.uint64(0), ~np.uint64(0)]])
+    places = {int(h): i for i, h in enumerate(table.hash)}
+    assert table.find(asked).tolist() == [places.get(int(h), -1) for h in asked]
